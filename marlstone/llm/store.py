@@ -7,6 +7,7 @@ the folder named by ``spark.checkpoint.dir`` and never by a local checkpoint.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -42,6 +43,9 @@ class Scratch:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         self.paths[name] = path
+        # Shuffle files go once nothing refers to their plan, which is only noticed when garbage is collected.
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *keep: str) -> None:
@@ -53,7 +57,3 @@ class Scratch:
                 at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
                 del self.paths[name]
 
-
-def stringent(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns of the input cannot clash with those made here."""
-    return df.select(*names)
