@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.jaccard import ngram_jaccard_join
+from marlstone.llm.passages import repeated_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +18,13 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of 50 words or more that documents share, with the one document that keeps each."""
+    return repeated_passages(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
 }
 
