@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from marlstone.llm import language, secrets
 from marlstone.llm.jaccard import ngram_jaccard_join
+from marlstone.llm.pagediff import extract_pages
 from marlstone.llm.passages import repeated_passages
 
 
@@ -12,6 +15,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(language.held_out("doc_id", 4, 2), F.lit(False))
+    model = language.train(docs.where(~held))
+    out = language.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", F.map_keys("lang_shares").alias("lang_set"))
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_pages(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets overlap by 85 % of their union."""
     out = ngram_jaccard_join(_table(spark, sf_dir, "documents"))
@@ -23,7 +40,28 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with the ownership verdicts."""
+    found = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+    names = F.array(*[F.lit(k) for k in secrets.KINDS])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    of_kind = lambda k: lambda s: s["kind"] == k
+    count = lambda test: F.size(F.filter("spans", test)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[count(of_kind(k)).alias(f"n_{secrets.KINDS[k]}") for k in range(3)],
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+        count(lambda s: s["live"]).alias("n_live"),
+        count(lambda s: s["example"]).alias("n_example"),
+    )
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_html_extraction": op2_html_extraction,
+    "op4_secret_scan": op4_secret_scan,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
 }
