@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import language, secrets
 from marlstone.llm.jaccard import ngram_jaccard_join
+from marlstone.llm.packing import pack_documents
 from marlstone.llm.pagediff import extract_pages
 from marlstone.llm.passages import repeated_passages
 
@@ -58,7 +59,17 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    """All documents as pieces of sequences of 2048 tokens."""
+    if tokenizer_path is None:
+        import public_tokenizers
+
+        tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path).drop("ids").withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
+    "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
     "op1_language_id": op1_language_id,
     "op2_html_extraction": op2_html_extraction,
     "op4_secret_scan": op4_secret_scan,
