@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import language, secrets
 from marlstone.llm.jaccard import ngram_jaccard_join
+from marlstone.llm.media import store_texts
 from marlstone.llm.packing import pack_documents
 from marlstone.llm.pagediff import extract_pages
 from marlstone.llm.passages import repeated_passages
@@ -68,7 +69,17 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str, tokenizer_path:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path).drop("ids").withColumnRenamed("id", "doc_id")
 
 
+def op9_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as lossless WebP images and read back."""
+    out = store_texts(_table(spark, sf_dir, "documents"))
+    return out.select(
+        F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 QUERIES = {
+    "op9_lossless_webp": op9_lossless_webp,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
     "op1_language_id": op1_language_id,
     "op2_html_extraction": op2_html_extraction,
