@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import language, secrets
+from marlstone.llm import language, secrets, toxicity
 from marlstone.llm.jaccard import ngram_jaccard_join
 from marlstone.llm.media import store_texts
 from marlstone.llm.packing import pack_documents
@@ -78,7 +78,18 @@ def op9_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document, learned from the labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(language.held_out("doc_id", 5, 0), F.lit(False))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scorer = toxicity.train(docs, labels.where(~held))
+    out = toxicity.score_documents(docs, scorer).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op7_toxicity": op7_toxicity,
     "op9_lossless_webp": op9_lossless_webp,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
     "op1_language_id": op1_language_id,
