@@ -237,13 +237,15 @@ def cut_passages(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
     """``docs`` with the words of all removed spans deleted, each with the white space after it; all columns and rows stay."""
     own = spans.where("removed").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("__cuts"))
     joined = docs.join(own, docs[id_col] == own["id"], "left").select(*[docs[c] for c in docs.columns], "__cuts")
-    untouched = joined.where("__cuts IS NULL").drop("__cuts")
     names, place = docs.columns, docs.columns.index(text_col)
 
     def rows(batches):
         for b in batches:
             texts = []
             for text, cuts in zip(b.column(place).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                if cuts is None or text is None:
+                    texts.append(text)
+                    continue
                 raw = np.frombuffer(text.encode(), np.uint8)
                 w = textkit.words(raw, np.array([0, len(raw)]))
                 drop = np.zeros(len(raw) + 1, np.int64)
@@ -256,4 +258,4 @@ def cut_passages(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
             cols = [pa.array(texts, pa.string()) if k == place else b.column(k) for k in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return untouched.unionByName(joined.where("__cuts IS NOT NULL").mapInArrow(rows, docs.schema))
+    return joined.mapInArrow(rows, docs.schema)

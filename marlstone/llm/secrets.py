@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import textkit
+from marlstone.llm.store import Scratch
 
 KINDS = ("assign", "access", "hex", "token")
 #: A value that so many owners hold is an example that was copied.
@@ -33,6 +34,8 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
+#: For the JVM: whether a text may hold any candidate.
+_MAY = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA|[0-9a-f]{24}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{20})[A-Za-z+/_=-]*[0-9]"
 _SPAN = "struct<kind:int,start:int,stop:int,value:long,live:boolean>"
 
 
@@ -152,7 +155,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     cols = docs.select(F.col(id_col).alias("id"), F.col(repository_col).cast("string").alias("repository"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("text"))
     cols = cols.withColumn("uid", F.xxhash64("id", "repository", "owner", "text"))
-    found = scan(cols, "id", "text", "uid", "repository", "owner")
+    scratch = Scratch(docs.sparkSession)
+    # Without texts this is small, and all that follows reads it.
+    found = scratch.keep(scan(cols, "id", "text", "uid", "repository", "owner"), "found")
     some = found.where("size(spans) > 0")
     counts = ownership(some, "repository", "owner").select(F.col("value").alias("v"), "n_repositories", "n_owners")
     based = some.select(F.explode("spans").alias("s")).where("s.kind < 3").select(F.col("s.value").alias("v")).distinct().withColumn("based", F.lit(True))
@@ -174,7 +179,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
     Texts without candidates are passed through without a shuffle.
     """
     names, place = docs.columns, docs.columns.index(text_col)
-    held = docs.withColumn("__may", F.length(F.regexp_replace(F.coalesce(text_col, F.lit("")), r"(?i)(?:password|passwd|secret|token|api_?key)[\"']? *[:=]|[A-Za-z0-9+/_=-]{20}", "")) < F.length(F.coalesce(text_col, F.lit(""))))
+    held = docs.withColumn("__may", F.coalesce(F.col(text_col), F.lit("")).rlike(_MAY))
     clean, suspect = held.where("NOT __may").drop("__may"), held.where("__may").drop("__may")
     own = suspect.withColumn("__uid", F.xxhash64(id_col, F.col(repository_col).cast("string"), F.col(owner_col).cast("string"), text_col))
     found = scan(own.select("__uid", F.col(repository_col).cast("string").alias("__r"), F.col(owner_col).cast("string").alias("__o"), F.col(text_col).alias("__t")), "__uid", "__t", "__r", "__o")
