@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import language, quality, secrets, toxicity
+from marlstone.llm import language, pieces, quality, secrets, toxicity
 from marlstone.llm.jaccard import ngram_jaccard_join
 from marlstone.llm.media import store_texts
 from marlstone.llm.packing import pack_documents
@@ -93,7 +93,22 @@ def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_cascade(_table(spark, sf_dir, "documents")).drop("failed").withColumnRenamed("id", "doc_id")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    """Piece ids of every document, and whether decoding them gives the text back."""
+    if model_path is None:
+        import public_tokenizers
+
+        model_path = public_tokenizers.path("piece_bpe_32k.model")
+    table = pieces.piece_table(spark, model_path)
+    encoded = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), table), table)
+    return encoded.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"), "ids",
+    )
+
+
 QUERIES = {
+    "op6_sentencepiece": op6_sentencepiece,
     "op5_quality_cascade": op5_quality_cascade,
     "op7_toxicity": op7_toxicity,
     "op9_lossless_webp": op9_lossless_webp,
