@@ -10,10 +10,12 @@ to end and cut anew, so each partition leaves at most one padded sequence.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,15 +23,23 @@ from pyspark.sql import functions as F
 CAPACITY = 2048
 END_ID = 1
 
-#: Ids of so many words are remembered in a task; the table is emptied when full.
-REMEMBERED = 400_000
+#: Ids of so many words are remembered in a worker, twice: when a table is full it becomes the old one, and what is used again moves over.
+REMEMBERED = 500_000
+#: So many texts are encoded together.
+TOGETHER = 128
+
+
+#: Of the vocabulary file: how a normalised text is cut into pieces.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class WordEncoder:
     """Token ids by a vocabulary file, word by word, as little-endian unsigned 32-bit values.
 
     The vocabulary's normaliser and its cutting into pieces never join what white
-    space parts, so a word's ids do not depend on what stands beside it.
+    space parts, so a word's ids do not depend on what stands beside it.  A new
+    word is cut into pieces; new pieces are encoded together, and the tokens that
+    end a piece part their ids again.
     """
 
     def __init__(self, path: str) -> None:
@@ -37,19 +47,66 @@ class WordEncoder:
 
         self.model = tokenizers.Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def cut(self, word: str) -> list[str]:
+        plain = word.isascii() or unicodedata.is_normalized("NFC", word) and "Σ" not in word and "İ" not in word
+        low = word.lower() if plain else self.model.normalizer.normalize_str(word)
+        if low.isalpha():
+            return [low]
+        if low[:-1].isalpha() and low[-1] in ".,":
+            return [low[:-1], low[-1]]
+        return _PIECES.findall(low)
+
+    def learn(self, words: list[str]) -> None:
+        cuts = [self.cut(w) for w in words]
+        fresh = list({p for c in cuts for p in c}.difference(self.pieces))
+        if fresh:
+            if len(self.pieces) > REMEMBERED:
+                self.pieces.clear()
+                fresh = list({p for c in cuts for p in c})
+            ids = np.array(self.model.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(fresh):
+                parts = [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(fresh, add_special_tokens=False)]
+            else:
+                raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
+                parts = [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
+            self.pieces.update(zip(fresh, parts, strict=True))
+        pieces = self.pieces
+        self.known.update((w, b"".join([pieces[p] for p in c])) for w, c in zip(words, cuts, strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of some texts, whose new words are learned together."""
+        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new = set().union(*cut).difference(known)
+        for w in new.intersection(old):
+            known[w] = old[w]
+        fresh = list(new.difference(old))
+        if fresh:
+            self.learn(fresh)
+        return [b"".join(map(known.__getitem__, words)) for words in cut]
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        fresh = [w for w in set(words) if w not in known]
-        if fresh:
-            if len(known) > REMEMBERED:
-                known.clear()
-                fresh = list(set(words))
-            for w, e in zip(fresh, self.model.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        return self.encode_all([text])[0]
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder for a file: Spark reuses workers, so later tasks find the words of earlier ones."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 class SumOfSquares:
@@ -119,38 +176,44 @@ def pack(documents, capacity: int = CAPACITY):
         yield sequence
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: ``id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and ``ids``.
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+    """One row per piece: ``id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and, unless turned off, ``ids``.
 
     A null or empty text is the end id alone.  Rows with equal or null ids are
     packed each for itself.  Extra columns are ignored; an empty table gives an
     empty result.  ``sequence_id`` is unique over the result: the partition's
     number and a count within it.
     """
-    fields = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
+    fields = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 8 if with_ids else 7]
 
     def rows(batches):
-        encoder = WordEncoder(tokenizer_path)
+        words = encoder(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
 
         def documents():
             for b in batches:
-                for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    ids = np.frombuffer(encoder.encode(text or "") + end, "<u4")
-                    yield (key, len(ids)), ids
+                for at in range(0, len(b), TOGETHER):
+                    part = b.slice(at, TOGETHER)
+                    encoded = words.encode_all([t or "" for t in part.column(1).to_pylist()])
+                    for key, raw in zip(part.column(0).to_pylist(), encoded, strict=True):
+                        ids = np.frombuffer(raw + end, "<u4")
+                        yield (key, len(ids)), ids
 
         held: list[tuple] = []
 
         def batch():
             cols = list(zip(*held, strict=True))
-            arrays = [pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array([x.view(np.int32) for x in cols[7]], pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays(arrays, ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+            arrays = [pa.array(c, pa.int64()) for c in cols[:7]]
+            if with_ids:
+                arrays.append(pa.array([x.view(np.int32) for x in cols[7]], pa.list_(pa.int32())))
+            return pa.RecordBatch.from_arrays(arrays, names)
 
         for k, sequence in enumerate(pack(documents(), capacity)):
             at = 0
             for (key, total), start, ids in sequence:
-                held.append((key, start, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()), total, base + k, at, ids))
+                held.append((key, start, len(ids), zlib.crc32(ids), total, base + k, at, ids if with_ids else None))
                 at += len(ids)
             if len(held) > 4000:
                 yield batch()
