@@ -58,8 +58,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of 2048 tokens."""
     import public_tokenizers
 
-    pieces = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return pieces.drop("ids").withColumnRenamed("id", "doc_id")
+    pieces = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return pieces.withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
