@@ -92,8 +92,11 @@ def batch(df: DataFrame, name: str, key: str, at: str, order: list[str], **param
     return df.groupBy(key).applyInPandas(run, f"{schema.replace(',', ', ')}, action string, count long")
 
 
-def stream(df: DataFrame, name: str, key: str, at: str, order: list[str], timeout_ms: int = 24 * 3600 * 1000, **params) -> DataFrame:
-    """The streaming form: state by key, forgotten after a day without events."""
+def stream(df: DataFrame, name: str, key: str, at: str, order: list[str], timeout_ms: int | None = None, **params) -> DataFrame:
+    """The streaming form: state by key, kept for good, or forgotten after ``timeout_ms`` without events.
+
+    A timeout needs a trigger that goes on; with ``availableNow`` leave it unset.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     fold, start, state_schema = FOLDS[name]
@@ -106,8 +109,9 @@ def stream(df: DataFrame, name: str, key: str, at: str, order: list[str], timeou
         whole = pd.concat(list(pdfs))
         now, out = _rows(lambda s, t, r: fold(s, t, r, **params), tuple(now), whole, at, order)
         state.update(now)
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         yield out
 
     schema = df.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
-    return df.groupBy(key).applyInPandasWithState(run, f"{schema}, action string, count long", state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return df.groupBy(key).applyInPandasWithState(run, f"{schema}, action string, count long", state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms is not None else GroupStateTimeout.NoTimeout)
