@@ -1,0 +1,286 @@
+"""Each operator against brute force on small tables with nulls, empty and repeated rows, ties and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+
+from marlstone.llm import language, pieces, quality, secrets, toxicity, webp
+from marlstone.llm.jaccard import ngram_jaccard_join, pack, unpack
+from marlstone.llm.media import store_texts
+from marlstone.llm.packing import SumOfSquares, WordEncoder, pack_documents
+from marlstone.llm.packing import pack as pack_ids
+from marlstone.llm.pagediff import common_subsequence, extract_pages
+from marlstone.llm.passages import cut_passages, repeated_passages
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, n int, spans string"
+
+
+def corpus() -> list[tuple]:
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    base = [rng.choice(words) for _ in range(120)]
+    passage = [rng.choice(words) for _ in range(60)]
+    texts: list[str | None] = [None, "", "   \n\t", "one", "One", "one two", " ".join(base), " ".join(base).upper(), " ".join(base)]
+    for edits in (1, 2, 3, 4, 6):
+        x = list(base)
+        for _ in range(edits):
+            x[rng.randrange(len(x))] = "zz" + rng.choice(words)
+        texts.append(" ".join(x))
+    for _ in range(4):
+        texts.append(" ".join(rng.choice(words) for _ in range(40)) + "\n" + " ".join(passage) + "  " + " ".join(rng.choice(words) for _ in range(30)))
+    texts += [" ".join(rng.choice(words) for _ in range(rng.randint(5, 90))) for _ in range(12)]
+    texts += ["word " * 300, "é😀 ß " * 30, 'password = "hunTer22xQ9kZvw" x', "AKIA" + "Q1" * 10, 'see token: "deadbeefdeadbeefdeadbeef01"', "x" * 3000]
+    rows = [(i, t, "en", f"s{i % 3}", len(t or ""), 7, "k", 1, "z") for i, t in enumerate(texts)]
+    return [*rows, rows[6], (None, "null id " + " ".join(base), "en", None, 3, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3).persist()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def shingles(text, k):
+    w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in WORD.findall(text or "")]
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def components(rows, k, percent):
+    sets = {i: shingles(t, k) for i, t, *_ in rows if i is not None}
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            met = len(sets[a] & sets[b])
+            if a < b and met and 100 * met >= percent * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+def test_jaccard_join(docs, empty):
+    got = ngram_jaccard_join(docs).collect()
+    want = components(corpus(), 4, 85)
+    assert len(got) == len(corpus())
+    assert {(r["id"], r["n_shingles"], r["component_id"]) for r in got if r["id"] is not None} == {(i, n, c) for i, (n, c) in want.items()}
+    assert [r["component_id"] for r in got if r["id"] is None] == [None]
+    assert ngram_jaccard_join(empty).count() == 0
+
+
+def test_packed_sets_round_trip():
+    for s in ([], [0], [1, 2**63], [2**64 - 1], list(range(0, 2**64, 2**59))):
+        s = np.array(s, np.uint64)
+        assert (unpack(pack(s)) == s >> np.uint64(24)).all()
+
+
+def test_passages_equal_brute_force(docs, empty):
+    spans = repeated_passages(docs)
+    rows = {i: [w.lower() for w in WORD.findall(t or "")] for i, t, *_ in corpus() if i is not None}
+    own = defaultdict(set)
+    for i, w in rows.items():
+        for j in range(len(w) - 49):
+            own[tuple(w[j : j + 50])].add(i)
+    want, got = defaultdict(set), defaultdict(set)
+    for i, w in rows.items():
+        for j in range(len(w) - 49):
+            if len(own[tuple(w[j : j + 50])]) > 1:
+                want[i].update(range(j, j + 50))
+    found = spans.collect()
+    for r in found:
+        got[r["id"]].update(range(r["first_word"], r["first_word"] + r["n_words"]))
+    assert {k: v for k, v in want.items() if v} == dict(got)
+    kept = {r["id"] for r in found if not r["removed"]}
+    assert all(r["owner"] in kept or r["owner"] < r["id"] for r in found if r["removed"])
+    cut = cut_passages(docs, spans)
+    assert cut.columns == docs.columns and cut.count() == docs.count()
+    after = {r["doc_id"]: r["text"] for r in cut.collect()}
+    assert after[0] is None and len(WORD.findall(after[7] or "")) == 0 and after[6] == corpus()[6][1]
+    assert repeated_passages(empty).count() == 0
+
+
+def test_language_model(spark, docs, empty):
+    rng = random.Random(1)
+    vocabulary = {"aa": ["taka", "kato", "mika", "noki"], "bb": ["bluhr", "schtz", "gromf", "pflz"]}
+    rows = [(i, " ".join(rng.choice(vocabulary[lang]) for _ in range(30)), lang) for i in range(60) for lang in ("aa", "bb")]
+    model = language.train(spark.createDataFrame([*rows, (1, None, "aa"), (2, "x", None)], "doc_id long, text string, lang string"))
+    mixed = " ".join(["taka kato mika"] * 10 + ["bluhr schtz"] * 10)
+    test = spark.createDataFrame([(1, "noki taka"), (2, "gromf pflz"), (3, mixed), (4, None), (5, "12 !!"), (6, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language.identify(test, model).collect()}
+    assert [got[i]["lang_pred"] for i in range(1, 7)] == ["aa", "bb", "aa", "und", "und", "und"]
+    assert set(got[3]["lang_shares"]) == {"aa", "bb"} and abs(got[3]["score"] - 0.6) < 0.05 and got[4]["score"] == 0
+    assert language.identify(docs, model).count() == docs.count()
+    nothing = language.train(empty)
+    assert {r["lang_pred"] for r in language.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_pages(spark):
+    rows = [(i, f"http://h.example/a/{i}", f"<body><nav>x</nav><div>Menu one</div><p>Own {i} &amp; text</p><form>f</form><p>tail shared</p><div class='comments'>c</div></body>") for i in range(9)]
+    rows += [(20, "http://o.example/", "<html><head><title>t</title><style>p{}</style></head><body><header>h</header><article><h1>A  b</h1><p><b>one<br>two<p>three&lt;</article><footer>f</footer>"), (21, None, None), (22, "x", ""), (20, "http://o.example/", "<p>only</p>")]
+    df = spark.createDataFrame([(*r, 1, "t") for r in rows], "page_id long, url string, html string, id int, text string").repartition(4)
+    got = defaultdict(set)
+    for r in extract_pages(df).collect():
+        got[r["id"]].add(r["text"])
+        assert r["n_chars"] == len(r["text"])
+    assert all(got[i] == {f"Own {i} & text"} for i in range(9))
+    assert got[20] == {"A b\none two\nthree<", "only"} and got[21] == got[22] == {""}
+    assert extract_pages(df.limit(0)).count() == 0
+
+
+def test_longest_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(50):
+        x, y = [rng.randrange(4) for _ in range(rng.randrange(9))], [rng.randrange(4) for _ in range(rng.randrange(9))]
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+        found = sorted(common_subsequence(x, y))
+        assert len(found) == best[-1][-1]
+        it = iter(y)
+        assert all(x[i] in it for i in found)
+
+
+def test_secrets(docs, empty):
+    got = {r["id"]: r["spans"] for r in secrets.scan_secrets(docs).collect() if r["id"] is not None}
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    for i, t, *_ in corpus():
+        if i is not None:
+            want = [(m.start(), 0, m.end()) for m in assign.finditer(t or "") if len(m[2]) >= 6]
+            want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 20]
+            want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t or "") if len(m[0]) >= 24]
+            assert [(s["start"], s["kind"], s["stop"]) for s in got[i] if s["kind"] < 3] == sorted(want)
+    assert secrets.scan_secrets(empty).count() == 0
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert any("[secret]" in (r["text"] or "") for r in out.collect())
+
+
+def test_copied_values_are_examples(spark):
+    rows = [(i, 'token = "0a1b2c3d4e5f6a7b8c9d0e1f"', f"s{i}") for i in range(4)] + [(9, 'token = "f0e1d2c3b4a5968778695a4b"', "s9")]
+    got = {r["id"]: r["spans"][0] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0]["example"] and not got[0]["live"] and got[9]["live"] and not got[9]["example"]
+
+
+def test_quality_counts(docs, empty):
+    for r in quality.quality_cascade(docs.where("doc_id IS NOT NULL")).collect():
+        text = corpus()[r["id"]][1] or ""
+        w = WORD.findall(text)
+        windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        twice = {x for x in windows if windows.count(x) > 1}
+        repeat = len({j for i, x in enumerate(windows) if x in twice for j in range(i, i + 8)})
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        assert tuple(r)[1:6] == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), repeat)
+        assert r["base_failed"] == (len(w) < 20 or 100 * repeat > 30 * len(w)) and not (r["base_failed"] and r["kept"])
+    assert quality.quality_cascade(empty).count() == 0
+
+
+def test_pieces(spark, docs, empty):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    model, table = sentencepiece.SentencePieceProcessor(model_file=path), pieces.piece_table(spark, path)
+    for r in pieces.decode(pieces.encode(docs, table), table).collect():
+        assert r["ids"] == model.encode(r["text"]) and r["decoded"] == r["text"]
+    assert pieces.encode(empty, table).count() == 0
+
+
+def test_unigram_lattice(spark):
+    scored = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.0, "▁a": -4.0, "ba": -2.0}
+    table = spark.createDataFrame([(p, i, s, 0) for i, (p, s) in enumerate(scored.items())], "piece string, id int, score double, kind int")
+    names = list(scored)
+
+    def best(u):
+        ways = {0: (0.0, ())}
+        for e in range(1, len(u) + 1):
+            ways[e] = max((ways[s][0] + scored[u[s:e]], (*ways[s][1], names.index(u[s:e]))) for s in range(e) if s in ways and u[s:e] in scored)
+        return list(ways[len(u)][1])
+
+    units = ["▁abab", "▁baba", "▁a", "▁bbb"]
+    got = pieces.encode_units(spark.createDataFrame([(u,) for u in units], "unit string"), table, "unigram")
+    assert {r["unit"]: r["ids"] for r in got.collect()} == {u: best(u) for u in units}
+
+
+def test_toxicity(spark, docs, empty):
+    rng = random.Random(2)
+    plain = ["table", "window", "garden", "little", "number", "station", "idle", "motion"]
+    rows = [(i, " ".join(rng.choice(plain) for _ in range(30)) + (" blockhead" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scorer = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    test = spark.createDataFrame([(1, "table bl0ckh3ad window"), (2, "table window"), (3, "garden b l o c k h e a d motion"), (4, "blooockhead garden"), (5, None), (6, "")], "doc_id long, text string")
+    got = {r["id"]: r["score"] for r in toxicity.score_documents(test, scorer).collect()}
+    assert got[1] > 0.5 and got[3] > 0.5 and got[4] > 0.5 and got[2] < 0.5 and got[5] == got[6] < 0.5
+    assert toxicity.score_documents(docs, toxicity.train(empty, empty.selectExpr("doc_id", "n AS toxic"))).count() == docs.count()
+
+
+def test_packing(docs, empty):
+    import tokenizers
+
+    path = P.path("word_bpe_49k.json")
+    model = tokenizers.Tokenizer.from_file(path)
+    model.encode_special_tokens = True
+    got = pack_documents(docs, path, capacity=256).collect()
+    at = defaultdict(list)
+    for r in got:
+        at[r["sequence_id"]].append(r)
+        assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"] > 0
+    for rows in at.values():
+        rows.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in rows] == [sum(x["length"] for x in rows[:i]) for i in range(len(rows))] and sum(r["length"] for r in rows) <= 256
+    for i, t, *_ in corpus():
+        if i not in (None, 6):
+            ids = [x for r in sorted((r for r in got if r["id"] == i), key=lambda r: r["start"]) for x in r["ids"]]
+            assert ids == [*model.encode(t or "", add_special_tokens=False).ids, 1]
+    assert pack_documents(empty, path).count() == 0
+
+
+def test_sum_of_squares_is_least():
+    rng = random.Random(4)
+    p = SumOfSquares(16)
+    for k in range(300):
+        before, size = p.level.copy(), rng.randint(1, 15)
+        sums = []
+        for h in range(16 - size + 1):
+            if h == 0 or before[h]:
+                n = before.copy()
+                n[h] -= h > 0
+                n[h + size] += h + size < 16
+                sums.append(int((n**2).sum()))
+        p.place(k, size)
+        assert int((p.level**2).sum()) == min(sums)
+    assert sum(len(i) for s in pack_ids([(k, list(range(rng.randint(1, 50)))) for k in range(99)], 16) for _, _, i in s) > 0
+
+
+def test_words_encode_as_whole_texts():
+    import tokenizers
+
+    path = P.path("word_bpe_49k.json")
+    model = tokenizers.Tokenizer.from_file(path)
+    model.encode_special_tokens = True
+    encoder = WordEncoder(path)
+    for t in ("İstanbul ſ K 'S don't  á é ½ ²", "<|endoftext|> x", "", "a\u0085b ｆｕｌｌ ǅ ΑΣ, Σ Σ", "a ́b c\x0b\x0cd \x1ce\xa0f", "x" * 999):
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == model.encode(t, add_special_tokens=False).ids
+
+
+def test_media(docs, empty):
+    for r in store_texts(docs).collect():
+        raw = (corpus()[r["id"]][1] or "" if r["id"] is not None else corpus()[-1][1]).encode()
+        payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert webp.decode(r["media"]).reshape(-1)[: len(payload)].tobytes() == payload
+    assert store_texts(empty).count() == 0
