@@ -33,3 +33,25 @@ def has(words: np.ndarray, value: np.ndarray) -> np.ndarray:
     bits = int(np.log2(len(words))) + 6
     slot = value.view(np.uint64) >> np.uint64(64 - bits)
     return (words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def split(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that may have a key of ``keys`` (one column), and rows that certainly have none; only the first need a join.
+
+    No row is shuffled here, and rows with a null key are among the second
+    unless the filter happens to hold what stands for null.
+    """
+    import pyarrow as pa
+
+    words = df.sparkSession.sparkContext.broadcast(build(keys.select(F.xxhash64(keys.columns[0]).alias("h")), "h"))
+    hashed = df.withColumn("__h", F.xxhash64(column))
+    n = len(df.columns)
+
+    def rows(wanted):
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(has(words.value, b.column(n).to_numpy()) == wanted)).select(list(range(n)))
+
+        return run
+
+    return hashed.mapInArrow(rows(True), df.schema), hashed.mapInArrow(rows(False), df.schema)

@@ -24,7 +24,7 @@ CAPACITY = 2048
 END_ID = 1
 
 #: Ids of so many words are remembered in a worker, twice: when a table is full it becomes the old one, and what is used again moves over.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: So many texts are encoded together.
 TOGETHER = 128
 

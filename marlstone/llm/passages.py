@@ -234,9 +234,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def cut_passages(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the words of all removed spans deleted, each with the white space after it; all columns and rows stay."""
+    """``docs`` with the words of all removed spans deleted, each with the white space after it; all columns and rows stay.
+
+    Only documents that may lose words are shuffled.
+    """
     own = spans.where("removed").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("__cuts"))
-    joined = docs.join(own, docs[id_col] == own["id"], "left").select(*[docs[c] for c in docs.columns], "__cuts")
+    own = own.withColumnRenamed("id", "__id")
+    held, untouched = bitmap.split(docs, id_col, own.select("__id"))
+    joined = held.join(own, F.col(id_col) == F.col("__id"), "left").select(*docs.columns, "__cuts")
     names, place = docs.columns, docs.columns.index(text_col)
 
     def rows(batches):
@@ -258,4 +263,4 @@ def cut_passages(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
             cols = [pa.array(texts, pa.string()) if k == place else b.column(k) for k in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return joined.mapInArrow(rows, docs.schema)
+    return joined.mapInArrow(rows, docs.schema).unionByName(untouched)
