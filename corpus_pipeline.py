@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import language, secrets
+from marlstone.llm import bitmap, language, secrets
 from marlstone.llm.jaccard import ngram_jaccard_join
 from marlstone.llm.packing import pack_documents
 from marlstone.llm.passages import cut_passages, repeated_passages
@@ -39,9 +39,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     go together.
     """
     groups = ngram_jaccard_join(docs, k=5, percent=80)
-    stay = groups.where("id = component_id").select(F.col("id").alias("__id")).distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(stay, F.col("doc_id") == F.col("__id"), "left_semi")
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    gone = groups.where("id <> component_id").select(F.col("id").alias("__id")).distinct()
+    # Only documents that may go are shuffled.
+    suspects, others = bitmap.split(docs, "doc_id", gone)
+    return suspects.join(gone, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(others).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
