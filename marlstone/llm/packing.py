@@ -24,7 +24,7 @@ CAPACITY = 2048
 END_ID = 1
 
 #: Ids of so many words are remembered in a worker, twice: when a table is full it becomes the old one, and what is used again moves over.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: So many texts are encoded together.
 TOGETHER = 128
 
@@ -220,5 +220,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 held.clear()
         if held:
             yield batch()
+        # Between tasks a worker keeps only the newest words.
+        words.old, words.pieces = {}, {}
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, fields)
