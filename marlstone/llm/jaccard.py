@@ -12,9 +12,11 @@ A column met by many classes does not emit all their pairs.  Each class is
 first compared with the most central class of a column, the one with the fewest
 columns of its own; classes that this joins into one component need no further
 pair.  Only columns that still hold several components emit pairs, and only
-across components, so no link that could change a component is lost.  Prefix
-columns that no other class has bound what a class can share with any other,
-which keeps the outliers of a large group from meeting all of its members.
+across components, so no link that could change a component is lost.  Of two
+classes, the one whose prefix ends first shares none of the prefix columns that
+are in no other prefix, which keeps the outliers of a large group from meeting
+all of its members.  Of the other class such a column may still be shared, for
+the first may hold it behind its prefix.
 """
 
 from __future__ import annotations
@@ -83,30 +85,34 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _incidence(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
-    """Per document: its id, set size, class key, and the class's prefix columns once a task."""
+    """Per document: its id, set size, class key, and the class's prefix columns and where they end (16 bits of column order) once a task."""
 
     def rows(batches):
         late, seen = frequent.value, set()
         for b in batches:
-            n, key, prefix = [], [], []
+            n, key, end, prefix = [], [], [], []
             named = b.column(0).is_valid().to_pylist()
             for s, known in zip(_sets(b.column(1), k), named, strict=True):
                 n.append(len(s))
                 key.append(_key(s))
                 if not len(s) or not known or key[-1] in seen:
+                    end.append(None)
                     prefix.append(None)
                     continue
                 seen.add(key[-1])
                 take = len(s) - (percent * len(s) + 99) // 100 + 1
+                rare = len(s)
                 if len(late):
                     at = np.searchsorted(late, s)
                     at[at == len(late)] = 0
                     often = late[at] == s
                     s = np.concatenate([s[~often], s[often]])
+                    rare -= int(often.sum())
+                end.append((take > rare) << 15 | int(s[take - 1]) >> 49)
                 prefix.append(s[:take].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "key", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(end, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "key", "e", "prefix"])
 
-    return docs.select("id", "text").mapInArrow(rows, "id long, n long, key long, prefix array<long>")
+    return docs.select("id", "text").mapInArrow(rows, "id long, n long, key long, e long, prefix array<long>")
 
 
 def _columns(classes: DataFrame, shared) -> DataFrame:
@@ -165,9 +171,15 @@ def _size_bound(na: str, nb: str, percent: int) -> str:
     return f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb})"
 
 
-def _own_bound(na: str, ua: str, nb: str, ub: str, percent: int) -> str:
-    """Whether the overlap can suffice when so many columns of each are its own."""
-    return f"least({na} - {ua}, {nb} - {ub}) >= ceil({percent} * ({na} + {nb}) / {100 + percent}D - 1e-9)"
+def _own_bound(a: str, b: str, percent: int) -> str:
+    """Whether the overlap can suffice when so many prefix columns of the class whose prefix ends first are its own.
+
+    ``a`` and ``b`` are the two classes' columns n, u and e.  Where the ends are
+    equal as far as they are known, either may be first.
+    """
+    (na, ua, ea), (nb, ub, eb) = a.split(), b.split()
+    most = f"CASE WHEN {ea} < {eb} THEN {na} - {ua} WHEN {ea} > {eb} THEN {nb} - {ub} ELSE greatest({na} - {ua}, {nb} - {ub}) END"
+    return f"{most} >= ceil({percent} * ({na} + {nb}) / {100 + percent}D - 1e-9)"
 
 
 def _overlap_bound(count: str, na: str, nb: str, percent: int) -> str:
@@ -199,25 +211,26 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = spark.sparkContext.broadcast(_frequent(docs, k))
     incidence = scratch.keep(_incidence(docs, k, percent, frequent), "incidence")
 
-    classes = incidence.where("prefix IS NOT NULL").select("key", "n", "prefix")
+    classes = incidence.where("prefix IS NOT NULL").select("key", "n", "e", "prefix")
     met = classes.select("key", F.explode("prefix").alias("col")).groupBy("col").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
     shared = spark.sparkContext.broadcast(bitmap.build(met, "col"))
     # A class is compared with the central class that it shares most columns with; any choice is right, this one settles most.
     entries = scratch.keep(_columns(classes, shared), "entries")
-    central = entries.groupBy("col").agg(F.max(F.struct((-F.col("u") / F.col("n")).alias("rank"), "key", "n", "u")).alias("m")).select("col", F.col("m.key").alias("hub"), F.col("m.n").alias("hub_n"), F.col("m.u").alias("hub_u"))
-    ends = entries.join(central, "col").where(f"key <> hub AND {_size_bound('n', 'hub_n', percent)} AND {_own_bound('n', 'u', 'hub_n', 'hub_u', percent)}")
+    central = entries.groupBy("col").agg(F.max(F.struct((-F.col("u") / F.col("n")).alias("rank"), "key", "n", "u", "e")).alias("m"))
+    central = central.select("col", F.col("m.key").alias("hub"), F.col("m.n").alias("hub_n"), F.col("m.u").alias("hub_u"), F.col("m.e").alias("hub_e"))
+    ends = entries.join(central, "col").where(f"key <> hub AND {_size_bound('n', 'hub_n', percent)} AND {_own_bound('n u e', 'hub_n hub_u hub_e', percent)}")
     best = ends.groupBy("key", "hub").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
     stars = scratch.keep(best.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct(), "stars")
     links = scratch.keep(_verified(docs, incidence, stars, k, percent), "links")
     joined = components(links, scratch, "star").withColumnRenamed("id", "key")
 
-    label = scratch.keep(entries.join(joined, "key", "left").select("col", "key", "n", "u", F.coalesce("component", "key").alias("comp")).distinct(), "label")
+    label = scratch.keep(entries.join(joined, "key", "left").select("col", "key", "n", "u", "e", F.coalesce("component", "key").alias("comp")).distinct(), "label")
     mixed = label.groupBy("col").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("col", "least")
     open_ = scratch.keep(label.join(mixed, "col"), "open")
-    one = open_.where("comp <> least").select("col", F.col("key").alias("p"), F.col("n").alias("np"), F.col("u").alias("up"), F.col("comp").alias("cp"))
-    other = open_.select("col", F.col("key").alias("q"), F.col("n").alias("nq"), F.col("u").alias("uq"), F.col("comp").alias("cq"), F.expr("comp = least").alias("main"))
+    one = open_.where("comp <> least").select("col", F.col("key").alias("p"), F.col("n").alias("np"), F.col("u").alias("up"), F.col("e").alias("ep"), F.col("comp").alias("cp"))
+    other = open_.select("col", F.col("key").alias("q"), F.col("n").alias("nq"), F.col("u").alias("uq"), F.col("e").alias("eq"), F.col("comp").alias("cq"), F.expr("comp = least").alias("main"))
     # The product: one row for each column that two classes of different components share, then their counts.
-    apart = F.expr(f"cp <> cq AND (main OR p < q) AND {_size_bound('np', 'nq', percent)} AND {_own_bound('np', 'up', 'nq', 'uq', percent)}")
+    apart = F.expr(f"cp <> cq AND (main OR p < q) AND {_size_bound('np', 'nq', percent)} AND {_own_bound('np up ep', 'nq uq eq', percent)}")
     cross = one.withColumnRenamed("col", "__c").join(other, (F.col("__c") == F.col("col")) & apart)
     counted = cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.expr("if(p < q, np, nq)").alias("na"), F.expr("if(p < q, nq, np)").alias("nb"))
     counted = counted.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).where(_overlap_bound("c", "na", "nb", percent))

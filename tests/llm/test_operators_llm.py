@@ -83,6 +83,28 @@ def test_jaccard_join(docs, empty):
     assert ngram_jaccard_join(empty).count() == 0
 
 
+def test_jaccard_join_links_contained_sets(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts = []
+    for size, more, copies in [(20, 2, 1), (20, 3, 1), (100, 14, 1), (100, 17, 1), (400, 70, 1), (100, 5, 70), (100, 17, 70), (20, 3, 70)] * 8:
+        # Of 4-word shingles there are 3 fewer than words.
+        whole = [word() for _ in range(size + more + 3)]
+        texts += [" ".join(whole), *[" ".join(whole[: size + 3])] * copies]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {i: shingles(t, 4) for i, t in rows}
+    # No pair shares a shingle but within its own block, so one comparison with the last whole text is brute force.
+    want, whole = {}, 0
+    for i in sets:
+        if i == 0 or texts[i] not in (texts[i - 1], " ".join(texts[whole].split()[: len(texts[i].split())])):
+            whole = i
+        assert i == whole or 100 * len(sets[i] & sets[whole]) >= 85 * len(sets[i] | sets[whole])
+        want[i] = whole
+    for percent in (85, 80):
+        assert {r["id"]: r["component_id"] for r in ngram_jaccard_join(df, percent=percent).collect()} == want
+
+
 def test_packed_sets_round_trip():
     for s in ([], [0], [1, 2**63], [2**64 - 1], list(range(0, 2**64, 2**59))):
         s = np.array(s, np.uint64)
