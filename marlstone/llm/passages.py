@@ -9,15 +9,21 @@ kept suffix at the same offset.
 1. One scan finds the seeds met in two documents or more; a filter of fixed
    size holds them.
 2. A second scan writes their suffixes: the seed's hash, and the words beside
-   it to the right and left, as far as a passage could reach without another
-   seed.  A range partitioning sorts them, so a seed that a large share of all
+   it to the right and left, as far as it is the least seed of a passage.  A range partitioning sorts them, so a seed that a large share of all
    documents holds is spread over many tasks.
-3. In sorted order each suffix is compared with the few before it; matches are
-   extended word by word to the right and to the left.  The rows at the edges
-   of partitions are compared once more, beside each other.
-
-A run of matching neighbours is one passage.  The document with the least id
-in it keeps the passage, the others lose it.
+3. In sorted order all suffixes of a seed stand together.  A passage is looked
+   at as its runs of ``min_words`` words whose least seed it is, one for each
+   division of the remaining words between left and right.  Of every run the
+   least id that holds it is its owner, so each match has its own owner.
+4. A seed whose suffixes may go on in another partition, or that has very many,
+   is not decided there: its runs are sorted once more by their hash, and what
+   the partitions know of the hashes at their borders, two rows each, is put
+   together afterwards.
+
+A run is removed from every document but its owner.  Each removed word is in a
+run of a smaller id, which keeps it or loses it to a run of a still smaller one;
+so a copy of each word stays, though the words of one run may then be kept by
+more than one document.
 """
 
 from __future__ import annotations
@@ -32,10 +38,10 @@ from marlstone.llm.store import Scratch
 
 MIN_WORDS = 50
 SEED_WORDS = 25
-#: Each suffix is compared with so many before it.
-NEIGHBOURS = 4
+#: Seeds with more suffixes in a partition are decided by their runs; any number is right.
+MANY = 20000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-_FOUND = "id long, first long, last long, owner long, edge int, key long, at long, left binary, right binary"
+_FOUND = "id long, first long, last long, owner long, removed boolean, key long, at long, left binary, right binary"
 
 
 def _sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
@@ -47,11 +53,11 @@ def _sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
     return out if size == w else pick(out[: len(x) - w + 1], out[w - size :])
 
 
-def selected(words: textkit.Words, min_words: int, seed_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word positions of the seeds, and their hashes, over the documents of ``words``."""
+def selected(words: textkit.Words, min_words: int, seed_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word positions of the seeds, their hashes, and the hashes of all grams, over the documents of ``words``."""
     n, w = len(words.hash), min_words - seed_words + 1
     if n < min_words:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     g = np.minimum(textkit.long_grams(words.hash, seed_words), _NONE - np.uint64(1))
     # Grams across two documents are none.
     for b in words.first[1:-1]:
@@ -61,26 +67,34 @@ def selected(words: textkit.Words, min_words: int, seed_words: int) -> tuple[np.
     chosen = np.flatnonzero((_sliding(padded, w, np.maximum) == g) & (g != _NONE))
     doc = np.searchsorted(words.first, chosen, "right") - 1
     long_enough = np.diff(words.first)[doc] >= min_words
-    return chosen[long_enough], g[chosen[long_enough]]
+    return chosen[long_enough], g[chosen[long_enough]], g
+
+
+def _least_in(g: np.ndarray, at: np.ndarray, beside: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many grams before and after each position are more than its own; of equal ones the first is the least."""
+    steps = np.arange(1, beside + 1)
+    padded = np.concatenate([np.full(beside, _NONE), g, np.full(beside, _NONE)])
+    before, after = padded[at[:, None] + beside - steps] <= g[at][:, None], padded[at[:, None] + beside + steps] < g[at][:, None]
+    return tuple(np.where(x.any(1), x.argmax(1), beside) for x in (before, after))
 
 
 def _scan(batch: pa.RecordBatch, min_words: int, seed_words: int):
-    """(words, ids, positions, hashes) of each chunk of a batch of (id, text)."""
+    """(words, ids, positions, hashes, documents, hashes of all grams) of each chunk of a batch of (id, text)."""
     ids = batch.column(0).to_numpy(zero_copy_only=False)
     data, offsets = textkit.utf8(batch.column(1))
     for i, j in textkit.chunks(offsets):
         part = offsets[i : j + 1]
         words = textkit.words(data[part[0] : part[-1]], part - part[0])
-        at, key = selected(words, min_words, seed_words)
+        at, key, grams = selected(words, min_words, seed_words)
         if len(at):
             doc = np.searchsorted(words.first, at, "right") - 1
-            yield words, ids[i:j][doc], at, key, doc
+            yield words, ids[i:j][doc], at, key, doc, grams
 
 
 def _seeds(docs: DataFrame, min_words: int, seed_words: int) -> DataFrame:
     def rows(batches):
         for b in batches:
-            for _, ids, _, key, _ in _scan(b, min_words, seed_words):
+            for _, ids, _, key, _, _ in _scan(b, min_words, seed_words):
                 order = np.lexsort((ids, key))
                 k, v = key[order], ids[order]
                 first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -92,25 +106,28 @@ def _seeds(docs: DataFrame, min_words: int, seed_words: int) -> DataFrame:
 
 
 def _suffixes(docs: DataFrame, shared, min_words: int, seed_words: int) -> DataFrame:
-    reach = min_words - seed_words + 1
+    reach = min_words - seed_words
 
     def rows(batches):
         right, left = np.arange(seed_words, seed_words + reach), -1 - np.arange(reach)
         for b in batches:
-            for words, ids, at, key, doc in _scan(b, min_words, seed_words):
+            for words, ids, at, key, doc, grams in _scan(b, min_words, seed_words):
                 take = bitmap.has(shared.value, key)
                 at, key, doc, ids = at[take], key[take], doc[take], ids[take]
                 low = np.maximum(words.hash.astype(np.uint32), 1)
                 begin, end = words.first[doc][:, None], words.first[doc + 1][:, None]
 
-                def beside(step, at=at, begin=begin, end=end, low=low):
+                # A run belongs to its least seed alone: that one is chosen wherever the run stands, another one only where its surroundings allow.
+                to_left, to_right = _least_in(grams, at, reach)
+
+                def beside(step, most, at=at, begin=begin, end=end, low=low):
                     to = at[:, None] + step
                     out = low[np.clip(to, 0, len(low) - 1)]
-                    out[(to < begin) | (to >= end)] = 0
+                    out[(to < begin) | (to >= end) | (np.arange(reach) >= most[:, None])] = 0
                     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(reach * 4), len(out), [None, pa.py_buffer(np.ascontiguousarray(out))]).cast(pa.binary())
 
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(ids), pa.array(at - begin[:, 0]), beside(left), beside(right)], ["key", "id", "at", "left", "right"]
+                    [pa.array(key.view(np.int64)), pa.array(ids), pa.array(at - begin[:, 0]), beside(left, to_left), beside(right, to_right)], ["key", "id", "at", "left", "right"]
                 )
 
     return docs.mapInArrow(rows, "key long, id long, at long, left binary, right binary")
@@ -120,82 +137,179 @@ def _matrix(column: pa.Array, reach: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), reach)
 
 
-def _same(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Length of the common beginning of each two rows; 0 stands for no word."""
-    differ = (x != y) | (x == 0)
-    return np.where(differ.any(1), differ.argmax(1), x.shape[1])
+def _runs(key: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each suffix's runs, by the number of their words left of the seed, and whether the document holds so many words there."""
+    n, beside = left.shape
+    up = textkit.mix(np.arange(1, 2 * beside + 1, dtype=np.uint64)) | np.uint64(1)
+    none = np.zeros((n, 1), np.uint64)
+    far_left = np.concatenate([none, np.cumsum(left * up[:beside], axis=1, dtype=np.uint64)], axis=1)
+    far_right = np.concatenate([none, np.cumsum(right * up[beside:], axis=1, dtype=np.uint64)], axis=1)[:, ::-1]
+    yes = np.ones((n, 1), bool)
+    held = np.concatenate([yes, np.logical_and.accumulate(left != 0, axis=1)], axis=1)
+    held &= np.concatenate([yes, np.logical_and.accumulate(right != 0, axis=1)], axis=1)[:, ::-1]
+    step = np.arange(beside + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = textkit.mix(textkit.mix(far_left + step) + far_right)
+    return textkit.mix(mixed ^ textkit.mix(key.view(np.uint64))[:, None]), held
+
+
+def _owned(run: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the least id with its run, and whether another id has it."""
+    order = np.argsort(run, kind="stable")
+    r, v = run[order], ids[order]
+    begins = np.concatenate([[True], r[1:] != r[:-1]])
+    first, group = np.flatnonzero(begins), np.cumsum(begins) - 1
+    lo, hi = np.minimum.reduceat(v, first), np.maximum.reduceat(v, first)
+    owner, met = np.empty(len(run), np.int64), np.empty(len(run), bool)
+    owner[order], met[order] = lo[group], (lo < hi)[group]
+    return owner, met
+
+
+def _decided(key, ids, at, left, right, min_words: int) -> tuple[np.ndarray, ...]:
+    """Spans (id, first, last, owner, removed) of whole seeds: neighbouring runs of a suffix with the same fate are one."""
+    run, held = _runs(key, left, right)
+    row, to_left = np.nonzero(held)
+    if not len(row):
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, bool))
+    owner, met = _owned(run[row, to_left], ids[row])
+    row, to_left, owner = row[met], to_left[met], owner[met]
+    removed = owner < ids[row]
+    begins = np.ones(len(row), bool)
+    begins[1:] = (row[1:] != row[:-1]) | (to_left[1:] != to_left[:-1] + 1) | (removed[1:] != removed[:-1])
+    first = np.flatnonzero(begins)
+    if not len(first):
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, bool))
+    last = np.append(first[1:], len(row)) - 1
+    begin = at[row[first]]
+    return ids[row[first]], begin - to_left[last], begin - to_left[first] + min_words, np.minimum.reduceat(owner, first), removed[first]
 
 
-def matches(key, ids, left, right, least_beside: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For sorted suffixes: whether each goes on with a neighbour before it, and how far each is extended left and right (-1: no match)."""
-    n = len(key)
-    goes_on, far_left, far_right = np.zeros(n, bool), np.full(n, -1), np.full(n, -1)
-    for d in range(1, min(NEIGHBOURS, n - 1) + 1):
-        both = np.flatnonzero((key[d:] == key[:-d]) & (ids[d:] != ids[:-d]))
-        r, l = _same(right[both], right[both + d]), _same(left[both], left[both + d])  # noqa: E741
-        ok = r + l >= least_beside
-        both, r, l = both[ok], r[ok], l[ok]  # noqa: E741
-        goes_on[both + d] = True
-        for at in (both, both + d):
-            np.maximum.at(far_left, at, l)
-            np.maximum.at(far_right, at, r)
-    return goes_on, far_left, far_right
+def _compare(sorted_rows: DataFrame, min_words: int, seed_words: int) -> DataFrame:
+    """Spans of seeds that are whole in their partition, and the suffixes of all others as they came (removed is null)."""
+    beside = min_words - seed_words
+
+    def table(spans) -> list[pa.RecordBatch]:
+        n = len(spans[0])
+        return [pa.RecordBatch.from_arrays([*map(pa.array, spans), *(pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names)] if n else []
+
+    def open_(t: pa.Table) -> list[pa.RecordBatch]:
+        no = [pa.nulls(len(t), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.bool_())]
+        return pa.Table.from_arrays([t["id"], *no, t["key"], t["at"], t["left"], t["right"]], names).combine_chunks().to_batches() if len(t) else []
+
+    def decided(t: pa.Table) -> list[pa.RecordBatch]:
+        # Some thousand suffixes at once, each seed whole.
+        out, begin, key = [], 0, t["key"].to_numpy()
+        for end in [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]:
+            if end - begin < 4096 and end < len(key) or begin == end:
+                continue
+            part, begin = t.slice(begin, end - begin).combine_chunks(), end
+            left, right = (_matrix(part[c], beside) for c in ("left", "right"))
+            out += table(_decided(part["key"].to_numpy(), part["id"].to_numpy(), part["at"].to_numpy(), left, right, min_words))
+        return out
 
+    def rows(batches):
+        # The first seed may have begun in another partition, and the last one is not known to be whole.
+        let_through, held = None, None
+        for b in batches:
+            if not len(b):
+                continue
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            key = t["key"].to_numpy()
+            let_through = key[0] if let_through is None else let_through
+            begin, end = int((key == let_through).sum()), int((key != key[-1]).sum())
+            yield from open_(t.slice(0, begin))
+            held = None
+            if begin < len(key):
+                yield from decided(t.slice(begin, end - begin))
+                held = t.slice(end).combine_chunks()
+                if held.num_rows > MANY:
+                    yield from open_(held)
+                    let_through, held = key[-1], None
+        if held is not None:
+            yield from open_(held)
 
-def _compare(sorted_rows: DataFrame, min_words: int, seed_words: int) -> DataFrame:
-    """Matched suffixes (edge < 0), some of them more than once, and each partition's outermost rows (edge = 0)."""
-    reach, beside = min_words - seed_words + 1, min_words - seed_words
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+    return sorted_rows.select("key", "id", "at", "left", "right").mapInArrow(rows, _FOUND)
 
-    def out(t: pa.Table, first, last, owner, edge: int, whole: bool) -> list[pa.RecordBatch]:
-        empty = pa.array([b""] * len(t), pa.binary())
-        ends = [t["left"], t["right"]] if whole else [empty, empty]
-        cols = [t["id"], pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(owner, pa.int64()), pa.array([edge] * len(t), pa.int32()), t["key"], t["at"], *ends]
-        return pa.Table.from_arrays(cols, ["id", "first", "last", "owner", "edge", "key", "at", "left", "right"]).combine_chunks().to_batches()
 
-    def edges(t: pa.Table) -> list[pa.RecordBatch]:
-        none = np.full(len(t), -1)
-        return out(t, none, none, none, 0, True)
+def _open_runs(open_: DataFrame, min_words: int, seed_words: int) -> DataFrame:
+    def rows(batches):
+        for b in batches:
+            for k in range(0, len(b), 2048):
+                key, ids, at, left, right = b.slice(k, 2048).columns
+                run, held = _runs(key.to_numpy(), *(_matrix(x, min_words - seed_words) for x in (left, right)))
+                row, to_left = np.nonzero(held)
+                yield pa.RecordBatch.from_arrays([pa.array(run[row, to_left].view(np.int64)), pa.array(ids.to_numpy()[row]), pa.array(at.to_numpy()[row] - to_left)], ["run", "id", "first"])
+
+    return open_.select("key", "id", "at", "left", "right").mapInArrow(rows, "run long, id long, first long")
+
+
+def _settled(sorted_runs: DataFrame) -> DataFrame:
+    """Rows of sorted runs that another id has, with the least id (lo).
+
+    With ``edge`` come all rows of the partition's first run, and of its last
+    one those that only another partition could match and a row without place.
+    """
+
+    def out(run, ids, first, lo, edge: bool):
+        cols = [pa.array(run), pa.array(ids), pa.array(first, pa.int64()), pa.array(np.broadcast_to(lo, len(run)).copy(), pa.int64()), pa.array([edge] * len(run), pa.bool_())]
+        return pa.RecordBatch.from_arrays(cols, ["run", "id", "first", "lo", "edge"])
 
     def rows(batches):
-        held, keeper, owner_so_far = None, None, None
+        opening, current, lo, met, waiting = None, None, 0, False, []
         for b in batches:
             if not len(b):
                 continue
-            new = pa.Table.from_batches([b])
-            if held is None:
-                yield from edges(new.slice(0, NEIGHBOURS))
-            before = held.num_rows if held is not None else 0
-            t = (pa.concat_tables([held, new]) if before else new).combine_chunks()
-            key, ids, at = (t[c].to_numpy() for c in ("key", "id", "at"))
-            left, right = (_matrix(t[c], reach) for c in ("left", "right"))
-            goes_on, far_left, far_right = matches(key, ids, left, right, beside)
-            begins = ~goes_on
-            begins[0] = True
-            run = np.cumsum(begins) - 1
-            least = np.minimum.reduceat(ids, np.flatnonzero(begins))
-            if before:
-                r = run[before - 1]
-                if keeper is not None and least[r] < owner_so_far:
-                    # The run went on, and a document with a smaller id takes the passage over.
-                    yield from out(keeper, keeper["first"], keeper["last"], [int(least[r])], -1, False)
-                least[r] = min(least[r], owner_so_far)
-            owner = least[run]
-            yes = np.flatnonzero(far_right >= 0)
-            if len(yes):
-                part = t.take(pa.array(yes))
-                yield from out(part, at[yes] - far_left[yes], at[yes] + seed_words + far_right[yes], owner[yes], -1, False)
-            own = yes[(run[yes] == run[-1]) & (ids[yes] == owner[yes])]
-            if len(own):
-                i = own[:1]
-                keeper = t.take(pa.array(i)).append_column("first", pa.array(at[i] - far_left[i])).append_column("last", pa.array(at[i] + seed_words + far_right[i]))
-            elif not before or run[-1] != run[before - 1]:
-                keeper = None
-            owner_so_far = int(least[-1])
-            held = t.slice(max(0, t.num_rows - NEIGHBOURS)).combine_chunks()
-        if held is not None:
-            yield from edges(held)
+            run, ids, first = (b.column(k).to_numpy() for k in range(3))
+            if opening is None:
+                opening, current, lo = run[0], run[0], ids[0]
+            head, tail = int(np.searchsorted(run, current, "right")), int(np.searchsorted(run, run[-1]))
+            if head:
+                met = met or bool(ids[head - 1] != lo)
+                waiting.append((run[:head], ids[:head], first[:head]))
+            if met or current == opening:
+                yield from (out(*w, lo, current == opening) for w in waiting)
+                waiting = []
+            if head == len(run):
+                continue
+            if tail > head:
+                owner, both = _owned(run[head:tail], ids[head:tail])
+                yield out(run[head:tail][both], ids[head:tail][both], first[head:tail][both], owner[both], False)
+            current, lo, met = run[-1], ids[tail], bool(ids[-1] != ids[tail])
+            # Rows of the least id wait for another id.
+            waiting = [(run[tail:], ids[tail:], first[tail:])]
+            if met:
+                yield out(*waiting.pop(), lo, False)
+        yield from (out(*w, lo, True) for w in waiting)
+        if current is not None:
+            yield out(np.array([current]), np.array([lo]), [None], lo, True)
+
+    return sorted_runs.select("run", "id", "first").mapInArrow(rows, "run long, id long, first long, lo long, edge boolean")
+
+
+def _open_spans(open_: DataFrame, scratch: Scratch, parts: int, min_words: int, seed_words: int) -> DataFrame:
+    """Spans of the suffixes whose seeds no partition held whole."""
+    order = ["run", "id", "first"]
+    runs = _open_runs(open_, min_words, seed_words).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    settled = scratch.keep(_settled(runs), "settled")
+    # At most two runs for each partition, so every executor may have them all.
+    border = settled.where("edge").groupBy("run").agg(F.min("lo").alias("owner"), F.max("id").alias("most")).where("owner < most").select("run", "owner").toArrow()
+    run, owner = border["run"].to_numpy(), border["owner"].to_numpy()
+    order = np.argsort(run)
+    known = settled.sparkSession.sparkContext.broadcast((run[order], owner[order]))
+
+    def looked_up(batches):
+        run, owner = known.value
+        for b in batches:
+            mine = b.column(0).to_numpy()
+            at = np.searchsorted(run, mine)
+            at[at == len(run)] = 0
+            hit = run[at] == mine if len(run) else np.zeros(len(mine), bool)
+            yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(hit)), b.column(2).filter(pa.array(hit)), pa.array(owner[at[hit]])], ["id", "first", "owner"])
 
-    return sorted_rows.select("key", "id", "at", "left", "right").mapInArrow(rows, _FOUND)
+    at_edge = settled.where("edge AND first IS NOT NULL").select("run", "id", "first").mapInArrow(looked_up, "id long, first long, owner long")
+    found = settled.where("NOT edge").select("id", "first", F.col("lo").alias("owner")).unionByName(at_edge)
+    return found.select("id", "first", (F.col("first") + min_words).alias("last"), "owner", (F.col("owner") < F.col("id")).alias("removed"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
@@ -219,11 +333,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = _suffixes(docs, shared, min_words, seed_words)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = scratch.keep(_compare(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), min_words, seed_words), "found")
-    # A few rows for each partition, not for each document.
-    edges = found.where("edge = 0").select("key", "id", "at", "left", "right").dropDuplicates(["key", "id", "at"])
-    across = _compare(edges.repartition(1).sortWithinPartitions(*order), min_words, seed_words)
-    seen = found.where("edge < 0").unionByName(across.where("edge < 0")).groupBy("id", "at").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("owner").alias("owner"))
-    seen = seen.withColumn("removed", F.col("owner") < F.col("id"))
+    span = ["id", "first", "last", "owner", "removed"]
+    seen = found.where("removed IS NOT NULL").select(*span).unionByName(_open_spans(found.where("removed IS NULL"), scratch, parts, min_words, seed_words).select(*span))
     own = Window.partitionBy("id", "removed").orderBy("first", "last")
     begun = seen.withColumn("reached", F.max("last").over(own.rowsBetween(Window.unboundedPreceding, -1)))
     part = begun.withColumn("span", F.sum(F.when(F.col("first") <= F.col("reached"), 0).otherwise(1)).over(own))

@@ -136,6 +136,43 @@ def test_passages_equal_brute_force(docs, empty):
     assert repeated_passages(empty).count() == 0
 
 
+def brute_passages(rows):
+    """Per document the words of repeated runs of 50 words that it keeps, and those of runs that a smaller id holds."""
+    held = defaultdict(set)
+    for i, w in rows:
+        for j in range(len(w) - 49):
+            held[tuple(w[j : j + 50])].add(i)
+    kept, removed = defaultdict(set), defaultdict(set)
+    for i, w in rows:
+        for j in range(len(w) - 49):
+            ids = held[tuple(w[j : j + 50])]
+            if len(ids) > 1:
+                (removed if min(ids) < i else kept)[i].update(range(j, j + 50))
+    return kept, removed
+
+
+def check_passages(spark, rows):
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    got = {False: defaultdict(set), True: defaultdict(set)}
+    for r in repeated_passages(df).collect():
+        got[r["removed"]][r["id"]].update(range(r["first_word"], r["first_word"] + r["n_words"]))
+        assert r["owner"] < r["id"] if r["removed"] else r["owner"] == r["id"]
+    kept, removed = brute_passages(rows)
+    assert got[False] == kept and got[True] == removed
+    return removed
+
+
+def test_passages_that_a_document_repeats(spark):
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    passage = fresh(60)
+    rows = [(1, [*fresh(20), *passage, *fresh(20)]), (2, [x for _ in range(10) for x in (*fresh(5), *passage)]), (3, ["a"] * 300), (4, ["a"] * 300), (5, fresh(30) + ["a"] * 90)]
+    # One passage with varying surroundings in many documents, some of them twice.
+    rows += [(i, [*fresh(rng.randrange(30)), *passage[rng.randrange(5) :], *fresh(8), *passage[: rng.randrange(45, 60)]]) for i in range(10, 400)]
+    removed = check_passages(spark, rows)
+    assert len(removed[2]) == 600 and len(removed[4]) == 300
+
+
 def test_language_model(spark, docs, empty):
     rng = random.Random(1)
     vocabulary = {"aa": ["taka", "kato", "mika", "noki"], "bb": ["bluhr", "schtz", "gromf", "pflz"]}
