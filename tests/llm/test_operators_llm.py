@@ -173,6 +173,21 @@ def test_passages_that_a_document_repeats(spark):
     assert len(removed[2]) == 600 and len(removed[4]) == 300
 
 
+def test_removed_passages_stay_elsewhere(spark):
+    rng = random.Random(22)
+    rows = []
+    for k in range(40):
+        fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+        core, left, right = fresh(45), fresh(10), fresh(10)
+        rows += [(3 * k + 1, left + core), (3 * k + 2, left + core + right), (3 * k + 3, core + right)]
+    removed = check_passages(spark, rows)
+    texts = dict(rows)
+    left_over = {i: {w for j, w in enumerate(t) if j not in removed[i]} for i, t in rows}
+    for k in range(40):
+        assert set(texts[3 * k + 2][-10:]) <= left_over[3 * k + 2]
+        assert {w for i in (1, 2, 3) for w in texts[3 * k + i]} == {w for i in (1, 2, 3) for w in left_over[3 * k + i]}
+
+
 def test_language_model(spark, docs, empty):
     rng = random.Random(1)
     vocabulary = {"aa": ["taka", "kato", "mika", "noki"], "bb": ["bluhr", "schtz", "gromf", "pflz"]}
