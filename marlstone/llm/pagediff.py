@@ -138,19 +138,16 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     verdict = decided.where("NOT edge").unionByName(ends).where("size(shared) > 0").groupBy("uid").agg(F.max("shared").alias("shared"))
     verdict = scratch.keep(verdict, "verdict")
 
-    def texts(batches, with_shared: bool):
+    def texts(batches):
         for b in batches:
             out = []
-            flags = b.column(3).to_pylist() if with_shared else [None] * len(b)
-            for html, shared in zip(b.column(2).to_pylist(), flags, strict=True):
-                gone = set(shared or ())
-                wanted = (htmltext.ARTICLE, htmltext.OPEN) if with_shared else (htmltext.ARTICLE,)
-                out.append("\n".join(x for i, (x, zone) in enumerate(htmltext.blocks(html)) if zone in wanted and (zone == htmltext.ARTICLE or i not in gone)))
+            for html, shared in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                found, gone = htmltext.blocks(html), set(shared or ())
+                # Shared lines go on every page; an article, if the page has text in one, gets its own back and stands alone.
+                has_article = any(zone == htmltext.ARTICLE for _, zone in found)
+                left = [x for i, (x, zone) in enumerate(found) if zone == htmltext.ARTICLE or zone == htmltext.OPEN and not has_article and i not in gone]
+                out.append("\n".join(left))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["id", "url", "text", "n_chars"])
 
     schema = bare.select("id", "url").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
-    # A page with an article element is that article; any other loses its shared lines and is looked up.
-    outside = keyed.withColumn("outside", ~F.lower(F.coalesce("html", F.lit(""))).rlike(r"<(article|main)[\s>]"))
-    plain = outside.where("NOT outside").select("id", "url", "html").mapInArrow(lambda it: texts(it, False), schema)
-    looked = outside.where("outside").join(verdict, "uid", "left").select("id", "url", "html", "shared").mapInArrow(lambda it: texts(it, True), schema)
-    return plain.unionByName(looked)
+    return keyed.join(verdict, "uid", "left").select("id", "url", "html", "shared").mapInArrow(texts, schema)

@@ -216,6 +216,13 @@ def test_pages(spark):
     assert extract_pages(df.limit(0)).count() == 0
 
 
+def test_pages_that_only_name_an_article(spark):
+    tops = ["<script>var x = '<article class=a>';</script>", "<!-- <main> -->", "<nav><article >teaser</article></nav>"]
+    rows = [(i, f"http://h.example/a/{i}", f"<body>{tops[i % 3]}<div>Menu one</div><p>Own {i}</p><p>tail shared</p></body>") for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert {r["id"]: r["text"] for r in extract_pages(df).collect()} == {i: f"Own {i}" for i in range(9)}
+
+
 def test_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(50):
