@@ -10,9 +10,9 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from marlstone.llm import language, pieces, quality, secrets, toxicity, webp
+from marlstone.llm import language, pieces, quality, secrets, toxicity
 from marlstone.llm.jaccard import ngram_jaccard_join, pack, unpack
-from marlstone.llm.media import store_texts
+from marlstone.llm.media import restore, store_texts
 from marlstone.llm.packing import SumOfSquares, WordEncoder, pack_documents
 from marlstone.llm.packing import pack as pack_ids
 from marlstone.llm.pagediff import common_subsequence, extract_pages
@@ -363,5 +363,5 @@ def test_media(docs, empty):
         raw = (corpus()[r["id"]][1] or "" if r["id"] is not None else corpus()[-1][1]).encode()
         payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert webp.decode(r["media"]).reshape(-1)[: len(payload)].tobytes() == payload
+        assert restore(r["media"])[: len(payload)].tobytes() == payload
     assert store_texts(empty).count() == 0
