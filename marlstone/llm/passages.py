@@ -16,9 +16,9 @@ kept suffix at the same offset.
    division of the remaining words between left and right.  Of every run the
    least id that holds it is its owner, so each match has its own owner.
 4. A seed whose suffixes may go on in another partition, or that has very many,
-   is not decided there: its runs are sorted once more by their hash, and what
-   the partitions know of the hashes at their borders, two rows each, is put
-   together afterwards.
+   is not decided there: the partition tells each of its runs once, with the
+   least and greatest id.  Put together over all partitions these tell the runs
+   that two ids share, and what a partition has told is answered to it alone.
 
 A run is removed from every document but its owner.  Each removed word is in a
 run of a smaller id, which keeps it or loses it to a run of a still smaller one;
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +42,10 @@ SEED_WORDS = 25
 #: Seeds with more suffixes in a partition are decided by their runs; any number is right.
 MANY = 20000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-_FOUND = "id long, first long, last long, owner long, removed boolean, key long, at long, left binary, right binary"
+#: What a row is: a run (its hash as key, its least id, and its greatest as owner), a suffix not decided, or a span.
+RUN, SUFFIX, SPAN = 0, 1, 2
+_FOUND = "part int, kind int, id long, first long, last long, owner long, removed boolean, key long, at long, left binary, right binary"
+_TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
 
 def _sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
@@ -152,26 +156,18 @@ def _runs(key: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndar
     return textkit.mix(mixed ^ textkit.mix(key.view(np.uint64))[:, None]), held
 
 
-def _owned(run: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the least id with its run, and whether another id has it."""
+def _distinct(run: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct runs in order, the least and greatest id of each, and each row's place among them."""
     order = np.argsort(run, kind="stable")
     r, v = run[order], ids[order]
     begins = np.concatenate([[True], r[1:] != r[:-1]])
-    first, group = np.flatnonzero(begins), np.cumsum(begins) - 1
-    lo, hi = np.minimum.reduceat(v, first), np.maximum.reduceat(v, first)
-    owner, met = np.empty(len(run), np.int64), np.empty(len(run), bool)
-    owner[order], met[order] = lo[group], (lo < hi)[group]
-    return owner, met
+    first, place = np.flatnonzero(begins), np.empty(len(run), np.int64)
+    place[order] = np.cumsum(begins) - 1
+    return r[first], np.minimum.reduceat(v, first), np.maximum.reduceat(v, first), place
 
 
-def _decided(key, ids, at, left, right, min_words: int) -> tuple[np.ndarray, ...]:
-    """Spans (id, first, last, owner, removed) of whole seeds: neighbouring runs of a suffix with the same fate are one."""
-    run, held = _runs(key, left, right)
-    row, to_left = np.nonzero(held)
-    if not len(row):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, bool))
-    owner, met = _owned(run[row, to_left], ids[row])
-    row, to_left, owner = row[met], to_left[met], owner[met]
+def _joined(ids, at, row, to_left, owner, min_words: int) -> tuple[np.ndarray, ...]:
+    """Spans (id, first, last, owner, removed) of runs that are shared: neighbouring runs of a suffix with the same fate are one."""
     removed = owner < ids[row]
     begins = np.ones(len(row), bool)
     begins[1:] = (row[1:] != row[:-1]) | (to_left[1:] != to_left[:-1] + 1) | (removed[1:] != removed[:-1])
@@ -183,17 +179,41 @@ def _decided(key, ids, at, left, right, min_words: int) -> tuple[np.ndarray, ...
     return ids[row[first]], begin - to_left[last], begin - to_left[first] + min_words, np.minimum.reduceat(owner, first), removed[first]
 
 
+def _held_runs(t: pa.Table, beside: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row and number of words left of the seed of each run of some suffixes."""
+    run, held = _runs(t["key"].to_numpy(), *(_matrix(t[c], beside) for c in ("left", "right")))
+    row, to_left = np.nonzero(held)
+    return run[row, to_left], row, to_left
+
+
+def _rows(kind: int, n: int, **columns) -> list[pa.RecordBatch]:
+    """``n`` rows of what is found, null but for the columns given."""
+    if not n:
+        return []
+    of = TaskContext.get().partitionId() if TaskContext.get() else 0
+    columns |= {"part": np.full(n, of, np.int32), "kind": np.full(n, kind, np.int32)}
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+    arrays = [columns[c] if c in columns else pa.nulls(n, k) for c, k in zip(names, _TYPES, strict=True)]
+    return pa.Table.from_arrays([x if isinstance(x, pa.ChunkedArray | pa.Array) else pa.array(x, k) for x, k in zip(arrays, _TYPES, strict=True)], names).combine_chunks().to_batches()
+
+
+def _span_rows(spans) -> list[pa.RecordBatch]:
+    return _rows(SPAN, len(spans[0]), **dict(zip(("id", "first", "last", "owner", "removed"), spans, strict=True)))
+
+
 def _compare(sorted_rows: DataFrame, min_words: int, seed_words: int) -> DataFrame:
-    """Spans of seeds that are whole in their partition, and the suffixes of all others as they came (removed is null)."""
+    """Spans of seeds that are whole in their partition; of all others the suffixes as they came, and their runs."""
     beside = min_words - seed_words
 
-    def table(spans) -> list[pa.RecordBatch]:
-        n = len(spans[0])
-        return [pa.RecordBatch.from_arrays([*map(pa.array, spans), *(pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names)] if n else []
-
     def open_(t: pa.Table) -> list[pa.RecordBatch]:
-        no = [pa.nulls(len(t), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.bool_())]
-        return pa.Table.from_arrays([t["id"], *no, t["key"], t["at"], t["left"], t["right"]], names).combine_chunks().to_batches() if len(t) else []
+        out = _rows(SUFFIX, len(t), **{c: t[c] for c in ("id", "key", "at", "left", "right")})
+        for k in range(0, len(t), 4096):
+            part = t.slice(k, 4096).combine_chunks()
+            run, row, _ = _held_runs(part, beside)
+            if len(row):
+                run, lo, hi, _ = _distinct(run, part["id"].to_numpy()[row])
+                out += _rows(RUN, len(run), key=run.view(np.int64), id=lo, owner=hi)
+        return out
 
     def decided(t: pa.Table) -> list[pa.RecordBatch]:
         # Some thousand suffixes at once, each seed whole.
@@ -202,8 +222,12 @@ def _compare(sorted_rows: DataFrame, min_words: int, seed_words: int) -> DataFra
             if end - begin < 4096 and end < len(key) or begin == end:
                 continue
             part, begin = t.slice(begin, end - begin).combine_chunks(), end
-            left, right = (_matrix(part[c], beside) for c in ("left", "right"))
-            out += table(_decided(part["key"].to_numpy(), part["id"].to_numpy(), part["at"].to_numpy(), left, right, min_words))
+            run, row, to_left = _held_runs(part, beside)
+            if len(row):
+                ids = part["id"].to_numpy()
+                _, lo, hi, place = _distinct(run, ids[row])
+                met = (lo < hi)[place]
+                out += _span_rows(_joined(ids, part["at"].to_numpy(), row[met], to_left[met], lo[place[met]], min_words))
         return out
 
     def rows(batches):
@@ -228,88 +252,43 @@ def _compare(sorted_rows: DataFrame, min_words: int, seed_words: int) -> DataFra
         if held is not None:
             yield from open_(held)
 
-    names = [c.split()[0] for c in _FOUND.split(", ")]
     return sorted_rows.select("key", "id", "at", "left", "right").mapInArrow(rows, _FOUND)
 
 
-def _open_runs(open_: DataFrame, min_words: int, seed_words: int) -> DataFrame:
-    def rows(batches):
-        for b in batches:
-            for k in range(0, len(b), 2048):
-                key, ids, at, left, right = b.slice(k, 2048).columns
-                run, held = _runs(key.to_numpy(), *(_matrix(x, min_words - seed_words) for x in (left, right)))
-                row, to_left = np.nonzero(held)
-                yield pa.RecordBatch.from_arrays([pa.array(run[row, to_left].view(np.int64)), pa.array(ids.to_numpy()[row]), pa.array(at.to_numpy()[row] - to_left)], ["run", "id", "first"])
-
-    return open_.select("key", "id", "at", "left", "right").mapInArrow(rows, "run long, id long, first long")
-
-
-def _settled(sorted_runs: DataFrame) -> DataFrame:
-    """Rows of sorted runs that another id has, with the least id (lo).
-
-    With ``edge`` come all rows of the partition's first run, and of its last
-    one those that only another partition could match and a row without place.
-    """
-
-    def out(run, ids, first, lo, edge: bool):
-        cols = [pa.array(run), pa.array(ids), pa.array(first, pa.int64()), pa.array(np.broadcast_to(lo, len(run)).copy(), pa.int64()), pa.array([edge] * len(run), pa.bool_())]
-        return pa.RecordBatch.from_arrays(cols, ["run", "id", "first", "lo", "edge"])
+def _settled(found: DataFrame, parts: int, min_words: int, seed_words: int) -> DataFrame:
+    """All spans: those found, and those of the suffixes not decided, by the answers about their runs."""
+    runs = found.where(F.col("kind") == RUN)
+    shared = runs.groupBy("key").agg(F.min("id").alias("least"), F.max("owner").alias("most")).where("least < most").select("key", F.col("least").alias("owner"))
+    told = runs.select("part", "kind", "key").distinct().join(shared, "key")
+    every = found.where(F.col("kind") != RUN).unionByName(told, allowMissingColumns=True)
+    beside = min_words - seed_words
 
     def rows(batches):
-        opening, current, lo, met, waiting = None, None, 0, False, []
+        # Answers come first.
+        held, run, owner = [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in batches:
-            if not len(b):
-                continue
-            run, ids, first = (b.column(k).to_numpy() for k in range(3))
-            if opening is None:
-                opening, current, lo = run[0], run[0], ids[0]
-            head, tail = int(np.searchsorted(run, current, "right")), int(np.searchsorted(run, run[-1]))
-            if head:
-                met = met or bool(ids[head - 1] != lo)
-                waiting.append((run[:head], ids[:head], first[:head]))
-            if met or current == opening:
-                yield from (out(*w, lo, current == opening) for w in waiting)
-                waiting = []
-            if head == len(run):
+            t = pa.Table.from_batches([b])
+            kind = t["kind"].to_numpy()
+            if (kind == RUN).any():
+                told = t.filter(pa.array(kind == RUN))
+                held.append((told["key"].to_numpy().view(np.uint64), told["owner"].to_numpy()))
+            if (kind == RUN).all():
                 continue
-            if tail > head:
-                owner, both = _owned(run[head:tail], ids[head:tail])
-                yield out(run[head:tail][both], ids[head:tail][both], first[head:tail][both], owner[both], False)
-            current, lo, met = run[-1], ids[tail], bool(ids[-1] != ids[tail])
-            # Rows of the least id wait for another id.
-            waiting = [(run[tail:], ids[tail:], first[tail:])]
-            if met:
-                yield out(*waiting.pop(), lo, False)
-        yield from (out(*w, lo, True) for w in waiting)
-        if current is not None:
-            yield out(np.array([current]), np.array([lo]), [None], lo, True)
-
-    return sorted_runs.select("run", "id", "first").mapInArrow(rows, "run long, id long, first long, lo long, edge boolean")
-
-
-def _open_spans(open_: DataFrame, scratch: Scratch, parts: int, min_words: int, seed_words: int) -> DataFrame:
-    """Spans of the suffixes whose seeds no partition held whole."""
-    order = ["run", "id", "first"]
-    runs = _open_runs(open_, min_words, seed_words).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    settled = scratch.keep(_settled(runs), "settled")
-    # At most two runs for each partition, so every executor may have them all.
-    border = settled.where("edge").groupBy("run").agg(F.min("lo").alias("owner"), F.max("id").alias("most")).where("owner < most").select("run", "owner").toArrow()
-    run, owner = border["run"].to_numpy(), border["owner"].to_numpy()
-    order = np.argsort(run)
-    known = settled.sparkSession.sparkContext.broadcast((run[order], owner[order]))
-
-    def looked_up(batches):
-        run, owner = known.value
-        for b in batches:
-            mine = b.column(0).to_numpy()
-            at = np.searchsorted(run, mine)
-            at[at == len(run)] = 0
-            hit = run[at] == mine if len(run) else np.zeros(len(mine), bool)
-            yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(hit)), b.column(2).filter(pa.array(hit)), pa.array(owner[at[hit]])], ["id", "first", "owner"])
-
-    at_edge = settled.where("edge AND first IS NOT NULL").select("run", "id", "first").mapInArrow(looked_up, "id long, first long, owner long")
-    found = settled.where("NOT edge").select("id", "first", F.col("lo").alias("owner")).unionByName(at_edge)
-    return found.select("id", "first", (F.col("first") + min_words).alias("last"), "owner", (F.col("owner") < F.col("id")).alias("removed"))
+            if held:
+                run, at = np.unique(np.concatenate([run, *(h[0] for h in held)]), return_index=True)
+                owner = np.concatenate([owner, *(h[1] for h in held)])[at]
+                held = []
+            suffixes = t.filter(pa.array(kind == SUFFIX))
+            for k in range(0, len(suffixes), 4096):
+                part = suffixes.slice(k, 4096).combine_chunks()
+                mine, row, to_left = _held_runs(part, beside)
+                place = np.minimum(np.searchsorted(run, mine), max(len(run) - 1, 0))
+                met = run[place] == mine if len(run) else np.zeros(len(mine), bool)
+                yield from _span_rows(_joined(part["id"].to_numpy(), part["at"].to_numpy(), row[met], to_left[met], owner[place[met]], min_words))
+            yield from t.filter(pa.array(kind == SPAN)).combine_chunks().to_batches()
+
+    order = every.select(*[c.split()[0] for c in _FOUND.split(", ")]).repartition(parts, "part").sortWithinPartitions("kind")
+    return order.mapInArrow(rows, _FOUND).select("id", "first", "last", "owner", "removed")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
@@ -333,8 +312,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = _suffixes(docs, shared, min_words, seed_words)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = scratch.keep(_compare(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), min_words, seed_words), "found")
-    span = ["id", "first", "last", "owner", "removed"]
-    seen = found.where("removed IS NOT NULL").select(*span).unionByName(_open_spans(found.where("removed IS NULL"), scratch, parts, min_words, seed_words).select(*span))
+    seen = _settled(found, parts, min_words, seed_words)
     own = Window.partitionBy("id", "removed").orderBy("first", "last")
     begun = seen.withColumn("reached", F.max("last").over(own.rowsBetween(Window.unboundedPreceding, -1)))
     part = begun.withColumn("span", F.sum(F.when(F.col("first") <= F.col("reached"), 0).otherwise(1)).over(own))
