@@ -5,28 +5,36 @@ from __future__ import annotations
 import re
 from html import unescape
 
-ARTICLE, OPEN, BOILERPLATE = 0, 1, 2
+#: Zones.  What is unsure has a name that speaks for an article and one that speaks against it; it stands in an article or outside.
+ARTICLE, OPEN, BOILERPLATE, UNSURE_ARTICLE, UNSURE = 0, 1, 2, 3, 4
+#: An unsure block with so large a share of its characters in links is a list of links.
+LINKED = 0.5
 
 #: Element names by role.
 RAW = frozenset("script style noscript template textarea title svg math iframe object select option button canvas audio video".split())
 ASIDE = frozenset("nav aside footer form head dialog menu fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-#: Words of class, id or role that mark what surrounds an article.
+#: Words of class, id or role that mark what surrounds an article, those that mark what readers wrote, and those that name an article's own parts.
 MARKS = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer disqus footer header masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget contentinfo complementary search alert".split()
+    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs cookie cookies consent disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promotion recommended related share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget contentinfo complementary search alert".split()
 )
+READERS = frozenset("comment comments commentlist disqus replies reply respond".split())
+CONTENT = frozenset("article body content entry post story text".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACES = re.compile(r"\s+")
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str) -> tuple[bool, bool]:
+    """Whether an element's names mark it as surroundings, and whether another of them speaks for an article."""
+    words: set[str] = set()
     for m in _NAMED.finditer(attributes):
-        if not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+        words.update(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
+    if not READERS.isdisjoint(words):
+        return True, False
+    return not MARKS.isdisjoint(words), not CONTENT.isdisjoint(words)
 
 
 def blocks(html: str | None) -> list[tuple[str, int]]:
@@ -40,14 +48,17 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     text: list[str] = []
     stack: list[tuple[str, int]] = []
-    zone = OPEN
+    zone, linked, in_link = OPEN, 0, False
 
     def flush() -> None:
+        nonlocal linked
         if text:
-            line = _SPACES.sub(" ", unescape("".join(text))).strip()
+            whole = "".join(text)
+            line = _SPACES.sub(" ", unescape(whole)).strip()
             if line:
-                out.append((line, zone))
+                out.append((line, BOILERPLATE if zone >= UNSURE_ARTICLE and linked >= LINKED * len(whole) else zone))
             text.clear()
+        linked = 0
 
     at, n = 0, len(html)
     while at < n:
@@ -57,6 +68,7 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
             break
         if m.start() > at:
             text.append(html[at : m.start()])
+            linked += m.start() - at if in_link else 0
         at = m.end()
         name = m[2]
         if name is None:
@@ -64,6 +76,8 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
                 text.append(m[0][9:].removesuffix("]]>"))
             continue
         name = name.lower()
+        if name == "a":
+            in_link = not m[1]
         if m[1]:
             if name not in INLINE:
                 flush()
@@ -93,8 +107,11 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
             if stack and stack[-1][0] == "p":
                 zone = stack.pop()[1]
         inner = zone
-        if name in ASIDE or name == "header" and zone != ARTICLE or name not in ("html", "body", "article", "main") and _marked(m[3]):
+        marked, content = _marked(m[3]) if name not in ("html", "body", "article", "main") else (False, False)
+        if name in ASIDE or name == "header" and zone != ARTICLE or marked and not content:
             inner = BOILERPLATE
+        elif marked and zone in (ARTICLE, OPEN):
+            inner = UNSURE_ARTICLE if zone == ARTICLE else UNSURE
         elif name in ("article", "main") and zone != BOILERPLATE:
             inner = ARTICLE
         if inner != zone:

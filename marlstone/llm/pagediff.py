@@ -1,12 +1,14 @@
 """Main text of web pages by differencing each page with its nearest neighbours by URL.
 
-Pages are sorted by host and path over a range partitioning, so one host may
-fill many tasks.  In that order the page with the longest common path stands
-next to each page.  The text lines of both are aligned by a longest common
-subsequence, and lines found in both are deleted, except inside an explicit
-article: quotations and licence lines repeat there for good reason.  Menus,
-notices, forms, comments and the like are dropped by their elements and names
-whether they are shared or not.
+Pages are parsed once, into text lines with the zones they stand in, and sorted
+by host and path over a range partitioning, so one host may fill many tasks.
+In that order the page with the longest common path stands next to each page.
+The lines of both are aligned by a longest common subsequence, and lines found
+in both are deleted.  Two zones are decided before that: what plainly is a menu,
+a notice, a form or the like goes whether it is shared or not, and an explicit
+article keeps its lines, for quotations and licences repeat there for good
+reason.  Wherever names speak both for and against an article, or the page has
+no article, the differencing decides.
 """
 
 from __future__ import annotations
@@ -22,6 +24,28 @@ from marlstone.llm import htmltext
 from marlstone.llm.store import Scratch
 
 
+def _best(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``x`` and each beginning of ``y``."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for v in x:
+        row[1:] = np.maximum.accumulate(np.maximum(np.where(y == v, row[:-1] + 1, 0), row[1:]))
+    return row
+
+
+def _aligned(x: np.ndarray, y: np.ndarray, first: int, found: set[int]) -> None:
+    """Add the places in ``x`` (from ``first``) of one longest common subsequence, in memory that grows with the lengths only."""
+    if not len(x) or not len(y):
+        return
+    if len(x) == 1:
+        if (y == x[0]).any():
+            found.add(first)
+        return
+    half = len(x) // 2
+    cut = int(np.argmax(_best(x[:half], y) + _best(x[half:][::-1], y[::-1])[::-1]))
+    _aligned(x[:half], y[:cut], first, found)
+    _aligned(x[half:], y[cut:], first + half, found)
+
+
 def common_subsequence(x: list, y: list) -> set[int]:
     """Positions in ``x`` of one longest common subsequence with ``y``."""
     found: set[int] = set()
@@ -34,23 +58,11 @@ def common_subsequence(x: list, y: list) -> set[int]:
         found.add(len(x) - 1 - hi)
         hi += 1
     a, b = x[lo : len(x) - hi], y[lo : len(y) - hi]
-    both = set(a) & set(b)
-    at = [i for i, v in enumerate(a) if v in both]
-    b = np.array([v for v in b if v in both], dtype=object)
-    if not at or not len(b):
-        return found
-    best = [np.zeros(len(b) + 1, np.int64)]
-    for i in at:
-        step = np.where(b == a[i], best[-1][:-1] + 1, 0)
-        best.append(np.concatenate([[0], np.maximum.accumulate(np.maximum(step, best[-1][1:]))]))
-    j = len(b)
-    for k in range(len(at) - 1, -1, -1):
-        while j and best[k + 1][j - 1] == best[k + 1][j]:
-            j -= 1
-        if j and best[k + 1][j] != best[k][j]:
-            found.add(lo + at[k])
-            j -= 1
-    return found
+    number = {v: k for k, v in enumerate(set(a) & set(b))}
+    at = [i for i, v in enumerate(a) if v in number]
+    placed: set[int] = set()
+    _aligned(np.array([number[a[i]] for i in at], np.int32), np.array([number[v] for v in b if v in number], np.int32), 0, placed)
+    return found | {lo + at[k] for k in placed}
 
 
 def _nearness(x: str, y: str) -> int:
@@ -72,7 +84,6 @@ def _digest(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-_LINES = "uid long, host string, path string, lines array<long>"
 _DECIDED = "uid long, shared array<int>, edge boolean, host string, path string, lines array<long>"
 
 
@@ -108,7 +119,7 @@ def _decide_edges(batches):
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: ``id``, ``url``, ``text`` (blocks joined by newlines) and ``n_chars`` in code points.
+    """One row per page: ``id``, ``url``, ``text`` (blocks joined by newlines), ``n_chars`` in code points and ``n_shared``, the lines that the differencing deleted.
 
     Null or empty html gives the empty text.  A null url counts as empty and is
     compared with other such pages.  Equal rows get equal texts and all stay;
@@ -123,13 +134,22 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     keyed = bare.withColumns({"uid": F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))), "host": host, "path": F.when(path == "", F.col("url")).otherwise(path)})
 
-    def lines(batches):
-        for b in batches:
-            got = [[_digest(x) for x, _ in htmltext.blocks(h)] for h in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(got, pa.list_(pa.int64()))], ["uid", "host", "path", "lines"])
+    kept = ["id", "url", "uid", "host", "path"]
 
+    def parse(batches):
+        for b in batches:
+            found = [htmltext.blocks(h) for h in b.column(5).to_pylist()]
+            columns = [
+                pa.array([[_digest(x) for x, _ in f] for f in found], pa.list_(pa.int64())),
+                pa.array([[x for x, _ in f] for f in found], pa.list_(pa.string())),
+                pa.array([[z for _, z in f] for f in found], pa.list_(pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), *columns], [*kept, "lines", "blocks", "zones"])
+
+    schema = keyed.select(*kept).withColumns({"lines": F.array().cast("array<long>"), "blocks": F.array().cast("array<string>"), "zones": F.array().cast("array<int>")}).schema
+    parsed = scratch.keep(keyed.select(*kept, "html").mapInArrow(parse, schema), "parsed")
     order = ["host", "path", "uid"]
-    small = keyed.select("uid", "host", "path", "html").mapInArrow(lines, _LINES)
+    small = parsed.select("uid", "host", "path", "lines")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     decided = scratch.keep(small.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_decide, _DECIDED), "decided")
     # A few rows for each partition.
@@ -140,14 +160,19 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     def texts(batches):
         for b in batches:
-            out = []
-            for html, shared in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                found, gone = htmltext.blocks(html), set(shared or ())
-                # Shared lines go on every page; an article, if the page has text in one, gets its own back and stands alone.
-                has_article = any(zone == htmltext.ARTICLE for _, zone in found)
-                left = [x for i, (x, zone) in enumerate(found) if zone == htmltext.ARTICLE or zone == htmltext.OPEN and not has_article and i not in gone]
-                out.append("\n".join(left))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["id", "url", "text", "n_chars"])
-
-    schema = bare.select("id", "url").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
-    return keyed.join(verdict, "uid", "left").select("id", "url", "html", "shared").mapInArrow(texts, schema)
+            out, told = [], []
+            for blocks, zones, shared in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                gone = set(shared or ())
+                # Of a page with text in an article that is all, else what stands outside; what is unsure goes if it is shared.
+                has_article = any(z == htmltext.ARTICLE or z == htmltext.UNSURE_ARTICLE and i not in gone for i, z in enumerate(zones))
+                wanted = (htmltext.ARTICLE, htmltext.UNSURE_ARTICLE) if has_article else (htmltext.OPEN, htmltext.UNSURE)
+                own = [i for i, z in enumerate(zones) if z in wanted]
+                left = [i for i in own if zones[i] == htmltext.ARTICLE or i not in gone]
+                out.append("\n".join(blocks[i] for i in left))
+                told.append(len(own) - len(left))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64()), pa.array(told, pa.int32())], ["id", "url", "text", "n_chars", "n_shared"])
+
+    schema = bare.select("id", "url").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long"), "n_shared": F.lit(0)}).schema
+    out = scratch.keep(parsed.join(verdict, "uid", "left").select("id", "url", "blocks", "zones", "shared").mapInArrow(texts, schema), "texts")
+    scratch.drop("texts")
+    return out
