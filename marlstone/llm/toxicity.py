@@ -23,7 +23,7 @@ from marlstone.llm.store import Scratch
 
 #: At most about so many labelled documents are learned from, chosen by hash of the id.
 SAMPLE = 20_000
-#: At most so many features are kept, those with the largest weight first.
+#: At most so many features are kept, those with the largest weight first: a bound on the model, whatever is scored by it.
 FEATURES = 20_000
 LEAST_TOXIC = 4
 LEAST_WEIGHT = 2.0
@@ -42,6 +42,10 @@ _EDGE = ".,;:!?\"'()[]{}<>*%&$#|-_=+/\\~`^"
 _FRONT = "".join(c for c in _EDGE if c not in LOOKS_LIKE)
 #: What the channel charges for reading a sign or digit as a letter, for dropping another sign or a repetition, and for dropping a readable sign.
 CHANGE, DROP, DROP_READABLE = 1.5, 0.7, 3.0
+#: What a word boundary costs between letters that stand apart, beside the model's price of the word's end and of the next one's start.
+BREAK = 1.0
+#: After so many characters the likeliest reading so far is settled, so a lattice of any length needs little memory.
+BLOCK = 256
 
 
 def bare(token: str) -> str:
@@ -90,32 +94,52 @@ def suspicious(token: str) -> bool:
     return len(t) > 2 and any(c.isalpha() for c in t)
 
 
-def restore(token: str, model: np.ndarray) -> str:
+def _path(way: tuple | None) -> str:
+    out = []
+    while way:
+        way, x = way
+        out.append(x)
+    return "".join(reversed(out))
+
+
+def restore(token: str, model: np.ndarray, apart: bool = False) -> str:
     """The likeliest word that a token was written for: Viterbi over the lattice of its readings.
 
     Each character may be kept (letters), read as a letter it looks like, or
     dropped (signs, and repetitions of the letter before).  States are the last
-    two letters; ties go to the reading found first.
+    two letters; ties go to the reading found first.  With ``apart`` the token
+    was put together from single letters and may be several words, which come
+    back with spaces between.
     """
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    before = ""
-    for c in bare(token).lower()[:64]:
-        now: dict[tuple[int, int], tuple[float, str]] = {}
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    before, settled = "", []
+    text = bare(token).lower()
+    for at, c in enumerate(text):
+        now: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
-        def add(state, cost, word, now=now):
+        def add(state, cost, way, now=now):
             if state not in now or cost < now[state][0]:
-                now[state] = (cost, word)
+                now[state] = (cost, way)
 
         letters = [(c, 0.0)] if c in _CODE else [(x, CHANGE if c.isalnum() else CHANGE + 0.3) for x in LOOKS_LIKE.get(c, "")]
         droppable = c not in _CODE or c == before
-        for (a, b), (cost, word) in best.items():
+        for (a, b), (cost, way) in best.items():
             for x, price in letters:
                 k = _CODE[x]
-                add((b, k), cost + price - float(model[a, b, k]), word + x)
+                add((b, k), cost + price - float(model[a, b, k]), (way, x))
             if droppable:
-                add((a, b), cost + (DROP_READABLE if c in LOOKS_LIKE else DROP), word)
+                add((a, b), cost + (DROP_READABLE if c in LOOKS_LIKE else DROP), way)
+        if apart and now and at < len(text) - 1:
+            ends = [(cost + BREAK - float(model[a, b, 0]), (way, " ")) for (a, b), (cost, way) in now.items() if b]
+            if ends:
+                add((0, 0), *min(ends, key=lambda e: e[0]))
         best, before = now or best, c
-    return min(((cost - float(model[a, b, 0]), word) for (a, b), (cost, word) in best.items()), default=(0.0, ""))[1]
+        if at % BLOCK == BLOCK - 1:
+            state, (cost, way) = min(best.items(), key=lambda s: s[1][0])
+            settled.append(_path(way))
+            best = {state: (cost, None)}
+    ways = [(cost - float(model[a, b, 0]), _path(way)) for (a, b), (cost, way) in best.items()]
+    return "".join(settled) + min(ways, default=(0.0, ""))[1]
 
 
 def features(word: str) -> list[str]:
@@ -123,7 +147,7 @@ def features(word: str) -> list[str]:
 
 
 def spaced(words: list[str]) -> list[str]:
-    """Words written with their letters apart: runs of four single characters or more, joined."""
+    """Words written with their letters apart: runs of four single characters or more, joined; where one word ends is for the lattice to say."""
     sizes = bytes(min(len(w), 255) for w in words)
     if b"\1\1\1\1" not in sizes:
         return []
@@ -162,7 +186,7 @@ class Reader:
         words = text.split()
         out = {f for w in set(words) for f in self.forms(w)}
         for run in spaced(words):
-            out.update((run.lower(), restore(run, self.model)))
+            out.update((run.lower(), *restore(run, self.model, True).split()))
         return out, len(words)
 
 
@@ -242,7 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1_000_000)) < share
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # Both sides are cut before they meet, so only the sample's texts are shuffled.
-    sample = scratch.keep(texts.where(drawn).join(marked.where(drawn), "id"), "sample")
+    sample = scratch.keep(texts.where(drawn).join(marked.where(drawn), "id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "sample")
     weights = _weights(sample, shared)
     kept = spark.sparkContext.broadcast(weights)
 
