@@ -2,8 +2,9 @@
 
 One scan finds candidate values; only they, never the texts, are shuffled.  A
 value's distinct repositories and owners are counted over the whole corpus:
-what many owners hold is a copied example, what one owner holds and looks
-random is a live-looking credential.  The counts then judge every candidate,
+what many owners hold, or very many repositories even of one owner, is a copied
+example; what one owner holds in few places and looks random is a live-looking
+credential.  The counts then judge every candidate,
 and bare tokens that no base pattern covers become spans when they turn out to
 be live-looking or equal the value of such a span.
 """
@@ -17,7 +18,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import textkit
@@ -26,6 +27,8 @@ from marlstone.llm.store import Scratch
 KINDS = ("assign", "access", "hex", "token")
 #: A value that so many owners hold is an example that was copied.
 EXAMPLE_OWNERS = 3
+#: And one that so many repositories hold, be they of one owner: nobody copies a live credential that widely.
+EXAMPLE_REPOSITORIES = 50
 #: Bits a character that a live-looking value has at least.
 LEAST_ENTROPY = 3.0
 
@@ -36,7 +39,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 #: For the JVM: whether a text may hold any candidate.
 _MAY = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA|[0-9a-f]{24}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{20})[A-Za-z+/_=-]*[0-9]"
-_SPAN = "struct<kind:int,start:int,stop:int,value:long,live:boolean>"
+_SPAN = "struct<kind:int,start:int,stop:int,value:binary,live:boolean>"
 
 
 def entropy(value: str) -> float:
@@ -109,8 +112,8 @@ def candidates(texts: list[str | None], column: pa.Array) -> list[list[tuple[int
     return out
 
 
-def value_hash(value: str) -> int:
-    return int.from_bytes(hashlib.sha256(value.strip("\"'").encode()).digest()[:8], "little", signed=True)
+def value_hash(value: str) -> bytes:
+    return hashlib.sha256(value.strip("\"'").encode()).digest()[:16]
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, *carry: str) -> DataFrame:
@@ -128,7 +131,18 @@ def scan(docs: DataFrame, id_col: str, text_col: str, *carry: str) -> DataFrame:
     return docs.select(*names, F.col(text_col).cast("string")).mapInArrow(rows, schema)
 
 
-_ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("value", pa.int64()), ("live", pa.bool_())]))
+_ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("value", pa.binary()), ("live", pa.bool_())]))
+
+
+def _row_key(*columns: str) -> Column:
+    """A key of 128 bits for equal rows."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(_SECOND), *columns).alias("b"))
+
+
+_SECOND = 0x5EED5EED
+_LIVE = f"n_owners = 1 AND n_repositories < {EXAMPLE_REPOSITORIES}"
+_EXAMPLE = f"n_owners >= {EXAMPLE_OWNERS} OR n_repositories >= {EXAMPLE_REPOSITORIES}"
+_JUDGED = "array<struct<start:int,kind:int,stop:int,live:boolean,example:boolean,n_owners:bigint,n_repositories:bigint>>"
 
 
 def ownership(found: DataFrame, repository_col: str, owner_col: str) -> DataFrame:
@@ -141,12 +155,13 @@ def ownership(found: DataFrame, repository_col: str, owner_col: str) -> DataFram
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
-    """One row per document: ``id`` and ``spans``, an array of (kind, start, stop, live, example, n_owners) by start and then kind.
+    """One row per document: ``id`` and ``spans``, an array of (kind, start, stop, live, example, n_owners, n_repositories) by start and then kind.
 
     Base spans are always there; a bare token only if its value is live-looking
     and held by one owner, or is the value of a base span.  Offsets count code
-    points, ends exclusive.  ``live``: random-looking and one owner only;
-    ``example``: held by EXAMPLE_OWNERS owners or more.
+    points, ends exclusive.  ``example``: held by EXAMPLE_OWNERS owners or more,
+    or by EXAMPLE_REPOSITORIES repositories; ``live``: random-looking, one owner
+    only, and no example.
 
     Null and empty texts have no spans.  Rows with equal ids are judged each by
     its own text, in as many rows as given; a null id is kept.  Null owners
@@ -154,7 +169,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty result.
     """
     cols = docs.select(F.col(id_col).alias("id"), F.col(repository_col).cast("string").alias("repository"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("text"))
-    cols = cols.withColumn("uid", F.xxhash64("id", "repository", "owner", "text"))
+    cols = cols.withColumn("uid", _row_key("id", "repository", "owner", "text"))
     scratch = Scratch(docs.sparkSession)
     # Without texts this is small, and all that follows reads it.
     found = scratch.keep(scan(cols, "id", "text", "uid", "repository", "owner"), "found")
@@ -164,13 +179,15 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each = some.dropDuplicates(["uid"]).select("uid", F.explode("spans").alias("s")).withColumn("v", F.col("s.value"))
     judged = (
         each.join(counts, "v").join(based, "v", "left")
-        .withColumn("live", F.expr("s.live AND n_owners = 1")).withColumn("example", F.expr(f"n_owners >= {EXAMPLE_OWNERS}"))
+        .withColumn("live", F.expr(f"s.live AND {_LIVE}")).withColumn("example", F.expr(_EXAMPLE))
         .where("s.kind < 3 OR live OR based")
-        .groupBy("uid").agg(F.sort_array(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.stop").alias("stop"), "live", "example", "n_owners"))).alias("judged"))
+        .groupBy("uid").agg(F.sort_array(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.stop").alias("stop"), "live", "example", "n_owners", "n_repositories"))).alias("judged"))
     )
-    none = found.where("size(spans) = 0").select("id", F.expr("CAST(array() AS array<struct<start:int,kind:int,stop:int,live:boolean,example:boolean,n_owners:bigint>>)").alias("spans"))
-    with_some = some.select("id", "uid").join(judged, "uid", "left").select("id", F.coalesce("judged", F.expr("CAST(array() AS array<struct<start:int,kind:int,stop:int,live:boolean,example:boolean,n_owners:bigint>>)")).alias("spans"))
-    return none.unionByName(with_some)
+    none = F.array().cast(_JUDGED)
+    with_some = some.select("id", "uid").join(judged, "uid", "left").select("id", F.coalesce("judged", none).alias("spans"))
+    out = scratch.keep(found.where("size(spans) = 0").select("id", none.alias("spans")).unionByName(with_some), "spans")
+    scratch.drop("spans")
+    return out
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
@@ -181,11 +198,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
     names, place = docs.columns, docs.columns.index(text_col)
     held = docs.withColumn("__may", F.coalesce(F.col(text_col), F.lit("")).rlike(_MAY))
     clean, suspect = held.where("NOT __may").drop("__may"), held.where("__may").drop("__may")
-    own = suspect.withColumn("__uid", F.xxhash64(id_col, F.col(repository_col).cast("string"), F.col(owner_col).cast("string"), text_col))
-    found = scan(own.select("__uid", F.col(repository_col).cast("string").alias("__r"), F.col(owner_col).cast("string").alias("__o"), F.col(text_col).alias("__t")), "__uid", "__t", "__r", "__o")
+    own = suspect.withColumns({"__r": F.col(repository_col).cast("string"), "__o": F.col(owner_col).cast("string")}).withColumn("__uid", _row_key(id_col, "__r", "__o", text_col))
+    found = scan(own.select("__uid", "__r", "__o", F.col(text_col).alias("__t")), "__uid", "__t", "__r", "__o")
     counts = ownership(found.where("size(spans) > 0"), "__r", "__o")
     each = found.dropDuplicates(["__uid"]).select("__uid", F.explode("spans").alias("s")).withColumn("value", F.col("s.value"))
-    live = each.where("s.live").join(counts.where("n_owners = 1"), "value").groupBy("__uid").agg(F.sort_array(F.collect_list(F.struct("s.start", "s.stop"))).alias("__live"))
+    live = each.where("s.live").join(counts.where(_LIVE), "value").groupBy("__uid").agg(F.sort_array(F.collect_list(F.struct("s.start", "s.stop"))).alias("__live"))
     joined = own.join(live, "__uid", "left").select(*names, "__live")
 
     def rows(batches):
