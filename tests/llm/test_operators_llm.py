@@ -111,6 +111,26 @@ def test_packed_sets_round_trip():
         assert (unpack(pack(s)) == s >> np.uint64(24)).all()
 
 
+def test_jaccard_join_of_edited_copies(spark):
+    """Random families of edited, shortened and extended texts over a small vocabulary, in which unrelated texts share shingles."""
+    rng = random.Random(77)
+    words = ["".join(rng.choice("abcdefg") for _ in range(3)) for _ in range(60)]
+    rows = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([5, 12, 40, 120, 300]))]
+        for _ in range(rng.choice([1, 3, 8])):
+            x = list(base)
+            for _ in range(rng.randrange(0, max(2, len(x) // 40))):
+                x[rng.randrange(len(x))] = rng.choice(words)
+            cut = rng.randrange(0, max(1, len(x) // 8))
+            rows.append((len(rows), " ".join(x[cut:] + [rng.choice(words) for _ in range(rng.randrange(0, 4))])))
+    rows += [(len(rows) + k, rows[k][1]) for k in range(0, 40, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for k, percent in ((4, 85), (5, 80)):
+        got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard_join(df, k=k, percent=percent).collect()}
+        assert got == components(rows, k, percent)
+
+
 def test_passages_equal_brute_force(docs, empty):
     spans = repeated_passages(docs)
     rows = {i: [w.lower() for w in WORD.findall(t or "")] for i, t, *_ in corpus() if i is not None}
@@ -223,6 +243,54 @@ def test_pages_that_only_name_an_article(spark):
     assert {r["id"]: r["text"] for r in extract_pages(df).collect()} == {i: f"Own {i}" for i in range(9)}
 
 
+def test_pages_whose_names_disagree(spark):
+    """Names for and against an article at once: shared lines go, and so do lists of links; all else stays."""
+    rows = []
+    for i in range(6):
+        body = f"<div class='post-related-news'><p>Report {i}</p><p>Follow us everywhere</p></div><div class='article-body share-wrap'><p>More {i}</p></div>"
+        tags = f"<div class='entry-tags'><a href=x>tag {i}</a> <a href=y>other</a></div><div class='post-comments'>reader {i}</div><div class='share-bar'>share {i}</div>"
+        rows += [(i, f"http://a.example/{i}", f"<article><p>Lead {i}</p>{body}{tags}</article><p>outside {i}</p>"), (10 + i, f"http://b.example/{i}", f"<div>{body}{tags}</div>")]
+    got = {r["id"]: (r["text"], r["n_shared"]) for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {**{i: (f"Lead {i}\nReport {i}\nMore {i}", 1) for i in range(6)}, **{10 + i: (f"Report {i}\nMore {i}", 1) for i in range(6)}}
+
+
+def test_pages_equal_brute_force(spark):
+    """Small hosts of pages without articles: what stays are the lines outside a longest common subsequence with the nearest page."""
+    rng = random.Random(6)
+    rows, lines = [], {}
+    for i in range(60):
+        lines[i] = ["Home", *(f"own {i} {k}" if rng.random() < 0.5 else f"part {rng.randrange(6)}" for k in range(rng.randrange(8))), "Imprint"]
+        rows.append((i, f"http://h{i % 4}.example/{'/'.join(str(rng.randrange(3)) for _ in range(3))}/{i}", "".join(f"<p>{x}</p>" for x in lines[i])))
+    got = {r["id"]: r["text"].split("\n") if r["text"] else [] for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+
+    def longest(x, y):
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    near = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    for host in range(4):
+        order = sorted((u[len("http://h0.example") :], i) for i, u, _ in rows if i % 4 == host)
+        for k, (path, i) in enumerate(order):
+            beside = [order[j] for j in (k - 1, k + 1) if 0 <= j < len(order) and lines[order[j][1]] != lines[i]]
+            other = max(beside, key=lambda r: near(path, r[0]))[1]
+            assert len(got[i]) == len(lines[i]) - longest(lines[i], lines[other])
+            it = iter(lines[i])
+            assert all(x in it for x in got[i])
+
+
+def test_long_pages_are_aligned_in_little_memory():
+    rng = random.Random(2)
+    x = [f"line {k}" for k in range(3000)]
+    y = list(x)
+    rng.shuffle(y)
+    found = sorted(common_subsequence(x, y))
+    place = {v: k for k, v in enumerate(y)}
+    assert len(found) > 60 and all(place[x[a]] < place[x[b]] for a, b in zip(found, found[1:], strict=False))
+
+
 def test_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(50):
@@ -258,6 +326,29 @@ def test_copied_values_are_examples(spark):
     assert got[0]["example"] and not got[0]["live"] and got[9]["live"] and not got[9]["example"]
 
 
+def test_ownership_equals_brute_force(spark):
+    """Verdicts of values met by varying numbers of owners and repositories, also by very many of one owner."""
+    rng = random.Random(31)
+    values = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(40)] + ["a" * 30]
+    rows = []
+    for k, v in enumerate(values):
+        for _ in range(rng.choice([1, 2, 5, 60])):
+            owner = rng.choice([f"own{k}", f"s{rng.randrange(4)}"]) if k % 3 else f"own{k}"
+            rows.append((len(rows), f"some text {v} and {rng.choice(['', values[0]])}", owner))
+    places, owners = defaultdict(set), defaultdict(set)
+    for i, text, o in rows:
+        for v in re.findall("[0-9a-f]{24,}", text):
+            places[v].add(i)
+            owners[v].add(o)
+    for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect():
+        text = rows[r["id"]][1]
+        for s in r["spans"]:
+            v = text[s["start"] : s["stop"]]
+            n, m = len(owners[v]), len(places[v])
+            assert (s["n_owners"], s["n_repositories"]) == (n, m)
+            assert s["example"] == (n >= 3 or m >= 50) and s["live"] == (len(set(v)) > 1 and n == 1 and m < 50)
+
+
 def test_quality_counts(docs, empty):
     for r in quality.quality_cascade(docs.where("doc_id IS NOT NULL")).collect():
         text = corpus()[r["id"]][1] or ""
@@ -309,6 +400,51 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score_documents(docs, toxicity.train(empty, empty.selectExpr("doc_id", "n AS toxic"))).count() == docs.count()
 
 
+def _model():
+    text = " ".join(["you are an idiot and a blockhead", "the garden is little", "station motion number window table"] * 200)
+    n = toxicity.trigram_counts(text).reshape((64,) * 3).astype(float)
+    return np.log((n + 0.01) / (n.sum(2, keepdims=True) + 0.64)).astype(np.float32)
+
+
+def test_restoring_equals_brute_force():
+    """The lattice's best reading has the least cost of all readings."""
+    model, rng = _model(), random.Random(12)
+
+    def readings(text, before=""):
+        if not text:
+            yield 0.0, ""
+            return
+        c = text[0]
+        letters = [(c, 0.0)] if c in toxicity._CODE else [(x, toxicity.CHANGE if c.isalnum() else toxicity.CHANGE + 0.3) for x in toxicity.LOOKS_LIKE.get(c, "")]
+        for cost, rest in readings(text[1:], c):
+            for x, price in letters:
+                yield cost + price, x + rest
+            if c not in toxicity._CODE or c == before:
+                yield cost + (toxicity.DROP_READABLE if c in toxicity.LOOKS_LIKE else toxicity.DROP), rest
+
+    def price(word):
+        a = b = 0
+        total = 0.0
+        for k in [*(toxicity._CODE[x] for x in word), 0]:
+            total -= float(model[a, b, k])
+            a, b = b, k
+        return total
+
+    for _ in range(80):
+        token = "".join(rng.choice(["i", "d", "1", "o", "0", "t", "-", "a", "@", "b", "|"]) for _ in range(rng.randint(1, 8)))
+        text = toxicity.bare(token).lower()
+        least = min((c + price(w) for c, w in readings(text)), default=0.0)
+        found = toxicity.restore(token, model)
+        assert min((c + price(w) for c, w in readings(text) if w == found), default=0.0) < least + 1e-3
+
+
+def test_restoring_long_and_spaced_tokens():
+    model = _model()
+    assert toxicity.restore("bl0ckh3ad", model) == "blockhead" and toxicity.restore("id10t" * 40, model).count("idiot") == 40
+    assert toxicity.restore("youareanidiot", model, True).split() == ["you", "are", "an", "idiot"]
+    assert len(toxicity.restore("x" * 5000, model)) > 0
+
+
 def test_packing(docs, empty):
     import tokenizers
 
@@ -332,7 +468,7 @@ def test_packing(docs, empty):
 
 def test_sum_of_squares_is_least():
     rng = random.Random(4)
-    p = SumOfSquares(16)
+    p = SumOfSquares(16, 1)
     for k in range(300):
         before, size = p.level.copy(), rng.randint(1, 15)
         sums = []
@@ -344,7 +480,26 @@ def test_sum_of_squares_is_least():
                 sums.append(int((n**2).sum()))
         p.place(k, size)
         assert int((p.level**2).sum()) == min(sums)
-    assert sum(len(i) for s in pack_ids([(k, list(range(rng.randint(1, 50)))) for k in range(99)], 16) for _, _, i in s) > 0
+    docs = [(k, list(range(rng.randint(1, 50)))) for k in range(99)]
+    got = defaultdict(list)
+    for _, s in pack_ids(docs, 16, 1):
+        assert sum(len(i) for _, _, i in s) <= 16
+        for k, start, ids in s:
+            got[k] += [(start + x, v) for x, v in enumerate(ids)]
+    assert {k: [v for _, v in sorted(x)] for k, x in got.items()} == dict(docs)
+
+
+def test_most_windows_are_closed_by_the_method():
+    rng = random.Random(8)
+    docs = [(k, np.zeros(int(rng.lognormvariate(6.3, 1.1)) + 1, np.int32)) for k in range(4000)]
+    made, used = defaultdict(int), 0
+    for how, s in pack_ids(docs):
+        made[how] += 1
+        used += sum(len(i) for _, _, i in s)
+    n = sum(made.values())
+    assert used == sum(len(x) for _, x in docs)
+    # Padding stays under one part in a hundred, and what the end fills up under one sequence in ten.
+    assert used > 0.99 * 2048 * n and made["filled"] < 0.1 * n < made["closed"]
 
 
 def test_words_encode_as_whole_texts():
