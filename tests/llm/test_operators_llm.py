@@ -362,6 +362,22 @@ def test_quality_counts(docs, empty):
     assert quality.quality_cascade(empty).count() == 0
 
 
+def test_cascade_order_changes_no_verdict(spark):
+    rng = random.Random(40)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    plain = " ".join(word() for _ in range(80))
+    texts = [plain, plain.upper(), " ".join("!!" for _ in range(40)), " ".join(f"{rng.randrange(10**6)}" for _ in range(50)), "\n".join(f"- {word()} {word()}" for _ in range(30)), "\n".join(f"{word()} {word()}..." for _ in range(30)), " ".join("ab"[k % 2] * 3 for k in range(60)), None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [True, False, False, False, False, False, False, False, False]
+    dear = ("dear", "size(array_sort(transform(sequence(1, 3000), i -> pmod(i * 7919, 3001)))) < 0")
+    for rules in (quality.RULES, tuple(reversed(quality.RULES)), (dear, *quality.RULES)):
+        assert [r["kept"] for r in quality.quality_cascade(df, rules=rules).orderBy("id").collect()] == want
+    found = {name: (share, cost) for name, _, share, cost in quality.measured(df, "doc_id", "text", (dear, *quality.RULES))}
+    assert found["dear"][1] == max(c for _, c in found.values()) and found["shouting"][0] > 0 and found["dear"][0] == 0
+    ratios = [share / cost for _, _, share, cost in quality.measured(df, "doc_id", "text")]
+    assert ratios == sorted(ratios, reverse=True)
+
+
 def test_pieces(spark, docs, empty):
     import sentencepiece
 
