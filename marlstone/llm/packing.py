@@ -4,8 +4,10 @@ Each task packs the documents of its partition as they come, so nothing is
 shuffled and no task needs more than its open windows.  A document's full
 windows are cut off; the rest goes to the fill level that makes the sum of the
 squared counts of partially filled windows smallest, over a level array with
-one count for each fill.  What is still open when a partition ends is laid end
-to end and cut anew, so each partition leaves at most one padded sequence.
+one count for each LEVEL tokens of fill.  A window with less room than two
+levels is done.  When a partition ends, the emptiest windows still open are
+taken apart to fill up the others, so each partition leaves at most one
+sequence with more padding than that.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ from pyspark.sql import functions as F
 
 CAPACITY = 2048
 END_ID = 1
+#: Tokens of a fill level.
+LEVEL = 16
+#: How a sequence came about: a document's own full window, a window that its last item closed, or one filled up at the partition's end.
+WHOLE, CLOSED, FILLED = "whole", "closed", "filled"
 
 #: Ids of so many words are remembered in a worker, twice: when a table is full it becomes the old one, and what is used again moves over.
 REMEMBERED = 400_000
@@ -88,11 +94,11 @@ class WordEncoder:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
         new = set().union(*cut).difference(known)
-        for w in new.intersection(old):
-            known[w] = old[w]
-        fresh = list(new.difference(old))
-        if fresh:
-            self.learn(fresh)
+        if old:
+            known.update([(w, old[w]) for w in new if w in old])
+            new = new.difference(old)
+        if new:
+            self.learn(list(new))
         return [b"".join(map(known.__getitem__, words)) for words in cut]
 
     def encode(self, text: str) -> bytes:
@@ -110,82 +116,86 @@ def encoder(path: str) -> WordEncoder:
 
 
 class SumOfSquares:
-    """Open windows by fill, and the level array of their counts."""
+    """Open windows by fill level, and the level array of their counts; level k holds fills over ``(k - 1) * level`` up to ``k * level``."""
 
-    def __init__(self, capacity: int = CAPACITY) -> None:
-        self.capacity = capacity
-        self.level = np.zeros(capacity + 1, np.int64)
-        self.windows: list[list[list]] = [[] for _ in range(capacity + 1)]
+    def __init__(self, capacity: int = CAPACITY, level: int = LEVEL) -> None:
+        self.capacity, self.size = capacity, level
+        self.top = capacity // level
+        self.room = max(capacity - self.top * level, 0) + 2 * level - 1
+        self.level = np.zeros(self.top + 1, np.int64)
+        self.windows: list[list[tuple[int, list]]] = [[] for _ in range(self.top + 1)]
 
     def place(self, item, size: int) -> list | None:
-        """Put an item of ``size`` < capacity into a window; the window's items if that fills it.
+        """Put an item of ``size`` < capacity into a window; the window's items if that leaves it with too little room for more.
 
-        The change of the sum of squares by moving a window from fill h to h + size
-        is 2 (level[h + size] - level[h] + 1), without the first term if it gets
-        full; a new window costs 2 level[size] + 1.  Ties go to the fullest window.
+        The change of the sum of squares by moving a window from level h to h + s
+        is 2 (level[h + s] - level[h] + 1), without the first term if it gets
+        done; a new window costs 2 level[s] + 1.  Ties go to the fullest window.
         """
-        c = self.capacity
-        n = self.level
-        after = n[size : c + 1].copy()
-        after[-1] = -1
-        cost = 2 * (after - n[: c - size + 1] + 1)
-        cost[-1] = 1 - 2 * n[c - size]
-        cost[0] = 2 * n[size] + 1
-        open_ = n[: c - size + 1] > 0
+        if self.capacity - size < self.room:
+            return [item]
+        n, c = self.level, self.top
+        s = -(-size // self.size)
+        cost = 2 * (n[s:] - n[: c - s + 1] + 1)
+        cost[-1] = 1 - 2 * n[c - s]
+        cost[0] = 2 * n[s] + 1
+        open_ = n[: c - s + 1] > 0
         open_[0] = True
-        cost[~open_] = np.iinfo(np.int64).max
-        h = c - size - int(np.argmin(cost[::-1]))
-        window = self.windows[h].pop() if h else []
+        h = c - s - int(np.where(open_, cost, np.iinfo(np.int64).max)[::-1].argmin())
+        fill, window = self.windows[h].pop() if h else (0, [])
         if h:
             n[h] -= 1
         window.append(item)
-        if h + size == c:
+        fill += size
+        if self.capacity - fill < self.room:
             return window
-        n[h + size] += 1
-        self.windows[h + size].append(window)
+        h = -(-fill // self.size)
+        n[h] += 1
+        self.windows[h].append((fill, window))
         return None
 
-    def rest(self) -> list:
-        """The items of all windows still open, the fullest first."""
-        out = [i for level in reversed(self.windows) for w in level for i in w]
-        self.__init__(self.capacity)
+    def rest(self) -> list[tuple[int, list]]:
+        """Fill and items of all windows still open, the fullest first."""
+        out = sorted((w for level in self.windows for w in level), key=lambda w: -w[0])
+        self.__init__(self.capacity, self.size)
         return out
 
 
-def pack(documents, capacity: int = CAPACITY):
-    """Sequences, each a list of (document, start, ids), of documents given as (document, ids) one by one."""
-    packer = SumOfSquares(capacity)
+def pack(documents, capacity: int = CAPACITY, level: int = LEVEL):
+    """Sequences, each how it came about and a list of (document, start, ids), of documents given as (document, ids) one by one."""
+    packer = SumOfSquares(capacity, level)
     for doc, ids in documents:
         full = len(ids) // capacity * capacity
         for at in range(0, full, capacity):
-            yield [(doc, at, ids[at : at + capacity])]
+            yield WHOLE, [(doc, at, ids[at : at + capacity])]
         if len(ids) > full:
             done = packer.place((doc, full, ids[full:]), len(ids) - full)
             if done:
-                yield done
-    sequence, room = [], capacity
-    for doc, start, ids in packer.rest():
-        while len(ids):
-            part = ids[:room]
-            sequence.append((doc, start, part))
-            start, ids, room = start + len(part), ids[len(part) :], room - len(part)
-            if not room:
-                yield sequence
-                sequence, room = [], capacity
-    if sequence:
-        yield sequence
+                yield CLOSED, done
+    rest = packer.rest()
+    keep = -(-sum(fill for fill, _ in rest) // capacity)
+    loose = [i for _, window in reversed(rest[keep:]) for i in window]
+    for fill, window in rest[:keep]:
+        room = capacity - fill
+        while room and loose:
+            doc, start, ids = loose.pop()
+            window.append((doc, start, ids[:room]))
+            if len(ids) > room:
+                loose.append((doc, start + room, ids[room:]))
+            room -= min(room, len(ids))
+        yield FILLED, window
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """One row per piece: ``id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and, unless turned off, ``ids``.
+    """One row per piece: ``id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``, ``made`` and, unless turned off, ``ids``.
 
     A null or empty text is the end id alone.  Rows with equal or null ids are
     packed each for itself.  Extra columns are ignored; an empty table gives an
     empty result.  ``sequence_id`` is unique over the result: the partition's
     number and a count within it.
     """
-    fields = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
-    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 8 if with_ids else 7]
+    fields = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, made string" + (", ids array<int>" if with_ids else "")
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "made", "ids"][: 9 if with_ids else 8]
 
     def rows(batches):
         words = encoder(tokenizer_path)
@@ -205,15 +215,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
         def batch():
             cols = list(zip(*held, strict=True))
-            arrays = [pa.array(c, pa.int64()) for c in cols[:7]]
+            arrays = [*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.string())]
             if with_ids:
-                arrays.append(pa.array([x.view(np.int32) for x in cols[7]], pa.list_(pa.int32())))
+                arrays.append(pa.array([x.view(np.int32) for x in cols[8]], pa.list_(pa.int32())))
             return pa.RecordBatch.from_arrays(arrays, names)
 
-        for k, sequence in enumerate(pack(documents(), capacity)):
+        for k, (made, sequence) in enumerate(pack(documents(), capacity)):
             at = 0
             for (key, total), start, ids in sequence:
-                held.append((key, start, len(ids), zlib.crc32(ids), total, base + k, at, ids if with_ids else None))
+                held.append((key, start, len(ids), zlib.crc32(ids), total, base + k, at, made, ids if with_ids else None))
                 at += len(ids)
             if len(held) > 4000:
                 yield batch()
