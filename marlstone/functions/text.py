@@ -72,16 +72,16 @@ def headline(text: Column, words: list[str], most: int = 60, before: int = 10, m
     return F.array_join(F.transform(window, lambda w: F.when(clean(w).isin(*words), F.concat(F.lit(mark), w, F.lit(mark))).otherwise(w)), " ")
 
 
-#: State and federal case numbers.
-CASE_STATE = r"\b(\d{2}-\d-\d{5}-\d)\b"
-CASE_FEDERAL = r"\b(\d:\d{2}-(?:cv|cr|mc|bk)-\d{4,5})\b"
+#: Case numbers of state courts and of federal courts (court, year, number, judge).
+CASE_STATE = r"(\d{2})-(\d)-(\d{5})-(\d{2})"
+CASE_FEDERAL = r"(?i)(\d{1,2})[-:]?(\d{2})[-:]?cv[-:]?(\d{5})[-:]?(\w{2,4})?"
 
 
 def case_numbers(text: Column, scan: int = 5000) -> Column:
-    """Distinct case numbers in the first characters, sorted; federal ones lowered."""
-    head = F.substring(text, 1, scan)
-    found = F.concat(F.regexp_extract_all(head, F.lit(CASE_STATE), F.lit(1)), F.regexp_extract_all(F.lower(head), F.lit(CASE_FEDERAL), F.lit(1)))
-    return F.array_sort(F.array_distinct(found))
+    """Distinct case numbers in the first characters, sorted; federal ones as court, year, CV, number and judge, in capitals."""
+    head = F.substring(F.coalesce(text, F.lit("")), 1, scan)
+    federal = F.transform(F.regexp_extract_all(head, F.lit(CASE_FEDERAL), F.lit(0)), lambda m: F.upper(F.regexp_replace(m, CASE_FEDERAL, "$1$2CV$3$4")))
+    return F.array_sort(F.array_distinct(F.concat(federal, F.regexp_extract_all(head, F.lit(CASE_STATE), F.lit(0)))))
 
 
 def sender_address(raw: Column) -> Column:

@@ -65,6 +65,45 @@ def replace_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
     return old.join(new.select(parent).distinct(), parent, "left_anti").unionByName(new)
 
 
+def append_once(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """An append-only table after new entries; those whose key is there already are left out."""
+    return old.unionByName(insert_new(old, new, keys))
+
+
+def reset_on_tag(old: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """The table (key, tag, status, attempts) after a listing (key, tag): what is new or has another tag is pending with no attempts; ``changed`` is null for new keys."""
+    o, n = old.alias("o"), listed.alias("n")
+    j = n.join(o, key, "full_outer")
+    again = F.col("n.tag").isNotNull() & ~F.col("n.tag").eqNullSafe(F.col("o.tag"))
+    return j.select(
+        key, F.coalesce("n.tag", "o.tag").alias("tag"), F.when(again, F.lit("pending")).otherwise(F.col("o.status")).alias("status"),
+        F.when(again, F.lit(0)).otherwise(F.col("o.attempts")).alias("attempts"), F.when(F.col("o.status").isNotNull(), again).alias("changed"),
+    )
+
+
+def claim(queue: DataFrame, key: str, most: int, *order: Column) -> DataFrame:
+    """The queue (key, state, attempts, ...) after the first pending entries are claimed; at most ``most`` rows travel."""
+    mine = queue.where("state = 'pending'").orderBy(*order).limit(most).select(key).withColumn("__mine", F.lit(True))
+    j = queue.join(F.broadcast(mine), key, "left")
+    out = j.withColumns({"state": F.when(F.col("__mine"), F.lit("claimed")).otherwise(F.col("state")), "attempts": F.when(F.col("__mine"), F.col("attempts") + 1).otherwise(F.col("attempts"))})
+    return out.select(*queue.columns)
+
+
+def retry(queue: DataFrame, at: str, most: int, seconds: int) -> DataFrame:
+    """The queue with failed entries pending again after ``seconds`` doubled by each attempt, or undelivered after ``most`` of them."""
+    failed, again = F.col("state") == "failed", F.col("attempts") < most
+    wait = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.lit(seconds) * F.pow(F.lit(2), F.col("attempts"))).cast("decimal(18,6)"))
+    return queue.withColumns({"next_at": F.when(failed & again, F.col(at) + wait), "state": F.when(failed & again, "pending").when(failed, "undelivered").otherwise(F.col("state"))})
+
+
+def grow_dimension(old: DataFrame, names: DataFrame, name: str, key: str) -> DataFrame:
+    """A small dimension with the names that it does not know yet, numbered on from its greatest key in order of name."""
+    fresh = names.where(F.col(name).isNotNull()).select(name).distinct().join(old.select(name), name, "left_anti")
+    top = old.agg(F.coalesce(F.max(key), F.lit(0)).alias("__top"))
+    new = fresh.crossJoin(F.broadcast(top)).withColumn(key, F.col("__top") + F.row_number().over(Window.orderBy(name)))
+    return old.select(name, key).withColumn("known", F.lit(True)).unionByName(new.select(name, key).withColumn("known", F.lit(False)))
+
+
 def latest(df: DataFrame, keys: list[str], at: str, *ties: Column) -> DataFrame:
     return distinct_on(df, keys, F.col(at).desc_nulls_last(), *ties)
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,13 +26,51 @@ def semantic(vectors: DataFrame, query: list[float], k: int = 10, where: Column
 
 
 def semantic_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", query_id: str = "query_id", vector: str = "embedding", query_vector: str = "query_vector", most: int = 4096) -> DataFrame:
-    """Top k of each of many queries.  The query table travels to every task, so its size is checked."""
-    n = queries.count()
-    if n > most:
-        raise ValueError(f"{n} queries are too many to broadcast; run them in parts of {most}")
-    pairs = vectors.crossJoin(F.broadcast(queries)).withColumn("similarity", F.round(vx.cosine(F.col(vector), F.col(query_vector)), 6)).where("similarity IS NOT NULL")
-    ranked = op.top_per_key(pairs.select(query_id, id_col, "similarity"), [query_id], k, F.desc("similarity"), F.asc(id_col))
-    return ranked
+    """Top k of each of many queries, in blocks of at most about ``most`` of them.
+
+    A block of the query set travels to every task.  Only each task's k best of
+    a query leave it.
+    """
+    blocks = max(1, -(-queries.count() // most))
+    dims = [id_col, vector]
+
+    def best(block: int) -> DataFrame:
+        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block)
+        rows = mine.select(query_id, query_vector).collect()
+        names = [r[0] for r in rows]
+        q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 0))
+        length = np.linalg.norm(q, axis=1)
+        sent = vectors.sparkSession.sparkContext.broadcast((names, q, length))
+
+        def run(batches):
+            names, q, length = sent.value
+            top: list = [[] for _ in names]
+            for b in batches:
+                if not len(b) or not names:
+                    continue
+                for at in range(0, len(b), 512):
+                    part = b.slice(at, 512)
+                    rows = [(i, v) for i, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if v is not None]
+                    if rows:
+                        merge(top, q, length, np.array([i for i, _ in rows], np.int64), np.array([x for _, x in rows], np.float64))
+            out = [(names[j], i, -s) for j, t in enumerate(top) for s, i in t]
+            cols = list(zip(*out, strict=True)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], [query_id, id_col, "similarity"])
+
+        def merge(top, q, length, ids, v):
+            with np.errstate(invalid="ignore", divide="ignore"):
+                cos = np.round(np.einsum("qd,vd->qv", q, v) / (length[:, None] * np.sqrt(np.einsum("vd,vd->v", v, v))[None, :]), 6)
+            for j, row in enumerate(cos):
+                ok = np.flatnonzero(~np.isnan(row))
+                if len(ok):
+                    least = np.partition(row[ok], len(ok) - k)[len(ok) - k] if len(ok) > k else -np.inf
+                    near = ok[row[ok] >= least]
+                    top[j] = sorted([*top[j], *zip((-row[near]).tolist(), ids[near].tolist(), strict=True)])[:k]
+
+        return vectors.select(*dims).mapInArrow(run, f"{query_id} long, {id_col} long, similarity double")
+
+    found = reduce(DataFrame.unionByName, [best(i) for i in range(blocks)])
+    return op.top_per_key(found, [query_id], k, F.desc("similarity"), F.asc(id_col))
 
 
 def fulltext(docs: DataFrame, query: str, k: int = 10, where: Column | None = None, id_col: str = "doc_id", text: str = "text", headline: bool = True) -> DataFrame:
@@ -130,12 +172,26 @@ def embed(df: DataFrame, text: str, embedder: Callable[[pd.Series], pd.Series] |
     return df.withColumn(name, run(F.col(text)))
 
 
-def rag(chunks: DataFrame, query: str, query_vector: list[float], k: int = 15, semantic_weight: float | None = None, fulltext_weight: float | None = None, width: int = 1, per_document: int = 2, where: Column | None = None) -> DataFrame:
+#: How a question names a case, the longest form first.
+CASE_FORMS = (r"\b\d{2,4}-\d{1,2}-\d{3,6}-\d{2,4}\b", r"\b\d{2,4}-\d{1,2}-\d{3,6}\b", r"(?i)\b\d{2}:\d{2}-[a-z]{2}-\d{5}\b")
+
+
+def case_in(question: str) -> str | None:
+    """The case number that a question names, if any."""
+    return next((m[0] for m in (re.search(p, question) for p in CASE_FORMS) if m), None)
+
+
+def rag(chunks: DataFrame, query: str, query_vector: list[float], k: int = 15, semantic_weight: float | None = None, fulltext_weight: float | None = None, width: int = 1, per_document: int = 2, where: Column | None = None, case_number: str | None = None, cases: DataFrame | None = None) -> DataFrame:
     """The whole question: both searches, fusion, rerank of a pool, a cap for each document, and context.
 
-    ``chunks`` has doc_id, chunk_index, content and embedding.
+    ``chunks`` has doc_id, chunk_index, content and embedding.  With ``cases``
+    (doc_id, case_number), a case number given or found in the question keeps
+    the documents of cases whose number contains it.
     """
     query = " ".join(query.split())
+    case_number = case_number or case_in(query)
+    if case_number and cases is not None:
+        chunks = chunks.join(cases.where(F.col("case_number").ilike(f"%{case_number}%")).select("doc_id"), "doc_id", "left_semi")
     ws, wf = weights(semantic_weight, fulltext_weight)
     keyed = chunks.withColumn("key", F.concat_ws(":", "doc_id", "chunk_index"))
     sem = numbered(semantic(keyed, query_vector, 3 * k, where, id_col="key").select("key", "similarity"), F.desc("similarity"), F.asc("key"))

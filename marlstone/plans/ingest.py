@@ -30,14 +30,13 @@ def upsert_counters(spark, sf_dir):
     return op.upsert(o, n, ["user_id"], {"seen": "add"})
 
 
-@query("upsert_reset_on_tag", "SELECT d.doc_id, CASE WHEN md5(d.text) = md5(substring(d.text, 1, 500)) THEN 'done' ELSE 'pending' END AS status FROM documents d")
+@query("upsert_reset_on_tag", "SELECT doc_id, CASE WHEN n_chars > 2000 THEN md5(text) ELSE md5(text || 'old') END <> md5(text) AS changed, CASE WHEN n_chars > 2000 THEN 'done' ELSE 'pending' END AS status, CASE WHEN n_chars > 2000 THEN 3 ELSE 0 END AS attempts, md5(text) AS tag FROM documents WHERE source <> 'src0' UNION ALL SELECT doc_id, NULL, 'pending', 0, md5(text) FROM documents WHERE source = 'src0'")
 def upsert_reset_on_tag(spark, sf_dir):
-    """Files whose tag differs go back to pending."""
+    """The table of files after a listing: new ones and those whose tag differs are pending and start over, the others stay as they were."""
     d = t(spark, sf_dir, "documents")
-    snapshot = d.select("doc_id", F.md5(F.substring("text", 1, 500)).alias("tag"))
-    now = d.select("doc_id", F.md5("text").alias("tag"))
-    changed = cd.changed_only(now, snapshot, "doc_id", "tag").select("doc_id").withColumn("c", F.lit(True))
-    return d.select("doc_id").join(changed, "doc_id", "left").select("doc_id", F.when(F.col("c"), "pending").otherwise("done").alias("status"))
+    tag = F.when(F.col("n_chars") > 2000, F.md5("text")).otherwise(F.md5(F.concat("text", F.lit("old"))))
+    old = d.where("source <> 'src0'").select("doc_id", tag.alias("tag"), F.lit("done").alias("status"), F.lit(3).alias("attempts"))
+    return op.reset_on_tag(old, d.select("doc_id", F.md5("text").alias("tag")), "doc_id").select("doc_id", "changed", "status", "attempts", "tag")
 
 
 @query("replace_children", "SELECT conv_id, turn, role FROM conversations WHERE conv_id % 3 <> 0 UNION ALL SELECT conv_id, turn, 'new' FROM conversations WHERE conv_id % 3 = 0 AND turn = 0")
@@ -47,19 +46,36 @@ def replace_children(spark, sf_dir):
     return op.replace_children(c, new, "conv_id")
 
 
-@query("bulk_update_zip", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 0.5 ELSE l_discount END AS l_discount FROM lineitem WHERE l_orderkey < 200")
+@query("bulk_update_zip", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 0.5 ELSE l_discount END AS l_discount FROM lineitem")
 def bulk_update_zip(spark, sf_dir):
     """Updates from parallel arrays, zipped and exploded, joined by key."""
-    l = t(spark, sf_dir, "lineitem").where("l_orderkey < 200").select("l_orderkey", "l_linenumber", "l_discount")  # noqa: E741
-    arrays = l.where("l_linenumber = 1").groupBy(F.pmod("l_orderkey", F.lit(7)).alias("g")).agg(F.collect_set("l_orderkey").alias("k"))
+    l = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")  # noqa: E741
+    # Calls of a thousand keys or so each.
+    arrays = l.where("l_linenumber = 1").groupBy(F.floor(F.col("l_orderkey") / 1000).alias("g")).agg(F.collect_set("l_orderkey").alias("k"))
     new = arrays.select(F.explode(F.arrays_zip(F.col("k").alias("k"), F.transform("k", lambda _: F.lit(0.5)).alias("v"))).alias("z")).select(F.col("z.k").alias("l_orderkey"), F.col("z.v").alias("v"), F.lit(1).alias("l_linenumber"))
     return l.join(new, ["l_orderkey", "l_linenumber"], "left").select("l_orderkey", "l_linenumber", F.coalesce("v", "l_discount").alias("l_discount"))
 
 
-@query("claim_queue", "SELECT event_id, 'claimed' AS state FROM events WHERE event_type = 'error' ORDER BY ts, event_id LIMIT 50")
+QUEUE = "SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 'failed' WHEN event_id % 7 = 0 THEN 'sent' ELSE 'pending' END AS state, CAST(event_id % 5 AS INT) AS attempts FROM events WHERE event_type = 'error'"
+
+
+def _queue(spark, sf_dir):
+    e = t(spark, sf_dir, "events").where("event_type = 'error'")
+    state = F.when(F.col("event_id") % 3 == 0, "failed").when(F.col("event_id") % 7 == 0, "sent").otherwise("pending")
+    return e.select("event_id", "ts", state.alias("state"), (F.col("event_id") % 5).cast("int").alias("attempts"))
+
+
+@query("claim_queue", f"WITH q AS ({QUEUE}), c AS (SELECT event_id FROM q WHERE state = 'pending' ORDER BY ts, event_id LIMIT 50) SELECT event_id, state AS before, CASE WHEN event_id IN (SELECT event_id FROM c) THEN 'claimed' ELSE state END AS state, CASE WHEN event_id IN (SELECT event_id FROM c) THEN attempts + 1 ELSE attempts END AS attempts FROM q")
 def claim_queue(spark, sf_dir, most=50):
-    e = t(spark, sf_dir, "events").where("event_type = 'error'").orderBy("ts", "event_id").limit(most)
-    return e.select("event_id", F.lit("claimed").alias("state"))
+    """The queue after one worker has claimed the oldest pending entries."""
+    q = _queue(spark, sf_dir).withColumn("before", F.col("state"))
+    return op.claim(q, "event_id", most, F.asc("ts"), F.asc("event_id")).select("event_id", "before", "state", "attempts")
+
+
+@query("retry_queue", f"WITH q AS ({QUEUE}) SELECT event_id, CASE WHEN state = 'failed' AND attempts < 3 THEN 'pending' WHEN state = 'failed' THEN 'undelivered' ELSE state END AS state, CASE WHEN state = 'failed' AND attempts < 3 THEN ts + to_seconds(CAST(60 * pow(2, attempts) AS BIGINT)) END AS next_at FROM q")
+def retry_queue(spark, sf_dir):
+    """Failed entries wait twice as long after each attempt, and after the third are undelivered for good."""
+    return op.retry(_queue(spark, sf_dir), "ts", 3, 60).select("event_id", "state", "next_at")
 
 
 @query("delete_cascade", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
@@ -68,11 +84,19 @@ def delete_cascade(spark, sf_dir):
     return t(spark, sf_dir, "lineitem").join(gone, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
 
 
-@query("soft_delete", "SELECT doc_id, CASE WHEN n_chars < 300 THEN NULL ELSE substring(text, 1, 20) END AS text, CASE WHEN n_chars < 300 THEN 'age' END AS purge_reason FROM documents")
+@query("soft_delete", "SELECT doc_id, CASE WHEN n_chars < 300 THEN NULL ELSE md5(text) END AS text_md5, CASE WHEN n_chars < 300 THEN 'age' END AS purge_reason FROM documents")
 def soft_delete(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").select("doc_id", "n_chars", F.substring("text", 1, 20).alias("text"), F.lit(None).cast("timestamp_ntz").alias("purged_at"), F.lit(None).cast("string").alias("purge_reason"))
+    """Content of due documents goes, the rows stay; what is left is told by its digest."""
+    d = t(spark, sf_dir, "documents").select("doc_id", "n_chars", "text", F.lit(None).cast("timestamp_ntz").alias("purged_at"), F.lit(None).cast("string").alias("purge_reason"))
     out = op.soft_delete(d, F.col("n_chars") < 300, F.lit("2000-01-01").cast("timestamp_ntz"), "age", ["text"])
-    return out.select("doc_id", "text", "purge_reason")
+    return out.select("doc_id", F.md5("text").alias("text_md5"), "purge_reason")
+
+
+@query("purge_children", "SELECT conv_id, turn, role FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM documents WHERE n_chars < 300)")
+def purge_children(spark, sf_dir):
+    """Chunks of purged documents are dropped for good."""
+    gone = t(spark, sf_dir, "documents").where("n_chars < 300").select(F.col("doc_id").alias("conv_id"))
+    return t(spark, sf_dir, "conversations").join(gone, "conv_id", "left_anti").select("conv_id", "turn", "role")
 
 
 @query("blob_addresses", "SELECT doc_id, substring(sha256(text), 1, 2) || '/' || substring(sha256(text), 3, 2) || '/' || sha256(text) AS path FROM documents")
@@ -80,9 +104,12 @@ def blob_addresses(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", sinks.blob_path(F.col("text").cast("binary")).alias("path"))
 
 
-@query("audit_append", "SELECT event_id, event_type, value, event_type = 'error' AS failed FROM events WHERE value > 99")
+@query("audit_append", "SELECT event_type, user_id, count(*) AS n, max(ts) AS last_at, count(*) FILTER (WHERE value > 99) AS appended FROM events WHERE event_type = 'signup' OR value > 99 GROUP BY 1, 2")
 def audit_append(spark, sf_dir):
-    return t(spark, sf_dir, "events").where("value > 99").select("event_id", "event_type", "value", (F.col("event_type") == "error").alias("failed"))
+    """The trail after a batch is appended: old entries are never touched, and an entry that is there already is not written twice."""
+    e = t(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "ts", "value")
+    trail = op.append_once(e.where("event_type = 'signup'"), e.where("value > 99"), ["event_id"])
+    return trail.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_at"), F.count_if(F.col("value") > 99).alias("appended"))
 
 
 @query("link_registered_cases", "SELECT DISTINCT d.doc_id, o.o_orderkey FROM documents d JOIN orders o ON o.o_orderkey = d.doc_id % 2000 WHERE d.lang = 'en'")
@@ -92,11 +119,13 @@ def link_registered_cases(spark, sf_dir):
     return d.join(t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("doc_id", "o_orderkey").distinct()
 
 
-@query("dimension_upsert", "SELECT source AS name, row_number() OVER (ORDER BY source) AS id FROM (SELECT DISTINCT source FROM documents)")
+@query("dimension_upsert", "WITH o AS (SELECT name, 10 * row_number() OVER (ORDER BY name) AS id FROM (SELECT DISTINCT source AS name FROM documents WHERE lang = 'fr' AND n_chars > 5000)), n AS (SELECT DISTINCT source AS name FROM documents) SELECT name, id, TRUE AS known FROM o UNION ALL SELECT name, (SELECT coalesce(max(id), 0) FROM o) + row_number() OVER (ORDER BY name), FALSE FROM n WHERE name NOT IN (SELECT name FROM o)")
 def dimension_upsert(spark, sf_dir):
-    """New names of a small dimension get the next ids; the dimension, not the documents, is numbered in one task."""
-    names = t(spark, sf_dir, "documents").select(F.col("source").alias("name")).distinct()
-    return names.withColumn("id", F.row_number().over(Window.orderBy("name")).cast("long"))
+    """Known names of a small dimension keep their ids, new ones get the next; the dimension, not the documents, is numbered in one task."""
+    d = t(spark, sf_dir, "documents")
+    old = d.where("lang = 'fr' AND n_chars > 5000").select(F.col("source").alias("name")).distinct()
+    old = old.withColumn("id", 10 * F.row_number().over(Window.orderBy("name")).cast("long"))
+    return op.grow_dimension(old, d.select(F.col("source").alias("name")), "name", "id")
 
 
 @query("entity_mentions", "SELECT lower(trim(c_mktsegment)) AS name, count(DISTINCT c_nationkey) AS documents, count(*) AS mentions FROM customer WHERE length(trim(c_mktsegment)) >= 2 GROUP BY 1")
@@ -112,10 +141,13 @@ def tag_counts(spark, sf_dir, slugs=("en", "de", "xx")):
     return t(spark, sf_dir, "documents").join(F.broadcast(known), "lang").groupBy("lang").agg(F.count(F.lit(1)).alias("hits"))
 
 
-@query("version_supersede", "SELECT l_partkey, l_orderkey AS document, l_linenumber AS version FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_linenumber DESC, l_orderkey DESC) = 1")
+@query("version_supersede", "SELECT l_partkey, l_orderkey AS document, l_linenumber AS version, lead(l_orderkey) OVER w IS NULL AS current, lead(l_orderkey) OVER w AS superseded_by, CASE WHEN lead(l_orderkey) OVER w IS NULL THEN l_quantity END AS children FROM lineitem WINDOW w AS (PARTITION BY l_partkey ORDER BY l_linenumber, l_orderkey)")
 def version_supersede(spark, sf_dir):
+    """Each version names the one that took its place, and only the newest keeps its children."""
     l = t(spark, sf_dir, "lineitem")  # noqa: E741
-    return op.distinct_on(l, ["l_partkey"], F.desc("l_linenumber"), F.desc("l_orderkey")).select("l_partkey", F.col("l_orderkey").alias("document"), F.col("l_linenumber").alias("version"))
+    after = F.lead("l_orderkey").over(Window.partitionBy("l_partkey").orderBy("l_linenumber", "l_orderkey"))
+    v = l.withColumn("superseded_by", after).withColumn("current", F.col("superseded_by").isNull())
+    return v.select("l_partkey", F.col("l_orderkey").alias("document"), F.col("l_linenumber").alias("version"), "current", "superseded_by", F.when(F.col("current"), F.col("l_quantity")).alias("children"))
 
 
 @query("update_where_distinct", "SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 99 ELSE label END AS label FROM embeddings")
@@ -165,18 +197,18 @@ def _log(spark, sf_dir):
 
 
 @query("alert_suppression", """
-WITH RECURSIVE e AS (SELECT event_id, event_type, epoch(ts)::BIGINT::DOUBLE AS tm, row_number() OVER (PARTITION BY event_type ORDER BY epoch(ts)::BIGINT, event_id) AS rn FROM events),
-w AS (SELECT event_id, event_type, tm, rn, tm AS sent, 'send' AS action FROM e WHERE rn = 1 UNION ALL
-SELECT e.event_id, e.event_type, e.tm, e.rn, CASE WHEN e.tm - w.sent >= 21600 THEN e.tm ELSE w.sent END, CASE WHEN e.tm - w.sent >= 21600 THEN 'send' ELSE 'suppress' END FROM w JOIN e ON e.event_type = w.event_type AND e.rn = w.rn + 1)
+WITH RECURSIVE e AS (SELECT event_id, event_type, user_id, epoch(ts)::BIGINT::DOUBLE AS tm, row_number() OVER (PARTITION BY event_type, user_id ORDER BY epoch(ts)::BIGINT, event_id) AS rn FROM events),
+w AS (SELECT event_id, event_type, user_id, tm, rn, tm AS sent, 'send' AS action FROM e WHERE rn = 1 UNION ALL
+SELECT e.event_id, e.event_type, e.user_id, e.tm, e.rn, CASE WHEN e.tm - w.sent >= 21600 THEN e.tm ELSE w.sent END, CASE WHEN e.tm - w.sent >= 21600 THEN 'send' ELSE 'suppress' END FROM w JOIN e ON e.event_type = w.event_type AND e.user_id = w.user_id AND e.rn = w.rn + 1)
 SELECT event_id, action FROM w""")
 def alert_suppression(spark, sf_dir):
-    """The same alert is sent again after six hours at the earliest."""
-    return sf.batch(_log(spark, sf_dir), "suppress", "event_type", "at", ["event_id"]).select("event_id", "action")
+    """The same alert, by kind and origin, is sent again after six hours at the earliest."""
+    return sf.batch(_log(spark, sf_dir), "suppress", ["event_type", "user_id"], "at", ["event_id"]).select("event_id", "action")
 
 
 @query("circuit_breaker")
 def circuit_breaker(spark, sf_dir):
-    return sf.batch(_log(spark, sf_dir), "breaker", "event_type", "at", ["event_id"], failures=2).select("event_id", "action", "count")
+    return sf.batch(_log(spark, sf_dir), "breaker", "user_id", "at", ["event_id"], failures=2).select("event_id", "action", "count")
 
 
 @query("token_bucket")
@@ -186,7 +218,7 @@ def token_bucket(spark, sf_dir):
 
 @query("notification_batching")
 def notification_batching(spark, sf_dir):
-    return sf.batch(_log(spark, sf_dir), "batching", "event_type", "at", ["event_id"]).select("event_id", "action", "count")
+    return sf.batch(_log(spark, sf_dir), "batching", "user_id", "at", ["event_id"], hours_from_utc=-8.0).select("event_id", "action", "count")
 
 
 @query("recency_gate", "SELECT event_id FROM events, (SELECT max(ts) AS now FROM events) WHERE now - ts <= INTERVAL 90 MINUTE")

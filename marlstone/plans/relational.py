@@ -38,10 +38,13 @@ _sql("filter_ilike_contains", "SELECT c_custkey, c_name FROM customer WHERE c_na
 _sql("filter_ilike_suffix", "SELECT page_id, url FROM pages WHERE url ILIKE '%.html'", None, "pages")
 
 
-@query("filter_name_both_orders", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%1%' OR p_name ILIKE concat('%', 'Part', ', ', 'Brand', '%')")
-def filter_name_both_orders(spark, sf_dir):
-    p = t(spark, sf_dir, "part")
-    return p.where(F.col("p_name").ilike("%1%") | F.col("p_name").ilike("%Part, Brand%")).select("p_partkey", "p_name")
+@query("filter_name_both_orders", "WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE split_part(p_name, ' ', 2) || ', ' || split_part(p_name, ' ', 1) END AS name FROM part) SELECT p_partkey, name FROM n WHERE lower(name) LIKE '%small ring%' OR lower(name) LIKE '%ring, small%'")
+def filter_name_both_orders(spark, sf_dir, first="Small", last="Ring"):
+    """Names kept as "first last" or as "last, first"."""
+    parts = F.split("p_name", " ")
+    name = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat(F.get(parts, F.lit(1)), F.lit(", "), F.get(parts, F.lit(0))))
+    p = t(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
+    return p.where(F.col("name").ilike(f"%{first} {last}%") | F.col("name").ilike(f"%{last}, {first}%"))
 
 
 @query("filter_regex", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)license') AND NOT regexp_matches(text, '!!')")
@@ -131,9 +134,9 @@ def join_cooccurrence(spark, sf_dir):
     return pairs.groupBy("p.brand_a", "p.brand_b").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("join_or_condition", "SELECT DISTINCT o.o_orderkey, c.c_custkey FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey OR c.c_custkey = o.o_orderkey WHERE o.o_orderkey < 2000")
+@query("join_or_condition", "SELECT DISTINCT o.o_orderkey, c.c_custkey FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey OR c.c_custkey = o.o_orderkey")
 def join_or_condition(spark, sf_dir):
-    o, c = t(spark, sf_dir, "orders").where("o_orderkey < 2000"), t(spark, sf_dir, "customer")
+    o, c = t(spark, sf_dir, "orders"), t(spark, sf_dir, "customer")
     return op.any_of_join(o, c, [(["o_custkey"], ["c_custkey"]), (["o_orderkey"], ["c_custkey"])], ["o_orderkey"], ["c_custkey"])
 
 
@@ -195,17 +198,22 @@ _sql("join_polymorphic_edge", "SELECT e.kind, e.id, coalesce(c.c_name, s.s_name)
 
 
 @query("join_fuzzy_best", """
-WITH a AS (SELECT p_partkey, p_brand, p_type, p_size FROM part WHERE p_partkey <= 200), b AS (SELECT p_partkey AS other, p_brand AS ob, p_type AS ot, p_size AS os FROM part WHERE p_partkey > 200 AND p_partkey <= 600),
-s AS (SELECT p_partkey, other, CASE WHEN ob = p_brand AND ot = p_type AND os = p_size THEN 4 WHEN ob = p_brand AND ot = p_type THEN 3 WHEN ob = p_brand AND os = p_size THEN 2 ELSE 1 END AS score FROM a JOIN b ON ob = p_brand)
+WITH a AS (SELECT p_partkey, p_brand, p_type, p_size FROM part WHERE p_partkey % 5 = 0), b AS (SELECT p_partkey AS other, p_brand AS ob, p_type AS ot, p_size AS os FROM part WHERE p_partkey % 5 <> 0),
+s AS (SELECT p_partkey, other, CASE WHEN ot = p_type AND os = p_size THEN 4 WHEN ot = p_type THEN 3 WHEN os = p_size THEN 2 ELSE 1 END AS score FROM a JOIN b ON ob = p_brand)
 SELECT p_partkey, other, CAST(score AS BIGINT) AS score FROM s QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, other) = 1""")
 def join_fuzzy_best(spark, sf_dir):
-    """Best scored match, the first on ties."""
-    p = t(spark, sf_dir, "part")
-    a = p.where("p_partkey <= 200").select("p_partkey", "p_brand", "p_type", "p_size")
-    b = p.where("p_partkey > 200 AND p_partkey <= 600").select(F.col("p_partkey").alias("other"), "p_brand", F.col("p_type").alias("ot"), F.col("p_size").alias("os"))
-    same_type, same_size = F.col("ot") == F.col("p_type"), F.col("os") == F.col("p_size")
-    score = F.when(same_type & same_size, 4).when(same_type, 3).when(same_size, 2).otherwise(1).cast("long")
-    return op.distinct_on(a.join(b, "p_brand").withColumn("score", score), ["p_partkey"], F.desc("score"), F.asc("other")).select("p_partkey", "other", "score")
+    """Best scored match of each part of one list in another one, the first on ties.
+
+    A score names what must be equal, so the least candidate of each combination
+    is found once and each level is one equi-join: no pair is built.
+    """
+    p = t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    a, b = p.where("p_partkey % 5 = 0"), p.where("p_partkey % 5 <> 0")
+    out = a
+    for score, keys in ((4, ["p_brand", "p_type", "p_size"]), (3, ["p_brand", "p_type"]), (2, ["p_brand", "p_size"]), (1, ["p_brand"])):
+        out = out.join(b.groupBy(*keys).agg(F.min("p_partkey").alias(f"m{score}")), keys, "left")
+    best = F.coalesce(*[F.when(F.col(f"m{s}").isNotNull(), F.struct(F.col(f"m{s}").alias("other"), F.lit(s).cast("long").alias("score"))) for s in (4, 3, 2, 1)])
+    return out.withColumn("best", best).where("best IS NOT NULL").select("p_partkey", "best.other", "best.score")
 
 
 # ---- aggregates

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from functools import lru_cache
 
 from pyspark.sql import functions as F
@@ -18,8 +19,12 @@ QUERY = "license public"
 VECTOR_ID = 7
 
 
+#: Seconds that a query vector is remembered for.
+REMEMBERED = 300
+
+
 @lru_cache(maxsize=64)
-def _vector(session_id: str, sf_dir: str, vec_id: int) -> tuple[float, ...]:
+def _vector(session_id: str, sf_dir: str, vec_id: int, period: int) -> tuple[float, ...]:
     from pyspark.sql import SparkSession
 
     row = t(SparkSession.active(), sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
@@ -28,7 +33,7 @@ def _vector(session_id: str, sf_dir: str, vec_id: int) -> tuple[float, ...]:
 
 def vector(spark, sf_dir: str, vec_id: int = VECTOR_ID) -> list[float]:
     """The query vector: one row, looked up as a client's embedding call would give it."""
-    return list(_vector(spark.sparkContext.applicationId, sf_dir, vec_id))
+    return list(_vector(spark.sparkContext.applicationId, sf_dir, vec_id, int(time.time() // REMEMBERED)))
 
 
 COS = "round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 6)"
@@ -108,9 +113,9 @@ def two_chunks_per_document(spark, sf_dir):
     return rt.cap_per_document(c, "conv_id", 2, F.desc("score"), F.asc("turn")).orderBy(F.desc("score"), "conv_id", "turn").limit(30)
 
 
-@query("document_with_chunks", "SELECT doc_id, i AS chunk_index, substring(text, i * 800 + 1, 1000) AS content FROM documents, unnest(range(0, greatest(1, ceil((length(text) - 200) / 800.0)::BIGINT))) u(i) WHERE doc_id < 50")
+@query("document_with_chunks", "SELECT doc_id, i AS chunk_index, substring(text, i * 800 + 1, 1000) AS content FROM documents, unnest(range(0, greatest(1, ceil((length(text) - 200) / 800.0)::BIGINT))) u(i)")
 def document_with_chunks(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").where("doc_id < 50")
+    d = t(spark, sf_dir, "documents")
     return windows_sql(d, "text", 1000, 200).select("doc_id", "chunk_index", "content")
 
 

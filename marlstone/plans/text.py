@@ -100,11 +100,14 @@ def context_prefix(spark, sf_dir):
 
 
 @query("case_numbers", r"""
-WITH x AS (SELECT o_orderkey, 'Re ' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || '-2-' || lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0') || '-7 and 2:19-CV-' || lpad(CAST(o_custkey % 100000 AS VARCHAR), 5, '0') AS s FROM orders)
-SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(s, '\b(\d{2}-\d-\d{5}-\d)\b', 1), regexp_extract_all(lower(s), '\b(\d:\d{2}-(?:cv|cr|mc|bk)-\d{4,5})\b', 1)))), ',') AS cases FROM x""")
+WITH x AS (SELECT o_orderkey, lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || '-2-' || lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0') || '-' || 10 + o_orderkey % 90 AS state, lpad(CAST(o_custkey % 100000 AS VARCHAR), 5, '0') AS n, o_orderkey % 3 AS form FROM orders)
+SELECT o_orderkey, array_to_string(list_sort([state, CASE form WHEN 0 THEN '219CV' || n WHEN 1 THEN '219CV' || n || 'RSM' ELSE '1223CV' || n || 'AB' END]), ',') AS cases FROM x""")
 def case_numbers(spark, sf_dir):
     o = t(spark, sf_dir, "orders")
-    s = F.format_string("Re %02d-2-%05d-7 and 2:19-CV-%05d", F.col("o_orderkey") % 100, F.col("o_orderkey") % 100000, F.col("o_custkey") % 100000)
+    state = F.format_string("%02d-2-%05d-%d", F.col("o_orderkey") % 100, F.col("o_orderkey") % 100000, 10 + F.col("o_orderkey") % 90)
+    n, form = F.format_string("%05d", F.col("o_custkey") % 100000), F.col("o_orderkey") % 3
+    federal = F.when(form == 0, F.concat(F.lit("2:19-CV-"), n, F.lit(" x"))).when(form == 1, F.concat(F.lit("2:19-cv-"), n, F.lit("-rsm"))).otherwise(F.concat(F.lit("1223CV"), n, F.lit("AB")))
+    s = F.concat(F.lit("Re "), state, F.lit(" and "), federal)
     return o.select("o_orderkey", F.array_join(tx.case_numbers(s), ",").alias("cases"))
 
 

@@ -48,11 +48,11 @@ def bucket(state: tuple, at: float, row: dict, capacity: float = 10.0, rate: flo
     return (tokens, at), {"action": "limit", "count": 0}
 
 
-def batching(state: tuple, at: float, row: dict, gap: float = 300.0, most: int = 20, quiet: tuple[int, int] = (22, 7)) -> tuple[tuple, dict]:
-    """Notifications: held in quiet hours and until ``gap`` seconds after the last batch, then sent together, at most ``most``."""
+def batching(state: tuple, at: float, row: dict, gap: float = 300.0, most: int = 20, quiet: tuple[int, int] = (22, 7), hours_from_utc: float = 0.0) -> tuple[tuple, dict]:
+    """Notifications: held in quiet hours of the local clock and until ``gap`` seconds after the last batch, then sent together, at most ``most``."""
     last, queued = state
     queued += 1
-    hour = int(at // 3600) % 24
+    hour = int((at + 3600 * hours_from_utc) // 3600) % 24
     still = hour >= quiet[0] or hour < quiet[1] if quiet[0] > quiet[1] else quiet[0] <= hour < quiet[1]
     if still or last is not None and at - last < gap:
         return (last, queued), {"action": "hold", "count": queued}
@@ -77,7 +77,7 @@ def _rows(fold: Fold, state: tuple, pdf: pd.DataFrame, at: str, order: list[str]
     return state, pdf.assign(action=[a for a, _ in out], count=[c for _, c in out])
 
 
-def batch(df: DataFrame, name: str, key: str, at: str, order: list[str], **params) -> DataFrame:
+def batch(df: DataFrame, name: str, key: str | list[str], at: str, order: list[str], **params) -> DataFrame:
     """``df`` with ``action`` and ``count`` of each event; ``at`` is seconds as a double.
 
     A key's events are folded in one task: their order is the operator's
@@ -89,7 +89,7 @@ def batch(df: DataFrame, name: str, key: str, at: str, order: list[str], **param
         return _rows(lambda s, t, r: fold(s, t, r, **params), start, pdf, at, order)[1]
 
     schema = df.schema.simpleString()[7:-1].replace(":", " ")
-    return df.groupBy(key).applyInPandas(run, f"{schema.replace(',', ', ')}, action string, count long")
+    return df.groupBy(*([key] if isinstance(key, str) else key)).applyInPandas(run, f"{schema.replace(',', ', ')}, action string, count long")
 
 
 def stream(df: DataFrame, name: str, key: str, at: str, order: list[str], timeout_ms: int | None = None, **params) -> DataFrame:
