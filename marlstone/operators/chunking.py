@@ -113,7 +113,7 @@ def chunk(df: DataFrame, text: str, method: str = "recursive", size: int = 1000,
     return each.select(*df.columns, "total_chunks", "__x.chunk_index", "__x.content", "__x.start", "__x.stop")
 
 
-#: How quoted text, closings and disclaimers begin.
+#: How quoted text, closings and disclaimers begin, in common forms of mail; this engine's own choice.
 QUOTE = re.compile(
     r"^On .{5,200}wrote:\s*$|^(?:From|Von|De|Da|Van):.*\n(?:Sent|Gesendet|Envoyé|Inviato|Verzonden|Date):|^-{3,}\s*(?:Original Message|Forwarded message).*$|^_{20,}\s*$|(?:^>.*(?:\n|$)){3,}", re.M
 )
