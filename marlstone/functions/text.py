@@ -126,7 +126,8 @@ PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "phone": r"\(\d{3}\) ?\d{3}-\d{4}|\b\d{3}-\d{3}-\d{4}\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
-    "card": r"\b\d{16}\b",
+    "card": r"\b(?:\d[ -]*?){13,16}\b",
+    "mrn": r"(?i)\bMRN[: ]?\d{6,12}\b",
     "ip": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
 }
 

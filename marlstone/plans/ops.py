@@ -85,7 +85,7 @@ def unknown_clients(spark, sf_dir):
     return t(spark, sf_dir, "events").join(known, "user_id", "left_anti").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("pii_documents", r"SELECT doc_id, source FROM documents WHERE regexp_matches(text, '\b\d{16}\b') OR regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')")
+@query("pii_documents", r"SELECT doc_id, source FROM documents WHERE regexp_matches(text, '\b(?:\d[ -]*?){13,16}\b') OR regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')")
 def pii_documents(spark, sf_dir):
     return t(spark, sf_dir, "documents").where(F.col("text").rlike(tx.PII["card"]) | F.col("text").rlike(tx.PII["email"])).select("doc_id", "source")
 

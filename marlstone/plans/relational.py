@@ -272,10 +272,10 @@ def agg_eval_score(spark, sf_dir):
 
 
 @query("agg_pii_counts", r"""
-SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS BIGINT) AS email, CAST(len(regexp_extract_all(text, '\(\d{3}\) ?\d{3}-\d{4}|\b\d{3}-\d{3}-\d{4}\b')) AS BIGINT) AS phone, CAST(len(regexp_extract_all(text, '\b\d{16}\b')) AS BIGINT) AS card, CAST(len(regexp_extract_all(text, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b')) AS BIGINT) AS ip FROM documents""")
+SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS BIGINT) AS email, CAST(len(regexp_extract_all(text, '\(\d{3}\) ?\d{3}-\d{4}|\b\d{3}-\d{3}-\d{4}\b')) AS BIGINT) AS phone, CAST(len(regexp_extract_all(text, '\b(?:\d[ -]*?){13,16}\b')) AS BIGINT) AS card, CAST(len(regexp_extract_all(text, '(?i)\bMRN[: ]?\d{6,12}\b')) AS BIGINT) AS mrn, CAST(len(regexp_extract_all(text, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b')) AS BIGINT) AS ip FROM documents""")
 def agg_pii_counts(spark, sf_dir):
     counts = tx.pii_counts(F.col("text"))
-    return t(spark, sf_dir, "documents").select("doc_id", *[counts[k].alias(k) for k in ("email", "phone", "card", "ip")])
+    return t(spark, sf_dir, "documents").select("doc_id", *[counts[k].alias(k) for k in ("email", "phone", "card", "mrn", "ip")])
 
 
 _sql("agg_drift_sets", "(SELECT 'only_a' AS side, n_name AS name FROM nation WHERE n_regionkey < 3 EXCEPT SELECT 'only_a', n_name FROM nation WHERE n_nationkey > 10) UNION ALL (SELECT 'only_b', n_name FROM nation WHERE n_nationkey > 10 EXCEPT SELECT 'only_b', n_name FROM nation WHERE n_regionkey < 3)", None, "nation")

@@ -34,6 +34,20 @@ def apply_changes(state: DataFrame, changes: DataFrame, key: str, order: str, bo
     return joined.where(F.col(f"s.{key}").isNotNull() | upsert).select(*out)
 
 
+def after_cursor(feed: DataFrame, page: str, cursor: int | None) -> DataFrame:
+    """The pages of a change feed after the last one that was read; all of them without a cursor."""
+    return feed if cursor is None else feed.where(F.col(page) > cursor)
+
+
+def resync(state: DataFrame, listing: DataFrame, key: str, stamp: Column) -> DataFrame:
+    """The state after a whole listing, for a cursor that has expired: listed keys are alive, all others are marked deleted once."""
+    s, n = state.alias("s"), listing.alias("n")
+    there = F.col(f"n.{key}").isNotNull()
+    columns = [c for c in state.columns if c not in (key, "deleted_at")]
+    out = [F.coalesce(f"n.{key}", f"s.{key}").alias(key), *[F.when(there, F.col(f"n.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in columns]]
+    return s.join(n, F.col(f"s.{key}") == F.col(f"n.{key}"), "full_outer").select(*out, F.when(~there, F.coalesce("s.deleted_at", stamp)).alias("deleted_at"))
+
+
 def advance_cursor(cursors: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """Cursors after a batch: a new position wins, a failed batch (null position) keeps the old one, counters add up."""
     return op.upsert(cursors, batch, keys, {"messages_seen": "add", "removals": "add"})

@@ -195,6 +195,14 @@ def test_semantic_reranked(spark, rows):
         assert r["rerank_score"] == pytest.approx(len({"license", "public"} & set(texts[r["doc_id"]].lower().split())) / 2)
 
 
+def test_semantic_search_approximate(spark):
+    """Nine in ten of the exact neighbours are found."""
+    sf = "/root/testdata/sf0.01"
+    exact = {(r["query_id"], r["vec_id"]) for r in QUERIES["semantic_batch"](spark, sf).collect()}
+    found = QUERIES["semantic_search_approximate"](spark, sf).collect()
+    assert len({(r["query_id"], r["vec_id"]) for r in found} & exact) >= 0.9 * len(exact) and max(r["rn"] for r in found) == 5
+
+
 CASES = ["see 24-2-01031-31 and 24-2-01031-3", "2:19-CV-01234-RSM; 2:19-cv-01234", "1223cv00042ab", "19CV12345 12-34-cv-55555", "", None, "x" * 4995 + "24-2-01031-31", "10:21cv99999_a"]
 
 
