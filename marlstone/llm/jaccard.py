@@ -35,7 +35,11 @@ from marlstone.llm.store import Scratch
 #: Columns known to be frequent go last in each prefix; how many are known changes the cost only.
 FREQUENT_KEPT = 1 << 18
 FREQUENT_FROM = 64
-LOCAL_FROM = 4
+LOCAL_FROM = 3
+#: Shingles counted together in a task.
+COUNTED = 2_000_000
+#: A pair accepted by no more shared shingles above the bound than this is compared once more by whole hashes.
+MARGIN = 8
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -70,12 +74,24 @@ def unpack(b) -> np.ndarray:
 
 
 def _frequent(docs: DataFrame, k: int) -> np.ndarray:
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        value = np.sort(np.concatenate([np.zeros(0, np.uint64), *held]))
+        first = np.flatnonzero(np.diff(value, prepend=~value[:1]) != 0)
+        n = np.diff(first, append=len(value))
+        often = n >= LOCAL_FROM
+        return pa.RecordBatch.from_arrays([pa.array(value[first[often]].view(np.int64)), pa.array(n[often])], ["h", "c"])
+
     def count(batches):
+        held, size = [], 0
         for b in batches:
-            sets = list(_sets(b.column(0), k))
-            value, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-            often = n >= LOCAL_FROM
-            yield pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(n[often])], ["h", "c"])
+            for s in _sets(b.column(0), k):
+                held.append(s)
+                size += len(s)
+                if size > COUNTED:
+                    yield counted(held)
+                    held, size = [], 0
+        yield counted(held)
+        textkit.release()
 
     rows = (
         docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
@@ -111,6 +127,7 @@ def _incidence(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                 end.append((take > rare) << 15 | int(s[take - 1]) >> 49)
                 prefix.append(s[:take].view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(end, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "key", "e", "prefix"])
+        textkit.release()
 
     return docs.select("id", "text").mapInArrow(rows, "id long, n long, key long, e long, prefix array<long>")
 
@@ -132,8 +149,86 @@ def _columns(classes: DataFrame, shared) -> DataFrame:
     return classes.select(*names, "prefix").mapInArrow(rows, ", ".join(["col long", "u long", *[f"{c} long" for c in names]]))
 
 
-def _verified(docs: DataFrame, incidence: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes, those similar enough, as edges (u, v)."""
+def _size_code(n: np.ndarray) -> np.ndarray:
+    """Eight classes of size for each doubling."""
+    return np.floor(8 * np.log2(np.maximum(n, 1))).astype(np.uint64)
+
+
+#: Bits of a class's key that tell it from others in a column, and bytes of a packed entry: 4 of the column, 1 of the size, the rest of the key.
+_KEY_BITS, _ENTRY = 48, 11
+
+
+def _shared_columns(classes: DataFrame, percent: int, bits: int = bitmap.BITS) -> np.ndarray:
+    """A filter over the columns that two classes of compatible sizes have in their prefixes.
+
+    Columns are packed by their upper bits into buckets: 32 more bits, the
+    class's size code, and bits of its key, for a class may come from several
+    tasks.  Columns that only look equal make the filter hold more, never less.
+    """
+    n_rows = classes.count()
+    bucket_bits = min(bits - 6, max(12, (n_rows // 2000).bit_length()))
+    apart = int(np.ceil(8 * np.log2(100 / percent)))
+    upper = np.uint64(64 - bucket_bits)
+
+    def packed(batches):
+        for b in batches:
+            lists = b.column(2)
+            row = np.repeat(np.arange(len(b)), np.diff(lists.offsets.to_numpy()))
+            value = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
+            key = b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - _KEY_BITS)
+            column = (value << np.uint64(bucket_bits) >> np.uint64(32)) | _size_code(b.column(1).to_numpy())[row] << np.uint64(32)
+            order = np.argsort(value >> upper, kind="stable")
+            bucket = (value >> upper)[order].astype(np.int64)
+            raw = np.concatenate([column[order].view(np.uint8).reshape(-1, 8)[:, :5], key[row[order]].view(np.uint8).reshape(-1, 8)[:, : _ENTRY - 5]], axis=1).tobytes()
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            ends = [*(_ENTRY * first).tolist(), len(raw)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array([raw[x:y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary())], ["bucket", "held"])
+
+    def words(bucket: int, held: list[bytes]) -> pa.RecordBatch:
+        raw = np.frombuffer(b"".join(held), np.uint8).reshape(-1, _ENTRY)
+        column, key = np.zeros((2, len(raw), 8), np.uint8)
+        # Highest are the column's bits, then the size code.
+        column[:, 1:5], column[:, 0], key[:, : _ENTRY - 5] = raw[:, :4], raw[:, 4], raw[:, 5:]
+        column, key = column.reshape(-1).view(np.uint64), key.reshape(-1).view(np.uint64)
+        order = np.lexsort((key, column))
+        column, key = column[order], key[order]
+        other = np.ones(len(column), bool)
+        other[1:] = (column[1:] != column[:-1]) | (key[1:] != key[:-1])
+        column = column[other]
+        # In order of size, some two are compatible only if two neighbours are.
+        met = (column[1:] >> np.uint64(8) == column[:-1] >> np.uint64(8)) & (column[1:] - column[:-1] <= apart)
+        slot = (column[1:][met] >> np.uint64(8) << np.uint64(32) >> np.uint64(bucket_bits) | np.uint64(bucket) << upper) >> np.uint64(64 - bits)
+        word, place = np.unique((slot >> np.uint64(6)).astype(np.int64), return_inverse=True)
+        out = np.zeros(len(word), np.uint64)
+        np.bitwise_or.at(out, place, np.uint64(1) << (slot & np.uint64(63)))
+        return pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(out.view(np.int64))], ["w", "b"])
+
+    def reduced(batches):
+        now, held = None, []
+        for b in batches:
+            for bucket, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if bucket != now and held:
+                    yield words(now, held)
+                    held = []
+                now = bucket
+                held.append(raw)
+        if held:
+            yield words(now, held)
+
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = classes.select("key", "n", "prefix").mapInArrow(packed, "bucket int, held binary")
+    rows = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(reduced, "w int, b long").toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def _compared(docs: DataFrame, incidence: DataFrame, pairs: DataFrame, k: int, percent: int, whole: bool) -> DataFrame:
+    """Of pairs (a, b) of classes, those similar enough, as edges (u, v), and whether that is sure.
+
+    Sets travel with 40 bits of each hash unless ``whole``.  Two such sets share
+    as many as the true ones or more, so none is missed.
+    """
     spark = docs.sparkSession
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     # One document speaks for each class.
@@ -143,27 +238,39 @@ def _verified(docs: DataFrame, incidence: DataFrame, pairs: DataFrame, k: int, p
     def sets(batches):
         for b in batches:
             hit = bitmap.has(wanted.value, b.column(0).to_numpy())
-            part = b.filter(pa.array(hit))
-            found = [s for s in _sets(part.column(1), k) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in found], pa.int64()), pa.array([pack(s) for s in found], pa.binary())], ["key", "s"])
+            found = [s for s in _sets(b.column(1).filter(pa.array(hit)), k) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in found], pa.int64()), pa.array([s.tobytes() if whole else pack(s) for s in found], pa.binary())], ["key", "s"])
+        textkit.release()
 
     def overlap(batches):
+        read = (lambda b: np.frombuffer(b, np.uint64)) if whole else unpack
         for b in batches:
-            good = []
+            good, sure = [], []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = unpack(x.as_buffer()), unpack(y.as_buffer())
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    good.append(False)
-                    continue
-                met = len(np.intersect1d(x, y))
-                good.append(100 * met >= percent * (len(x) + len(y) - met))
+                x, y = read(x.as_buffer()), read(y.as_buffer())
+                small, large = (x, y) if len(x) <= len(y) else (y, x)
+                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                met = int((large[at] == small).sum())
+                above = (100 + percent) * met - percent * (len(x) + len(y))
+                good.append(above >= 0)
+                sure.append(whole or above > (100 + percent) * MARGIN)
             keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(sure, pa.bool_()).filter(keep)], ["u", "v", "sure"])
 
     each = docs.where("id IS NOT NULL").select(F.xxhash64("id").alias("h"), "text").mapInArrow(sets, "key long, s binary").groupBy("key").agg(F.first("s").alias("s"))
     one = pairs.join(each.select(F.col("key").alias("a"), F.col("s").alias("x")), "a")
     both = one.join(each.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(overlap, "u long, v long")
+    return both.select("a", "b", "x", "y").mapInArrow(overlap, "u long, v long, sure boolean")
+
+
+def _verified(docs: DataFrame, incidence: DataFrame, pairs: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """Of pairs (a, b) of classes, those similar enough, as edges (u, v)."""
+    first = scratch.keep(_compared(docs, incidence, pairs, k, percent, False), name)
+    close = first.where("NOT sure").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    if close.isEmpty():
+        return first.select("u", "v")
+    again = scratch.keep(_compared(docs, incidence, close, k, percent, True), f"{name}_again")
+    return first.where("sure").unionByName(again).select("u", "v")
 
 
 def _size_bound(na: str, nb: str, percent: int) -> str:
@@ -172,25 +279,32 @@ def _size_bound(na: str, nb: str, percent: int) -> str:
 
 
 def _own_bound(a: str, b: str, percent: int) -> str:
-    """Whether the overlap can suffice when so many prefix columns of the class whose prefix ends first are its own.
+    """Whether the overlap can suffice when so many prefix columns of two classes are their own.
 
-    ``a`` and ``b`` are the two classes' columns n, u and e.  Where the ends are
-    equal as far as they are known, either may be first.
+    ``a`` and ``b`` are the two classes' columns n, u and e.  What both share of
+    the prefix that ends first is in both prefixes, and no column there is own;
+    after it the class has ``ceil(t * n) - 1`` more.  Where the ends are equal
+    as far as they are known, either may be first.
     """
     (na, ua, ea), (nb, ub, eb) = a.split(), b.split()
-    most = f"CASE WHEN {ea} < {eb} THEN {na} - {ua} WHEN {ea} > {eb} THEN {nb} - {ub} ELSE greatest({na} - {ua}, {nb} - {ub}) END"
-    return f"{most} >= ceil({percent} * ({na} + {nb}) / {100 + percent}D - 1e-9)"
+    rest = lambda n: f"(({percent} * {n} + 99) div 100 - 1)"
+    first = f"CASE WHEN {ea} < {eb} THEN {rest(na)} WHEN {ea} > {eb} THEN {rest(nb)} ELSE greatest({rest(na)}, {rest(nb)}) END"
+    shared = f"least({na} - {rest(na)} - {ua}, {nb} - {rest(nb)} - {ub})"
+    return f"{100 + percent} * ({shared} + {first}) >= {percent} * ({na} + {nb})"
 
 
-def _overlap_bound(count: str, na: str, nb: str, percent: int) -> str:
+def _overlap_bound(count: str, a: str, b: str, percent: int) -> str:
     """Whether the overlap can reach what the similarity needs.
 
-    ``count`` columns of both prefixes are shared.  Of the set whose prefix ends
-    first in column order, all other shared columns are after its prefix, so at
-    most ``ceil(t * n) - 1`` more are shared, n being the larger size at most.
+    ``count`` columns of both prefixes are shared; ``a`` and ``b`` are the two
+    classes' columns n and e.  Of the set whose prefix ends first in column
+    order, all other shared columns are after its prefix, so at most
+    ``ceil(t * n) - 1`` more are shared; where the ends are equal as far as they
+    are known, n is the larger size.
     """
-    need = f"ceil({percent} * ({na} + {nb}) / {100 + percent}D - 1e-9)"
-    return f"{count} + (({percent} * greatest({na}, {nb}) + 99) div 100) - 1 >= {need}"
+    (na, ea), (nb, eb) = a.split(), b.split()
+    first = f"CASE WHEN {ea} < {eb} THEN {na} WHEN {eb} < {ea} THEN {nb} ELSE greatest({na}, {nb}) END"
+    return f"{100 + percent} * ({count} + (({percent} * {first} + 99) div 100) - 1) >= {percent} * ({na} + {nb})"
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -212,8 +326,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     incidence = scratch.keep(_incidence(docs, k, percent, frequent), "incidence")
 
     classes = incidence.where("prefix IS NOT NULL").select("key", "n", "e", "prefix")
-    met = classes.select("key", F.explode("prefix").alias("col")).groupBy("col").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
-    shared = spark.sparkContext.broadcast(bitmap.build(met, "col"))
+    shared = spark.sparkContext.broadcast(_shared_columns(classes, percent))
     # A class is compared with the central class that it shares most columns with; any choice is right, this one settles most.
     entries = scratch.keep(_columns(classes, shared), "entries")
     central = entries.groupBy("col").agg(F.max(F.struct((-F.col("u") / F.col("n")).alias("rank"), "key", "n", "u", "e")).alias("m"))
@@ -221,7 +334,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ends = entries.join(central, "col").where(f"key <> hub AND {_size_bound('n', 'hub_n', percent)} AND {_own_bound('n u e', 'hub_n hub_u hub_e', percent)}")
     best = ends.groupBy("key", "hub").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
     stars = scratch.keep(best.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct(), "stars")
-    links = scratch.keep(_verified(docs, incidence, stars, k, percent), "links")
+    links = _verified(docs, incidence, stars, k, percent, scratch, "links")
     joined = components(links, scratch, "star").withColumnRenamed("id", "key")
 
     label = scratch.keep(entries.join(joined, "key", "left").select("col", "key", "n", "u", "e", F.coalesce("component", "key").alias("comp")).distinct(), "label")
@@ -232,10 +345,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # The product: one row for each column that two classes of different components share, then their counts.
     apart = F.expr(f"cp <> cq AND (main OR p < q) AND {_size_bound('np', 'nq', percent)} AND {_own_bound('np up ep', 'nq uq eq', percent)}")
     cross = one.withColumnRenamed("col", "__c").join(other, (F.col("__c") == F.col("col")) & apart)
-    counted = cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.expr("if(p < q, np, nq)").alias("na"), F.expr("if(p < q, nq, np)").alias("nb"))
-    counted = counted.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).where(_overlap_bound("c", "na", "nb", percent))
-    rest = scratch.keep(counted.select("a", "b").join(stars, ["a", "b"], "left_anti"), "rest")
-    links = scratch.keep(links.unionByName(_verified(docs, incidence, rest, k, percent)), "all_links")
+    of = lambda x: F.expr(f"named_struct('k', {x}, 'n', n{x}, 'e', e{x})")
+    counted = cross.select(F.least(of("p"), of("q")).alias("x"), F.greatest(of("p"), of("q")).alias("y")).select("x.*", F.col("y.k").alias("l"), F.col("y.n").alias("m"), F.col("y.e").alias("f"))
+    counted = counted.groupBy("k", "n", "e", "l", "m", "f").agg(F.count(F.lit(1)).alias("c")).where(_overlap_bound("c", "n e", "m f", percent)).select(F.col("k").alias("a"), F.col("l").alias("b"))
+    rest = scratch.keep(counted.join(stars, ["a", "b"], "left_anti"), "rest")
+    links = links.unionByName(_verified(docs, incidence, rest, k, percent, scratch, "rest_links"))
 
     root = components(links, scratch, "all")
     owned = incidence.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"))

@@ -2,19 +2,20 @@
 
 Words are maximal runs of bytes other than space and 0x09-0x0D, which equals
 ``[^\\x20\\x09-\\x0D]+`` over code points because those bytes never occur inside
-a UTF-8 sequence.  All hashes are 64 bits wide.  Work goes in chunks of a few
-megabytes of whole documents; one document is never split.
+a UTF-8 sequence.  All hashes are 64 bits wide.  Work goes in chunks of about a
+megabyte of whole documents; one document is never split.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -48,6 +49,14 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _cache["up"], _cache["down"]
 
 
+def release() -> None:
+    """Give freed memory back at a task's end: Spark keeps the worker, and its next task may be of another stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
