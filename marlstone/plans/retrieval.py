@@ -12,6 +12,7 @@ from marlstone.functions import vectors as vx
 from marlstone.operators import relational as op
 from marlstone.operators import retrieval as rt
 from marlstone.operators.chunking import windows_sql
+from marlstone.operators.index import RetrievalIndex
 from marlstone.plans.registry import query
 from marlstone.sources.tables import table as t
 
@@ -127,14 +128,29 @@ def context_windows(spark, sf_dir):
     return rt.context_windows(c, c.where("role = 'user' AND turn % 4 = 0"), "conv_id", "turn", "text", 1)
 
 
+_indexes: dict[tuple[str, str, int], RetrievalIndex] = {}
+
+
+def chunk_index(spark, sf_dir: str) -> RetrievalIndex:
+    """The index of a folder's documents, written on first use; a changed table is indexed anew."""
+    d = t(spark, sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, sf_dir, d.count())
+    if key not in _indexes:
+        _indexes[key] = RetrievalIndex.build(windows_sql(d, "text", 1000, 200).select("doc_id", "chunk_index", "content"))
+    return _indexes[key]
+
+
 @query("rag_query")
 def rag_query(spark, sf_dir, question="general public license version", k=10):
-    """Hybrid retrieval, rerank, two chunks a document and neighbours, over overlapping windows embedded by hashing."""
-    d = t(spark, sf_dir, "documents")
-    chunks = rt.embed(windows_sql(d, "text", 1000, 200).select("doc_id", "chunk_index", "content"), "content")
-    import pandas as pd
+    """Hybrid retrieval, rerank, two chunks a document and neighbours, over an index of overlapping windows."""
+    return chunk_index(spark, sf_dir).rag(question, k=k)
+
 
-    return rt.rag(chunks, question, rt.hashed_embedder()(pd.Series([question]))[0], k)
+@query("rag_query_of_case")
+def rag_query_of_case(spark, sf_dir, question="which license has case 24-2-00003?", k=10):
+    """The question names a case, so only its documents answer."""
+    cases = t(spark, sf_dir, "documents").select("doc_id", F.format_string("24-2-%05d-31", F.col("doc_id") % 7).alias("case_number"))
+    return chunk_index(spark, sf_dir).rag(question, k=k, cases=cases)
 
 
 @query("semantic_reranked")

@@ -6,7 +6,9 @@ from collections import defaultdict
 from itertools import pairwise
 
 import oracle
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
 from marlstone.operators import relational as op
@@ -187,6 +189,27 @@ def test_rag_query(spark, rows):
     assert max(counts.values()) <= 2
 
 
+def test_rag_query_of_case(spark):
+    got = QUERIES["rag_query_of_case"](spark, SF).collect()
+    assert got and all(r["doc_id"] % 7 == 3 for r in got)
+
+
+def test_index_answers_as_the_plain_operators(spark, rows):
+    from marlstone.operators.chunking import windows_sql
+    from marlstone.operators.index import RetrievalIndex
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["the public license of a general", "license public license", "public matters", "a general public license here and there", "", "version of nothing"] * 3)], "doc_id long, text string")
+    chunks = windows_sql(docs, "text", 20, 5).select("doc_id", "chunk_index", "content")
+    index = RetrievalIndex.build(chunks)
+    keyed = rt.embed(chunks, "content").withColumn("key", (F.col("doc_id") * 1000 + F.col("chunk_index")))
+    for q in ("license", "public license", '"public license"', "license -public", "version or matters", "general public or version"):
+        want = {(r["key"], r["rank"]) for r in rt.fulltext(keyed, q, 1000, id_col="key", text="content", headline=False).collect()}
+        assert {(1000 * r["doc_id"] + r["chunk_index"], r["rank"]) for r in index.fulltext(q, 1000).collect()} == want and want
+    vector = rt.hashed_embedder()(pd.Series(["public license"]))[0]
+    want = [(r["key"], r["similarity"]) for r in rt.semantic(keyed, vector, 9, id_col="key").collect()]
+    assert [(1000 * r["doc_id"] + r["chunk_index"], r["similarity"]) for r in index.semantic(vector, 9).collect()] == want
+
+
 def test_semantic_reranked(spark, rows):
     texts = {r["doc_id"]: r["text"] or "" for r in rows("documents")}
     got = QUERIES["semantic_reranked"](spark, SF).collect()
@@ -213,16 +236,10 @@ def test_case_numbers(spark):
     for s in CASES:
         head = (s or "")[:5000]
         want.append(sorted({f"{m[1]}{m[2]}CV{m[3]}{m[4] or ''}".upper() for m in federal.finditer(head)} | {m[0] for m in state.finditer(head)}))
-    df = spark.createDataFrame(list(enumerate(CASES)), "i long, s string").select("i", tx.case_numbers(oracle_column("s")).alias("c"))
+    df = spark.createDataFrame(list(enumerate(CASES)), "i long, s string").select("i", tx.case_numbers(F.col("s")).alias("c"))
     assert [r["c"] for r in df.orderBy("i").collect()] == want
 
 
-def oracle_column(name):
-    from pyspark.sql import functions as F
-
-    return F.col(name)
-
-
 def test_case_in_a_question_limits_the_chunks(spark):
     assert rt.case_in("parties in case 24-2-01031?") == "24-2-01031" and rt.case_in("in 24-2-01031-31") == "24-2-01031-31" and rt.case_in("anything") is None
     chunks = spark.createDataFrame([(i, 0, f"motion filed number {i}", [1.0, float(i)]) for i in range(6)], "doc_id long, chunk_index long, content string, embedding array<float>")
