@@ -113,9 +113,10 @@ def merged_ids(unit: str, known: dict[str, tuple[int, float]], byte_ids: list[in
     return out
 
 
-def encode_units(distinct: DataFrame, table: DataFrame, kind: str = "bpe", longest_piece: int = 16) -> DataFrame:
-    """(unit, ids) of a table of distinct units, hash partitioned by unit."""
+def encode_units(distinct: DataFrame, table: DataFrame, kind: str = "bpe") -> DataFrame:
+    """(unit, ids) of a table of distinct units, hash partitioned by unit.  Substrings go up to the table's longest piece."""
     normal = F.broadcast(table.where(F.col("kind") == NORMAL).select("piece", "id", "score"))
+    longest_piece = table.where(F.col("kind") == NORMAL).agg(F.coalesce(F.max(F.length("piece")), F.lit(1))).first()[0]
     byte_ids = [r["id"] for r in table.where(F.col("kind") == BYTE).orderBy("piece").select("id").collect()]
     short = distinct.where(F.length("unit") <= LONGEST).withColumn("n", F.length("unit"))
     sub = F.explode(F.expr(f"flatten(transform(sequence(0, n - 1), s -> transform(sequence(1, least({longest_piece}, n - s)), l -> named_struct('s', s, 'e', s + l, 'piece', substring(unit, s + 1, l)))))"))

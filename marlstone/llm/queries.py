@@ -107,6 +107,16 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
     )
 
 
+def unigram_viterbi(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    """The benchmark's texts by the best path through their lattices, the model's scores read as those of a unigram model."""
+    if model_path is None:
+        import public_tokenizers
+
+        model_path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode(_table(spark, sf_dir, "benchmark"), pieces.piece_table(spark, model_path), "item_id", kind="unigram")
+    return encoded.select(F.col("id").alias("item_id"), F.size("ids").cast("long").alias("n_pieces"), "ids")
+
+
 QUERIES = {
     "op6_sentencepiece": op6_sentencepiece,
     "op5_quality_cascade": op5_quality_cascade,
@@ -118,6 +128,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "unigram_viterbi": unigram_viterbi,
 }
 
 #: The others cannot be said in SQL; their tests compare them with brute force.
