@@ -27,7 +27,11 @@ def _documents(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: a text that is null or has no letters goes."""
+    """Documents in a known language: a text that is null, empty or without letters goes.
+
+    Repeated rows stay as often as they come; extra columns go; an empty table
+    gives an empty result.
+    """
     model = language.train(docs)
     return language.identify(docs.select(*COLUMNS), model).where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
@@ -46,17 +50,31 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of 50 words or more that one with a smaller id holds."""
+    """All documents, without the passages of 50 words or more that one with a smaller id holds.
+
+    A text that is null or shorter stays as it is, one that loses all its words
+    is empty.  Rows with the same id lose the same words and do not count as
+    each other's copies; an empty table gives an empty result.
+    """
     return _documents(cut_passages(docs, repeated_passages(docs)))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with credentials that one owner alone holds redacted."""
+    """All documents, with credentials that one owner alone holds, in few of its documents, redacted.
+
+    Null and empty texts stay, equal rows are redacted alike, and an empty table
+    gives an empty result.
+    """
     return _documents(secrets.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of 2048 tokens."""
+    """The pieces of sequences of 2048 tokens.
+
+    A null or empty text is its end id alone, repeated rows are packed each for
+    itself, equal fills go to the fullest window, and an empty table gives an
+    empty result.
+    """
     import public_tokenizers
 
     pieces = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
