@@ -168,15 +168,16 @@ def stale_by_schedule(spark, sf_dir):
     return last.select("user_id", "seconds", (since > F.col("seconds").cast("long") * 2_000_000).alias("stale"))
 
 
-_MINUTES = "(epoch(ts) - epoch(TIMESTAMP '2024-01-15 12:00:00')) / 60"
+_DUE_NOW = "(SELECT max(ts) - INTERVAL 30 MINUTE AS now FROM events WHERE event_type = 'purchase')"
 
 
-@query("task_reminders", f"WITH m AS (SELECT event_id, event_type, {_MINUTES} AS m FROM events) SELECT event_id, 'task' AS kind, r AS before FROM m, unnest([30, 5]) u(r) WHERE event_type = 'purchase' AND abs(m - r) < 1.5 UNION ALL SELECT event_id, 'calendar', r FROM m, unnest([15, 60]) u(r) WHERE event_type = 'signup' AND abs(m - r) < 1")
-def task_reminders(spark, sf_dir, now="2024-01-15 12:00:00"):
-    """Reminders due at a moment: tasks within a minute and a half of each wanted distance, calendar entries within one of 15 and 60."""
+@query("task_reminders", f"WITH m AS (SELECT event_id, event_type, (epoch_us(ts) - epoch_us(now)) / 60e6 AS m FROM events, {_DUE_NOW}) SELECT event_id, 'task' AS kind, r AS before FROM m, unnest([30, 5]) u(r) WHERE event_type = 'purchase' AND abs(m - r) < 1.5 UNION ALL SELECT event_id, 'calendar', r FROM m, unnest([15, 60]) u(r) WHERE event_type = 'signup' AND abs(m - r) < 1")
+def task_reminders(spark, sf_dir):
+    """Reminders due half an hour before the last task: tasks within a minute and a half of each wanted distance, calendar entries within one of 15 and 60."""
     e = t(spark, sf_dir, "events")
-    minutes = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(now).cast("timestamp_ntz").cast("timestamp"))) / 60e6
-    due = lambda kind, name, before, near: e.where(F.col("event_type") == kind).select("event_id", F.lit(name).alias("kind"), F.explode(F.array(*[F.lit(b) for b in before])).alias("before"), minutes.alias("m")).where(F.abs(F.col("m") - F.col("before")) < near).drop("m")
+    now = e.where("event_type = 'purchase'").agg((F.max("ts") - F.expr("INTERVAL 30 MINUTE")).alias("now"))
+    at = e.crossJoin(F.broadcast(now)).withColumn("m", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("now").cast("timestamp"))) / 60e6)
+    due = lambda kind, name, before, near: at.where(F.col("event_type") == kind).select("event_id", F.lit(name).alias("kind"), F.explode(F.array(*[F.lit(b) for b in before])).alias("before"), "m").where(F.abs(F.col("m") - F.col("before")) < near).drop("m")
     return due("purchase", "task", (30, 5), 1.5).unionByName(due("signup", "calendar", (15, 60), 1.0))
 
 
