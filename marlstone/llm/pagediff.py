@@ -1,7 +1,8 @@
 """Main text of web pages by differencing each page with its nearest neighbours by URL.
 
-Pages are parsed once, into text lines with the zones they stand in, and sorted
-by host and path over a range partitioning, so one host may fill many tasks.
+Pages are parsed into text lines with the zones they stand in.  The lines'
+digests are sorted by host and path over a range partitioning, so one host may
+fill many tasks.
 In that order the page with the longest common path stands next to each page.
 The lines of both are aligned by a longest common subsequence, and lines found
 in both are deleted.  Two zones are decided before that: what plainly is a menu,
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm import htmltext
+from marlstone.llm import htmltext, textkit
 from marlstone.llm.store import Scratch
 
 
@@ -134,22 +135,14 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     keyed = bare.withColumns({"uid": F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))), "host": host, "path": F.when(path == "", F.col("url")).otherwise(path)})
 
-    kept = ["id", "url", "uid", "host", "path"]
-
-    def parse(batches):
+    def lines(batches):
         for b in batches:
-            found = [htmltext.blocks(h) for h in b.column(5).to_pylist()]
-            columns = [
-                pa.array([[_digest(x) for x, _ in f] for f in found], pa.list_(pa.int64())),
-                pa.array([[x for x, _ in f] for f in found], pa.list_(pa.string())),
-                pa.array([[z for _, z in f] for f in found], pa.list_(pa.int32())),
-            ]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), *columns], [*kept, "lines", "blocks", "zones"])
-
-    schema = keyed.select(*kept).withColumns({"lines": F.array().cast("array<long>"), "blocks": F.array().cast("array<string>"), "zones": F.array().cast("array<int>")}).schema
-    parsed = scratch.keep(keyed.select(*kept, "html").mapInArrow(parse, schema), "parsed")
+            got = [[_digest(x) for x, _ in htmltext.blocks(h)] for h in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(got, pa.list_(pa.int64()))], ["uid", "host", "path", "lines"])
+
+    # Written, for the range partitioning looks at its input twice.
+    small = scratch.keep(keyed.select("uid", "host", "path", "html").mapInArrow(textkit.tidy(lines), "uid long, host string, path string, lines array<long>"), "lines")
     order = ["host", "path", "uid"]
-    small = parsed.select("uid", "host", "path", "lines")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     decided = scratch.keep(small.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_decide, _DECIDED), "decided")
     # A few rows for each partition.
@@ -157,22 +150,21 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     ends = edges.select("uid", "host", "path", "lines", "shared").repartition(1).sortWithinPartitions(*order).mapInArrow(_decide_edges, _DECIDED)
     verdict = decided.where("NOT edge").unionByName(ends).where("size(shared) > 0").groupBy("uid").agg(F.max("shared").alias("shared"))
     verdict = scratch.keep(verdict, "verdict")
+    scratch.drop("verdict")
 
     def texts(batches):
         for b in batches:
             out, told = [], []
-            for blocks, zones, shared in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                gone = set(shared or ())
+            for html, shared in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                found, gone = htmltext.blocks(html), set(shared or ())
                 # Of a page with text in an article that is all, else what stands outside; what is unsure goes if it is shared.
-                has_article = any(z == htmltext.ARTICLE or z == htmltext.UNSURE_ARTICLE and i not in gone for i, z in enumerate(zones))
+                has_article = any(z == htmltext.ARTICLE or z == htmltext.UNSURE_ARTICLE and i not in gone for i, (_, z) in enumerate(found))
                 wanted = (htmltext.ARTICLE, htmltext.UNSURE_ARTICLE) if has_article else (htmltext.OPEN, htmltext.UNSURE)
-                own = [i for i, z in enumerate(zones) if z in wanted]
-                left = [i for i in own if zones[i] == htmltext.ARTICLE or i not in gone]
-                out.append("\n".join(blocks[i] for i in left))
+                own = [(i, x, z) for i, (x, z) in enumerate(found) if z in wanted]
+                left = [x for i, x, z in own if z == htmltext.ARTICLE or i not in gone]
+                out.append("\n".join(left))
                 told.append(len(own) - len(left))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64()), pa.array(told, pa.int32())], ["id", "url", "text", "n_chars", "n_shared"])
 
     schema = bare.select("id", "url").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long"), "n_shared": F.lit(0)}).schema
-    out = scratch.keep(parsed.join(verdict, "uid", "left").select("id", "url", "blocks", "zones", "shared").mapInArrow(texts, schema), "texts")
-    scratch.drop("texts")
-    return out
+    return keyed.join(verdict, "uid", "left").select("id", "url", "html", "shared").mapInArrow(textkit.tidy(texts), schema)

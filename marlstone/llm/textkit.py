@@ -9,7 +9,8 @@ megabyte of whole documents; one document is never split.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -49,12 +50,19 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _cache["up"], _cache["down"]
 
 
-def release() -> None:
-    """Give freed memory back at a task's end: Spark keeps the worker, and its next task may be of another stage."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``rows``, giving its memory back when it ends: Spark keeps the worker, and its next task may be of another stage."""
+
+    def run(batches):
+        yield from rows(batches)
+        _cache.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,6 +87,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of whole documents of about ``limit`` bytes each."""
     n, i = len(offsets) - 1, 0
