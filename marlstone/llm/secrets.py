@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm import textkit
+from marlstone.llm import bitmap, textkit
 from marlstone.llm.store import Scratch
 
 KINDS = ("assign", "access", "hex", "token")
@@ -37,8 +37,6 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
-#: For the JVM: whether a text may hold any candidate.
-_MAY = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA|[0-9a-f]{24}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{20})[A-Za-z+/_=-]*[0-9]"
 _SPAN = "struct<kind:int,start:int,stop:int,value:binary,live:boolean>"
 
 
@@ -128,7 +126,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, *carry: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(names))], pa.array(spans, _ARROW)], [*names, "spans"])
 
     schema = docs.select(*names).withColumn("spans", F.lit(None).cast(f"array<{_SPAN}>")).schema
-    return docs.select(*names, F.col(text_col).cast("string")).mapInArrow(rows, schema)
+    return docs.select(*names, F.col(text_col).cast("string")).mapInArrow(textkit.tidy(rows), schema)
 
 
 _ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("value", pa.binary()), ("live", pa.bool_())]))
@@ -193,17 +191,21 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
     """``docs`` with the values of live spans replaced by ``[secret]``; all rows and columns stay.
 
-    Texts without candidates are passed through without a shuffle.
+    Only texts that may hold a live span are shuffled; null and empty ones pass
+    through, and equal rows are redacted alike.  An empty table gives an empty
+    result.
     """
     names, place = docs.columns, docs.columns.index(text_col)
-    held = docs.withColumn("__may", F.coalesce(F.col(text_col), F.lit("")).rlike(_MAY))
-    clean, suspect = held.where("NOT __may").drop("__may"), held.where("__may").drop("__may")
-    own = suspect.withColumns({"__r": F.col(repository_col).cast("string"), "__o": F.col(owner_col).cast("string")}).withColumn("__uid", _row_key(id_col, "__r", "__o", text_col))
-    found = scan(own.select("__uid", "__r", "__o", F.col(text_col).alias("__t")), "__uid", "__t", "__r", "__o")
-    counts = ownership(found.where("size(spans) > 0"), "__r", "__o")
+    scratch = Scratch(docs.sparkSession)
+    repository, owner = F.col(repository_col).cast("string").alias("r"), F.col(owner_col).cast("string").alias("o")
+    keyed = docs.select("*", repository.alias("__r"), owner.alias("__o")).withColumn("__uid", _row_key(id_col, "__r", "__o", text_col))
+    found = scratch.keep(scan(keyed.select("__uid", "__r", "__o", F.col(text_col).alias("__t")), "__uid", "__t", "__r", "__o").where("size(spans) > 0"), "found")
+    counts = ownership(found, "__r", "__o")
     each = found.dropDuplicates(["__uid"]).select("__uid", F.explode("spans").alias("s")).withColumn("value", F.col("s.value"))
     live = each.where("s.live").join(counts.where(_LIVE), "value").groupBy("__uid").agg(F.sort_array(F.collect_list(F.struct("s.start", "s.stop"))).alias("__live"))
-    joined = own.join(live, "__uid", "left").select(*names, "__live")
+    live = scratch.keep(live, "live")
+    suspects, clean = bitmap.split(keyed, "__uid", live.select("__uid"))
+    joined = suspects.join(live, "__uid", "left").select(*names, "__live")
 
     def rows(batches):
         for b in batches:
@@ -217,4 +219,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
                 texts.append("".join([*out, text[at:]]) if spans else text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == place else b.column(i) for i in range(len(names))], names)
 
-    return clean.unionByName(joined.mapInArrow(rows, docs.schema))
+    return clean.select(*names).unionByName(joined.mapInArrow(textkit.tidy(rows), docs.schema))
