@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm import textkit
+
 CAPACITY = 2048
 END_ID = 1
 #: Tokens of a fill level.
@@ -109,7 +111,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """The worker's encoder for a file: Spark reuses workers, so later tasks find the words of earlier ones."""
+    """The worker's encoder for a file: Spark reuses workers, so later tasks need not read it again."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
@@ -230,7 +232,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 held.clear()
         if held:
             yield batch()
-        # Between tasks a worker keeps only the newest words.
-        words.old, words.pieces = {}, {}
+        # A worker keeps no words between tasks: most are new in any text, and another stage may need the room.
+        words.known, words.old, words.pieces = {}, {}, {}
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, fields)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(textkit.tidy(rows), fields)
