@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm import textkit
+
 BITS = 26
 
 
@@ -54,4 +56,4 @@ def split(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataF
 
         return run
 
-    return hashed.mapInArrow(rows(True), df.schema), hashed.mapInArrow(rows(False), df.schema)
+    return hashed.mapInArrow(textkit.tidy(rows(True)), df.schema), hashed.mapInArrow(textkit.tidy(rows(False)), df.schema)

@@ -38,6 +38,8 @@ FREQUENT_FROM = 64
 LOCAL_FROM = 3
 #: Shingles counted together in a task.
 COUNTED = 2_000_000
+#: Rows whose prefixes are spread out together.
+SLICE = 2000
 #: A pair accepted by no more shared shingles above the bound than this is compared once more by whole hashes.
 MARGIN = 8
 
@@ -91,10 +93,9 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
                     yield counted(held)
                     held, size = [], 0
         yield counted(held)
-        textkit.release()
 
     rows = (
-        docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+        docs.select("text").mapInArrow(textkit.tidy(count), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
         .where(F.col("c") >= FREQUENT_FROM).orderBy(F.desc("c"), "h").limit(FREQUENT_KEPT).select("h").toArrow()
     )
     return np.sort(rows.column("h").to_numpy().view(np.uint64))
@@ -127,9 +128,8 @@ def _incidence(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                 end.append((take > rare) << 15 | int(s[take - 1]) >> 49)
                 prefix.append(s[:take].view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(end, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "key", "e", "prefix"])
-        textkit.release()
 
-    return docs.select("id", "text").mapInArrow(rows, "id long, n long, key long, e long, prefix array<long>")
+    return docs.select("id", "text").mapInArrow(textkit.tidy(rows), "id long, n long, key long, e long, prefix array<long>")
 
 
 def _columns(classes: DataFrame, shared) -> DataFrame:
@@ -137,7 +137,7 @@ def _columns(classes: DataFrame, shared) -> DataFrame:
     names = [c for c in classes.columns if c != "prefix"]
 
     def rows(batches):
-        for b in batches:
+        for b in textkit.slices(batches, SLICE):
             lists = b.column(len(names))
             row = np.repeat(np.arange(len(b)), np.diff(lists.offsets.to_numpy()))
             value = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
@@ -146,7 +146,7 @@ def _columns(classes: DataFrame, shared) -> DataFrame:
             at = pa.array(row[take])
             yield pa.RecordBatch.from_arrays([pa.array(value[take]), pa.array(own[row[take]]), *[b.column(k).take(at) for k in range(len(names))]], ["col", "u", *names])
 
-    return classes.select(*names, "prefix").mapInArrow(rows, ", ".join(["col long", "u long", *[f"{c} long" for c in names]]))
+    return classes.select(*names, "prefix").mapInArrow(textkit.tidy(rows), ", ".join(["col long", "u long", *[f"{c} long" for c in names]]))
 
 
 def _size_code(n: np.ndarray) -> np.ndarray:
@@ -171,7 +171,7 @@ def _shared_columns(classes: DataFrame, percent: int, bits: int = bitmap.BITS) -
     upper = np.uint64(64 - bucket_bits)
 
     def packed(batches):
-        for b in batches:
+        for b in textkit.slices(batches, SLICE):
             lists = b.column(2)
             row = np.repeat(np.arange(len(b)), np.diff(lists.offsets.to_numpy()))
             value = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
@@ -216,8 +216,8 @@ def _shared_columns(classes: DataFrame, percent: int, bits: int = bitmap.BITS) -
             yield words(now, held)
 
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = classes.select("key", "n", "prefix").mapInArrow(packed, "bucket int, held binary")
-    rows = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(reduced, "w int, b long").toArrow()
+    sent = classes.select("key", "n", "prefix").mapInArrow(textkit.tidy(packed), "bucket int, held binary")
+    rows = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(textkit.tidy(reduced), "w int, b long").toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[rows.column("w").to_numpy()] = rows.column("b").to_numpy().view(np.uint64)
     return out
@@ -240,7 +240,6 @@ def _compared(docs: DataFrame, incidence: DataFrame, pairs: DataFrame, k: int, p
             hit = bitmap.has(wanted.value, b.column(0).to_numpy())
             found = [s for s in _sets(b.column(1).filter(pa.array(hit)), k) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in found], pa.int64()), pa.array([s.tobytes() if whole else pack(s) for s in found], pa.binary())], ["key", "s"])
-        textkit.release()
 
     def overlap(batches):
         read = (lambda b: np.frombuffer(b, np.uint64)) if whole else unpack
@@ -257,10 +256,10 @@ def _compared(docs: DataFrame, incidence: DataFrame, pairs: DataFrame, k: int, p
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(sure, pa.bool_()).filter(keep)], ["u", "v", "sure"])
 
-    each = docs.where("id IS NOT NULL").select(F.xxhash64("id").alias("h"), "text").mapInArrow(sets, "key long, s binary").groupBy("key").agg(F.first("s").alias("s"))
+    each = docs.where("id IS NOT NULL").select(F.xxhash64("id").alias("h"), "text").mapInArrow(textkit.tidy(sets), "key long, s binary").groupBy("key").agg(F.first("s").alias("s"))
     one = pairs.join(each.select(F.col("key").alias("a"), F.col("s").alias("x")), "a")
     both = one.join(each.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(overlap, "u long, v long, sure boolean")
+    return both.select("a", "b", "x", "y").mapInArrow(textkit.tidy(overlap), "u long, v long, sure boolean")
 
 
 def _verified(docs: DataFrame, incidence: DataFrame, pairs: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:

@@ -112,7 +112,12 @@ def mixture(likely: np.ndarray) -> np.ndarray:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Count trigrams of a bounded sample of each language; rows with a null text or language are left out."""
+    """Count trigrams of a bounded sample of each language.
+
+    Rows with a null text or language are left out, repeated rows count as often
+    as they are drawn, extra columns are ignored, and an empty table gives a
+    model of no language.  Long texts count whole.
+    """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
@@ -130,7 +135,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         at, k = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(total[at, k])], ["slot", "k", "n"])
 
-    got = sample.select("text", "lang").mapInArrow(count, "slot int, k int, n long").groupBy("slot", "k").agg(F.sum("n").alias("n")).toArrow()
+    got = sample.select("text", "lang").mapInArrow(textkit.tidy(count), "slot int, k int, n long").groupBy("slot", "k").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((1 << TABLE_BITS, len(languages)))
     counts[got["slot"].to_numpy(), got["k"].to_numpy()] = got["n"].to_numpy()
     return Model(languages, counts)
@@ -166,7 +171,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(names))], pa.array(pred, pa.string()), pa.array(score), pa.array(shares, pa.map_(pa.string(), pa.float64()))], [*names, *new])
 
     schema = bare.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "lang_shares": F.lit(None).cast("map<string,double>")}).schema
-    return bare.mapInArrow(rows, schema)
+    return bare.mapInArrow(textkit.tidy(rows), schema)
 
 
 def held_out(id_col: str, parts: int, part: int):

@@ -105,7 +105,7 @@ def _seeds(docs: DataFrame, min_words: int, seed_words: int) -> DataFrame:
                 last = np.concatenate([first[1:], [len(k)]]) - 1
                 yield pa.RecordBatch.from_arrays([pa.array(k[first].view(np.int64)), pa.array(v[first]), pa.array(v[last])], ["key", "lo", "hi"])
 
-    each = docs.mapInArrow(rows, "key long, lo long, hi long")
+    each = docs.mapInArrow(textkit.tidy(rows), "key long, lo long, hi long")
     return each.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key")
 
 
@@ -134,7 +134,7 @@ def _suffixes(docs: DataFrame, shared, min_words: int, seed_words: int) -> DataF
                     [pa.array(key.view(np.int64)), pa.array(ids), pa.array(at - begin[:, 0]), beside(left, to_left), beside(right, to_right)], ["key", "id", "at", "left", "right"]
                 )
 
-    return docs.mapInArrow(rows, "key long, id long, at long, left binary, right binary")
+    return docs.mapInArrow(textkit.tidy(rows), "key long, id long, at long, left binary, right binary")
 
 
 def _matrix(column: pa.Array, reach: int) -> np.ndarray:
@@ -252,7 +252,7 @@ def _compare(sorted_rows: DataFrame, min_words: int, seed_words: int) -> DataFra
         if held is not None:
             yield from open_(held)
 
-    return sorted_rows.select("key", "id", "at", "left", "right").mapInArrow(rows, _FOUND)
+    return sorted_rows.select("key", "id", "at", "left", "right").mapInArrow(textkit.tidy(rows), _FOUND)
 
 
 def _settled(found: DataFrame, parts: int, min_words: int, seed_words: int) -> DataFrame:
@@ -288,7 +288,7 @@ def _settled(found: DataFrame, parts: int, min_words: int, seed_words: int) -> D
             yield from t.filter(pa.array(kind == SPAN)).combine_chunks().to_batches()
 
     order = every.select(*[c.split()[0] for c in _FOUND.split(", ")]).repartition(parts, "part").sortWithinPartitions("kind")
-    return order.mapInArrow(rows, _FOUND).select("id", "first", "last", "owner", "removed")
+    return order.mapInArrow(textkit.tidy(rows), _FOUND).select("id", "first", "last", "owner", "removed")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
@@ -352,4 +352,4 @@ def cut_passages(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
             cols = [pa.array(texts, pa.string()) if k == place else b.column(k) for k in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return joined.mapInArrow(rows, docs.schema).unionByName(untouched)
+    return joined.mapInArrow(textkit.tidy(rows), docs.schema).unionByName(untouched)
