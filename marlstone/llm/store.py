@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+#: Texts may be long, so fewer rows than Spark's default travel together to and from Python.
+_BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +37,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
+        # A setting of the session: frames that an operator returns are run later.
+        if not 0 < int(spark.conf.get(_BATCH)) <= ROWS:
+            spark.conf.set(_BATCH, str(ROWS))
         self.root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
 
