@@ -1,11 +1,11 @@
-"""The ten training-data queries, each applying its operator to its whole table."""
+"""The training-data queries, each applying its operator to its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import language, pieces, quality, secrets, toxicity
+from marlstone.llm import importance, language, pieces, quality, secrets, toxicity
 from marlstone.llm.jaccard import ngram_jaccard_join
 from marlstone.llm.media import store_texts
 from marlstone.llm.packing import pack_documents
@@ -107,6 +107,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn to resemble the benchmark's texts."""
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 def unigram_viterbi(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     """The benchmark's texts by the best path through their lattices, the model's scores read as those of a unigram model."""
     if model_path is None:
@@ -128,10 +133,12 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op11_importance_resampling": op11_importance_resampling,
     "unigram_viterbi": unigram_viterbi,
 }
 
 #: The others cannot be said in SQL; their tests compare them with brute force.
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_cascade": quality.oracle("doc_id", "documents"),
+    "op11_importance_resampling": importance.oracle("documents", "benchmark"),
 }
