@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import importance, language, pieces, quality, secrets, toxicity
+from marlstone.llm import importance, language, mixing, pieces, quality, secrets, toxicity, whitening
 from marlstone.llm.jaccard import ngram_jaccard_join
 from marlstone.llm.media import store_texts
 from marlstone.llm.packing import pack_documents
@@ -112,6 +112,17 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mixture of its source's target size takes."""
+    out = mixing.plan_mix(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four whitened components of every embedding."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def unigram_viterbi(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     """The benchmark's texts by the best path through their lattices, the model's scores read as those of a unigram model."""
     if model_path is None:
@@ -134,6 +145,8 @@ QUERIES = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_source_mixing": op12_source_mixing,
+    "op13_embedding_whitening": op13_embedding_whitening,
     "unigram_viterbi": unigram_viterbi,
 }
 
@@ -141,4 +154,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_cascade": quality.oracle("doc_id", "documents"),
     "op11_importance_resampling": importance.oracle("documents", "benchmark"),
+    "op12_source_mixing": mixing.oracle("documents"),
 }
