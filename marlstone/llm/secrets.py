@@ -68,9 +68,14 @@ def bare_tokens(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple
     return out
 
 
-def _runs(on: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    change = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]]).astype(np.int8)))
-    begin, end = change[::2], change[1::2]
+def _runs(on: np.ndarray, inner: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of at least ``least`` bytes; none goes on beyond the offsets ``inner``, where documents begin."""
+    first, last = on.copy(), on.copy()
+    first[1:] &= ~on[:-1]
+    first[inner] |= on[inner]
+    last[:-1] &= ~on[1:]
+    last[inner - 1] |= on[inner - 1]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     far = end - begin >= least
     return begin[far], end[far]
 
@@ -81,9 +86,10 @@ def _long_runs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ok[[*range(48, 58), *range(65, 91), *range(97, 123), 43, 47, 95, 61, 45]] = True
     hexa[[*range(48, 58), *range(97, 103)]] = True
     mark[[*range(48, 58), 65]] = True
-    begin, end = _runs(ok[data], 20)
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    begin, end = _runs(ok[data], inner, 20)
     marks = np.concatenate([[0], np.cumsum(mark[data])])
-    hit = np.concatenate([begin[marks[end] > marks[begin]], _runs(hexa[data], 24)[0]])
+    hit = np.concatenate([begin[marks[end] > marks[begin]], _runs(hexa[data], inner, 24)[0]])
     out = np.zeros(len(offsets) - 1, bool)
     out[np.searchsorted(offsets, hit, "right") - 1] = True
     return out
