@@ -47,15 +47,17 @@ class WordEncoder:
     The vocabulary's normaliser and its cutting into pieces never join what white
     space parts, so a word's ids do not depend on what stands beside it.  A new
     word is cut into pieces; new pieces are encoded together, and the tokens that
-    end a piece part their ids again.
+    end a piece part their ids again.  A text that holds one of the vocabulary's
+    added tokens as it stands is encoded whole by the library.
     """
 
     def __init__(self, path: str) -> None:
         import tokenizers
 
         self.model = tokenizers.Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         vocabulary = self.model.get_vocab()
+        #: Tokens that the library looks for in the raw text, before words are cut.
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
@@ -91,7 +93,8 @@ class WordEncoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of some texts, whose new words are learned together."""
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        whole = {k: self.model.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts) if any(a in t for a in self.added)}
+        cut = [[""] if k in whole else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for k, t in enumerate(texts)]
         if len(self.known) > REMEMBERED:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
@@ -101,7 +104,7 @@ class WordEncoder:
             new = new.difference(old)
         if new:
             self.learn(list(new))
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
+        return [np.array(whole[k], "<u4").tobytes() if k in whole else b"".join(map(known.__getitem__, words)) for k, words in enumerate(cut)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
