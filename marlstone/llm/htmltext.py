@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from typing import NamedTuple
 
-#: Zones.  What is unsure has a name that speaks for an article and one that speaks against it; it stands in an article or outside.
+#: Zones.  What is unsure stands in an article or outside; its names speak both for and against an article, or against it only in part.
 ARTICLE, OPEN, BOILERPLATE, UNSURE_ARTICLE, UNSURE = 0, 1, 2, 3, 4
 #: An unsure block with so large a share of its characters in links is a list of links.
 LINKED = 0.5
+#: In an article, an element that a class speaks against in part goes if it has fewer characters: a bar of buttons, not a section.
+SHORT = 24
+#: An article with under this share of the largest one's characters is a card, and articles with under half of what stands outside are cards all.
+FAR, CARDS = 0.2, 2.0
 
 #: Element names by role.
 RAW = frozenset("script style noscript template textarea title svg math iframe object select option button canvas audio video".split())
@@ -17,38 +22,92 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Words of class, id or role that mark what surrounds an article, those that mark what readers wrote, and those that name an article's own parts.
 MARKS = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs cookie cookies consent disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promotion recommended related share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget contentinfo complementary search alert".split()
+    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs cookie cookies consent disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promotion recommended related share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar widget contentinfo complementary search alert".split()
 )
 READERS = frozenset("comment comments commentlist disqus replies reply respond".split())
 CONTENT = frozenset("article body content entry post story text".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACES = re.compile(r"\s+")
 
 
-def _marked(attributes: str) -> tuple[bool, bool]:
-    """Whether an element's names mark it as surroundings, and whether another of them speaks for an article."""
+class _Names(NamedTuple):
+    """What an element's names say: readers wrote it, it surrounds an article (a class or role says nothing else), it may, it is an article's part, its role is an article's."""
+
+    readers: bool
+    plain: bool
+    partly: bool
+    content: bool
+    article: bool
+
+
+_NONE = _Names(False, False, False, False, False)
+
+
+def _names(attributes: str) -> _Names:
+    if not attributes:
+        return _NONE
     words: set[str] = set()
+    plain = partly = article = False
     for m in _NAMED.finditer(attributes):
-        words.update(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
-    if not READERS.isdisjoint(words):
-        return True, False
-    return not MARKS.isdisjoint(words), not CONTENT.isdisjoint(words)
+        value = (m[2] or m[3] or m[4] or "").lower()
+        for token in value.split():
+            parts = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+            words.update(parts)
+            marks = sum(w in MARKS for w in parts)
+            partly = partly or marks > 0
+            # An id may be no more than a heading's anchor, and one word of several may be the article's own.
+            plain = plain or m[1].lower() != "id" and 0 < marks == len(parts)
+        article = article or m[1].lower() == "role" and value.strip() in ("main", "article")
+    return _Names(not READERS.isdisjoint(words), plain, partly, not CONTENT.isdisjoint(words), article)
+
+
+def _class_marked(attributes: str) -> bool:
+    """Whether a class or role, and not only an id, has a mark in it."""
+    return any(m[1].lower() != "id" and not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower())) for m in _NAMED.finditer(attributes))
 
 
-def blocks(html: str | None) -> list[tuple[str, int]]:
-    """Blocks of text in page order with their zones; white space inside a block is one space, empty blocks are left out.
+def main_blocks(found: list[tuple[str, int, int]], gone: set[int]) -> tuple[list[int], int]:
+    """Places of the blocks that are a page's main text, and how many of its zone are left out as ``gone``.
+
+    Outside an article, and where names leave it open, a block that is gone is
+    no text.  The page's articles are its main zone, less those far smaller than
+    the largest, unless what stands outside of them is over twice as long: then
+    they are cards beside a text that names no article.
+    """
+    mass: dict[int, int] = {}
+    for i, (line, zone, article) in enumerate(found):
+        if zone != BOILERPLATE and (zone == ARTICLE or i not in gone):
+            key = article if zone in (ARTICLE, UNSURE_ARTICLE) else 0
+            mass[key] = mass.get(key, 0) + len(line)
+    most = max((n for k, n in mass.items() if k), default=0)
+    own = {k for k, n in mass.items() if k and n >= FAR * most}
+    if not own or mass.get(0, 0) > CARDS * sum(mass[k] for k in own):
+        zone_of = [i for i, (_, z, _) in enumerate(found) if z in (OPEN, UNSURE)]
+    else:
+        zone_of = [i for i, (_, z, a) in enumerate(found) if z in (ARTICLE, UNSURE_ARTICLE) and a in own]
+    left = [i for i in zone_of if found[i][1] == ARTICLE or i not in gone]
+    return left, len(zone_of) - len(left)
+
+
+def blocks(html: str | None) -> list[tuple[str, int, int]]:
+    """Blocks of text in page order with their zones and the number of the outermost article around them (0: none).
+
+    White space inside a block is one space, and empty blocks are left out.
 
     Tags that are never closed end with the element around them, and a block
     element ends an open paragraph.  A null or empty page has no blocks.
     """
     if not html:
         return []
-    out: list[tuple[str, int]] = []
+    out: list[tuple[str, int, int]] = []
     text: list[str] = []
-    stack: list[tuple[str, int]] = []
+    #: Name, zone and article outside of the element, and where its blocks begin if it has to be long to stay.
+    stack: list[tuple[str, int, int, int | None]] = []
     zone, linked, in_link = OPEN, 0, False
+    article = articles = 0
 
     def flush() -> None:
         nonlocal linked
@@ -56,10 +115,14 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
             whole = "".join(text)
             line = _SPACES.sub(" ", unescape(whole)).strip()
             if line:
-                out.append((line, BOILERPLATE if zone >= UNSURE_ARTICLE and linked >= LINKED * len(whole) else zone))
+                out.append((line, BOILERPLATE if zone >= UNSURE_ARTICLE and linked >= LINKED * len(whole) else zone, article))
             text.clear()
         linked = 0
 
+    def judge(begin: int | None) -> None:
+        if begin is not None and sum(len(x) for x, _, _ in out[begin:]) < SHORT:
+            out[begin:] = [(x, BOILERPLATE, a) for x, _, a in out[begin:]]
+
     at, n = 0, len(html)
     while at < n:
         m = _TAG.search(html, at)
@@ -83,8 +146,9 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
                 flush()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    flush() if stack[i][1] != zone else None
-                    zone = stack[i][1]
+                    flush() if stack[i][1:3] != (zone, article) else None
+                    zone, article = stack[i][1:3]
+                    judge(next((e[3] for e in stack[i:] if e[3] is not None), None))
                     del stack[i:]
                     break
             continue
@@ -105,18 +169,28 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
             while stack and stack[-1][0] in INLINE:
                 stack.pop()
             if stack and stack[-1][0] == "p":
-                zone = stack.pop()[1]
-        inner = zone
-        marked, content = _marked(m[3]) if name not in ("html", "body", "article", "main") else (False, False)
-        if name in ASIDE or name == "header" and zone != ARTICLE or marked and not content:
+                zone, article, begin = stack.pop()[1:]
+                judge(begin)
+        inner, whose = zone, article
+        names = _names(m[3]) if name not in ("html", "body", "main") and name not in _HEADINGS else _NONE
+        inside = zone in (ARTICLE, UNSURE_ARTICLE)
+        if zone == BOILERPLATE or name in ASIDE or name == "header" and not inside or names.readers or names.plain and not names.content:
             inner = BOILERPLATE
-        elif marked and zone in (ARTICLE, OPEN):
-            inner = UNSURE_ARTICLE if zone == ARTICLE else UNSURE
-        elif name in ("article", "main") and zone != BOILERPLATE:
-            inner = ARTICLE
-        if inner != zone:
+        elif names.partly and not inside and name != "article":
+            # Outside an article "site-footer" says enough, an id does not.
+            inner = UNSURE if names.content or not _class_marked(m[3]) else BOILERPLATE
+        elif names.partly and inside:
+            inner = UNSURE_ARTICLE
+        elif name in ("article", "main") or names.article:
+            inner = zone if zone == UNSURE_ARTICLE else ARTICLE
+            if not article:
+                articles += 1
+                whose = articles
+        if (inner, whose) != (zone, article):
             flush()
-        stack.append((name, zone))
-        zone = inner
+        short = inner == UNSURE_ARTICLE and names.partly and not names.content and _class_marked(m[3])
+        stack.append((name, zone, article, len(out) if short else None))
+        zone, article = inner, whose
     flush()
+    judge(next((e[3] for e in stack if e[3] is not None), None))
     return out

@@ -8,8 +8,9 @@ The lines of both are aligned by a longest common subsequence, and lines found
 in both are deleted.  Two zones are decided before that: what plainly is a menu,
 a notice, a form or the like goes whether it is shared or not, and an explicit
 article keeps its lines, for quotations and licences repeat there for good
-reason.  Wherever names speak both for and against an article, or the page has
-no article, the differencing decides.
+reason.  Wherever names leave it open, in an article or outside, and where the
+page has no article, the differencing decides.  Which zone is the page's main
+one is decided by the lengths of what is left.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm import htmltext, textkit
+from marlstone.llm import bitmap, htmltext, textkit
 from marlstone.llm.store import Scratch
 
 
@@ -85,11 +86,17 @@ def _digest(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-_DECIDED = "uid long, shared array<int>, edge boolean, host string, path string, lines array<long>"
+def _key(*columns: str) -> Column:
+    """128 bits for equal rows."""
+    plain = [F.coalesce(F.col(c), F.lit("")) for c in columns]
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *plain)), 16, "0") for seed in (1, 2)]))
+
+
+_DECIDED = "uid binary, shared array<int>, edge boolean, host string, path string, lines array<long>"
 
 
 def _table(found: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.list_(pa.int32()), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.int64())]
+    kinds = [pa.binary(), pa.list_(pa.int32()), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.int64())]
     cols = list(zip(*found, strict=True)) if found else [[]] * 6
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["uid", "shared", "edge", "host", "path", "lines"])
 
@@ -133,15 +140,15 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     bare = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$", 1)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    keyed = bare.withColumns({"uid": F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))), "host": host, "path": F.when(path == "", F.col("url")).otherwise(path)})
+    keyed = bare.withColumns({"uid": _key("url", "html"), "host": host, "path": F.when(path == "", F.col("url")).otherwise(path)})
 
     def lines(batches):
         for b in batches:
-            got = [[_digest(x) for x, _ in htmltext.blocks(h)] for h in b.column(3).to_pylist()]
+            got = [[_digest(x) for x, _, _ in htmltext.blocks(h)] for h in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(got, pa.list_(pa.int64()))], ["uid", "host", "path", "lines"])
 
     # Written, for the range partitioning looks at its input twice.
-    small = scratch.keep(keyed.select("uid", "host", "path", "html").mapInArrow(textkit.tidy(lines), "uid long, host string, path string, lines array<long>"), "lines")
+    small = scratch.keep(keyed.select("uid", "host", "path", "html").mapInArrow(textkit.tidy(lines), "uid binary, host string, path string, lines array<long>"), "lines")
     order = ["host", "path", "uid"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     decided = scratch.keep(small.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_decide, _DECIDED), "decided")
@@ -157,14 +164,13 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             out, told = [], []
             for html, shared in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 found, gone = htmltext.blocks(html), set(shared or ())
-                # Of a page with text in an article that is all, else what stands outside; what is unsure goes if it is shared.
-                has_article = any(z == htmltext.ARTICLE or z == htmltext.UNSURE_ARTICLE and i not in gone for i, (_, z) in enumerate(found))
-                wanted = (htmltext.ARTICLE, htmltext.UNSURE_ARTICLE) if has_article else (htmltext.OPEN, htmltext.UNSURE)
-                own = [(i, x, z) for i, (x, z) in enumerate(found) if z in wanted]
-                left = [x for i, x, z in own if z == htmltext.ARTICLE or i not in gone]
-                out.append("\n".join(left))
-                told.append(len(own) - len(left))
+                left, less = htmltext.main_blocks(found, gone)
+                out.append("\n".join(found[i][0] for i in left))
+                told.append(less)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64()), pa.array(told, pa.int32())], ["id", "url", "text", "n_chars", "n_shared"])
 
     schema = bare.select("id", "url").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long"), "n_shared": F.lit(0)}).schema
-    return keyed.join(verdict, "uid", "left").select("id", "url", "html", "shared").mapInArrow(textkit.tidy(texts), schema)
+    # Only pages that have shared lines meet the verdicts.
+    suspects, clean = bitmap.split(keyed, "uid", verdict.select("uid"))
+    both = suspects.join(verdict, "uid", "left").select("id", "url", "html", "shared").unionByName(clean.select("id", "url", "html", F.lit(None).cast("array<int>").alias("shared")))
+    return both.mapInArrow(textkit.tidy(texts), schema)
