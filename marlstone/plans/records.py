@@ -9,7 +9,7 @@ from marlstone.operators import relational as op
 from marlstone.operators import retrieval as rt
 from marlstone.plans.ops import NOW, as_of
 from marlstone.plans.registry import query
-from marlstone.plans.retrieval import FTS, SEM, TOKENS, VECTOR_ID, vector
+from marlstone.plans.retrieval import SEM, TOKENS, VECTOR_ID, document_index, fts, vector
 from marlstone.sources.tables import table as t
 from marlstone.streaming import changes as cd
 
@@ -209,26 +209,25 @@ def fulltext_four_fields(spark, sf_dir, q="subject3 en"):
     return t(spark, sf_dir, "documents").where(tx.matches(tx.terms(body), q)).select("doc_id")
 
 
+_IN_SPACE = "source <> 'src0' AND lang IN ('en', 'de')"
 _SPACE = "SELECT doc_id FROM documents WHERE source <> 'src0' AND lang IN ('en', 'de')"
 
 
-@query("space_fulltext", f"SELECT id AS doc_id, rank FROM ({FTS.replace(' ORDER BY', f' AND doc_id IN ({_SPACE}) ORDER BY')}) WHERE rank >= 0.1 ORDER BY rank DESC, doc_id LIMIT 10")
-def space_fulltext(spark, sf_dir, q="license public", least=0.1, k=10):
+@query("space_fulltext", f"SELECT id AS doc_id, rank FROM {fts(_IN_SPACE)} WHERE rank >= 0.05 ORDER BY rank DESC, doc_id LIMIT 10")
+def space_fulltext(spark, sf_dir, q="license public", least=0.05, k=10):
     """Search in a space's own sources and tags, by words."""
-    d = t(spark, sf_dir, "documents")
-    return rt.fulltext(d, q, 40, (F.col("source") != "src0") & F.col("lang").isin("en", "de"), headline=False).where(F.col("rank") >= least).select("doc_id", "rank").orderBy(F.desc("rank"), "doc_id").limit(k)
+    mine = t(spark, sf_dir, "documents").where(_IN_SPACE)
+    return document_index(spark, sf_dir).fulltext(q, 40, documents=mine).where(F.col("rank") >= least).select("doc_id", "rank").orderBy(F.desc("rank"), "doc_id").limit(k)
 
 
 @query("space_hybrid", f"""
-WITH s AS (SELECT id, row_number() OVER (ORDER BY similarity DESC, id) AS rs FROM ({SEM.replace(' ORDER BY', f' WHERE e.vec_id IN ({_SPACE}) ORDER BY')})), f AS (SELECT id, row_number() OVER (ORDER BY rank DESC, id) AS rf FROM ({FTS.replace(' ORDER BY', f' AND doc_id IN ({_SPACE}) ORDER BY')}))
+WITH s AS (SELECT id, row_number() OVER (ORDER BY similarity DESC, id) AS rs FROM ({SEM.replace(' ORDER BY', f' WHERE e.vec_id IN ({_SPACE}) ORDER BY')})), f AS (SELECT id, row_number() OVER (ORDER BY rank DESC, id) AS rf FROM {fts(_IN_SPACE)})
 SELECT coalesce(s.id, f.id) AS id, round(coalesce(0.7::DOUBLE / (60 + rs), 0) + coalesce(0.3::DOUBLE / (60 + rf), 0), 6) AS score FROM s FULL JOIN f ON f.id = s.id ORDER BY score DESC, id LIMIT 10""")
 def space_hybrid(spark, sf_dir, k=10):
     """The same in both ways, fused by rank."""
-    where = (F.col("source") != "src0") & F.col("lang").isin("en", "de")
-    d = t(spark, sf_dir, "documents")
-    mine = d.where(where).select(F.col("doc_id").alias("vec_id"))
-    sem = rt.semantic(t(spark, sf_dir, "embeddings").join(mine, "vec_id", "left_semi"), vector(spark, sf_dir, VECTOR_ID), 4 * k).select(F.col("vec_id").alias("id"), "similarity")
-    ft = rt.fulltext(d, "license public", 4 * k, where, headline=False).select(F.col("doc_id").alias("id"), "rank")
+    mine = t(spark, sf_dir, "documents").where(_IN_SPACE).select("doc_id")
+    sem = rt.semantic(t(spark, sf_dir, "embeddings").join(mine.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi"), vector(spark, sf_dir, VECTOR_ID), 4 * k).select(F.col("vec_id").alias("id"), "similarity")
+    ft = document_index(spark, sf_dir).fulltext("license public", 4 * k, documents=mine).select(F.col("doc_id").alias("id"), "rank")
     return rt.rank_fusion(rt.numbered(sem, F.desc("similarity"), F.asc("id")), rt.numbered(ft, F.desc("rank"), F.asc("id")), "id", k).select("id", "score")
 
 

@@ -12,7 +12,7 @@ from marlstone.functions import vectors as vx
 from marlstone.operators import relational as op
 from marlstone.operators import retrieval as rt
 from marlstone.operators.chunking import windows_sql
-from marlstone.operators.index import RetrievalIndex
+from marlstone.operators.index import KEY, RetrievalIndex, fingerprint, whole
 from marlstone.plans.registry import query
 from marlstone.sources.tables import table as t
 
@@ -40,9 +40,22 @@ def vector(spark, sf_dir: str, vec_id: int = VECTOR_ID) -> list[float]:
 COS = "round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 6)"
 STOP = ", ".join(f"'{w}'" for w in tx.STOP)
 TOKENS = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' AND w NOT IN ({STOP}))"
-RANK = "round(len(list_filter(tok, lambda w: w IN ('license', 'public'))) / (1.0::DOUBLE + ln(greatest(len(tok), 1)::DOUBLE)), 6)"
 SEM = f"SELECT e.vec_id AS id, {COS} AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {VECTOR_ID}) q ORDER BY similarity DESC, id LIMIT 40"
-FTS = f"SELECT doc_id AS id, {RANK} AS rank FROM (SELECT doc_id, {TOKENS} AS tok FROM documents) WHERE list_contains(tok, 'license') AND list_contains(tok, 'public') ORDER BY rank DESC, id LIMIT 40"
+#: The words of the tables' vocabularies that have the stems of the query's words.
+FORMS = (r"'^licens(e|es|ed|ing|ings)$'", r"'^public(s|ly|ation|ations|ity|ist|ists)?$'")
+
+
+def fts(where: str = "TRUE") -> str:
+    """Documents with both words, by cover density: shortest ranges that hold both, each worth 0.1 over one and its other words."""
+    one = lambda k: f"regexp_matches(w, {FORMS[k]})"
+    return rf"""(WITH tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS t FROM documents WHERE {where}),
+places AS (SELECT doc_id, p, w FROM (SELECT doc_id, unnest(range(len(t))) AS p, unnest(t) AS w FROM tok) WHERE {one(0)} OR {one(1)}),
+seen AS (SELECT doc_id, p, row_number() OVER o AS i, least(max(CASE WHEN {one(0)} THEN p END) OVER o, max(CASE WHEN {one(1)} THEN p END) OVER o) AS begin, max(CASE WHEN {one(0)} THEN p END) OVER o IS NOT NULL AND max(CASE WHEN {one(1)} THEN p END) OVER o IS NOT NULL AS whole FROM places WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+covers AS (SELECT c.doc_id, c.p, c.begin, c.i - s.i + 1 AS own FROM (SELECT *, lag(begin) OVER (PARTITION BY doc_id ORDER BY p) AS earlier FROM seen WHERE whole) c JOIN seen s ON s.doc_id = c.doc_id AND s.p = c.begin WHERE c.earlier IS NULL OR c.begin > c.earlier)
+SELECT doc_id AS id, round(sum(0.1::DOUBLE / (1 + (p - begin + 1 - own))), 6) AS rank FROM covers GROUP BY doc_id ORDER BY rank DESC, id LIMIT 40)"""
+
+
+FTS = fts()
 
 
 @query("semantic_search", f"SELECT e.vec_id, e.label, {COS} AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {VECTOR_ID}) q WHERE {COS} >= 0.1 ORDER BY similarity DESC, e.vec_id LIMIT 10")
@@ -66,9 +79,10 @@ def semantic_batch(spark, sf_dir):
     return rt.semantic_batch(e, q, 5)
 
 
-@query("fulltext_search", f"SELECT id AS doc_id, rank FROM ({FTS}) ORDER BY rank DESC, doc_id LIMIT 10")
+@query("fulltext_search", f"SELECT id AS doc_id, rank FROM {FTS} ORDER BY rank DESC, doc_id LIMIT 10")
 def fulltext_search(spark, sf_dir, q=QUERY, k=10):
-    return rt.fulltext(t(spark, sf_dir, "documents"), q, k, headline=False).select("doc_id", "rank")
+    """By cover density over stems, from the postings of the query's words alone."""
+    return document_index(spark, sf_dir).fulltext(q, k).select("doc_id", "rank")
 
 
 @query("fulltext_websearch_syntax", f"SELECT doc_id FROM (SELECT doc_id, {TOKENS} AS tok FROM documents) WHERE (list_contains(tok, 'apache') AND NOT list_contains(tok, 'version')) OR (contains(' ' || array_to_string(tok, ' ') || ' ', ' general public license ') )")
@@ -79,27 +93,36 @@ def fulltext_websearch_syntax(spark, sf_dir, q='apache -version or "general publ
 
 @query("fulltext_headline")
 def fulltext_headline(spark, sf_dir):
-    return rt.fulltext(t(spark, sf_dir, "documents"), QUERY, 10).select("doc_id", "rank", "headline")
+    """The best documents with the words around their best cover."""
+    index = document_index(spark, sf_dir)
+    found = index.fulltext(QUERY, 10)
+    return index.headlines(found, QUERY, t(spark, sf_dir, "documents"), "text").select("doc_id", "rank", "headline").orderBy(F.desc("rank"), "doc_id")
+
+
+@query("fulltext_phrase_or_prefix", r"""
+WITH tok AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> ''), ' ') || ' ' AS t FROM documents)
+SELECT doc_id FROM tok WHERE (regexp_matches(t, ' general public(s|ly|ation|ations|ity|ist|ists)? licens(e|es|ed|ing|ings) ') AND NOT regexp_matches(t, ' apache(s)? ')) OR regexp_matches(t, ' warrant[^ ]* ')""")
+def fulltext_phrase_or_prefix(spark, sf_dir, q='"general public license" -apache or warrant*'):
+    """A phrase without a word, or any word with a beginning, by positions."""
+    return document_index(spark, sf_dir).hits(q).select("doc_id")
 
 
 @query("hybrid_rrf", f"""
-WITH s AS (SELECT id, row_number() OVER (ORDER BY similarity DESC, id) AS rs FROM ({SEM})), f AS (SELECT id, row_number() OVER (ORDER BY rank DESC, id) AS rf FROM ({FTS}))
+WITH s AS (SELECT id, row_number() OVER (ORDER BY similarity DESC, id) AS rs FROM ({SEM})), f AS (SELECT id, row_number() OVER (ORDER BY rank DESC, id) AS rf FROM {FTS})
 SELECT coalesce(s.id, f.id) AS id, rs AS left_rank, rf AS right_rank, round(coalesce(0.7::DOUBLE / (60 + rs), 0) + coalesce(0.3::DOUBLE / (60 + rf), 0), 6) AS score FROM s FULL JOIN f ON f.id = s.id ORDER BY score DESC, id LIMIT 10""")
 def hybrid_rrf(spark, sf_dir, k=10):
     """The flagship: both sides' best 4k, fused by weighted reciprocal ranks."""
     sem = rt.semantic(t(spark, sf_dir, "embeddings"), vector(spark, sf_dir), 4 * k).select(F.col("vec_id").alias("id"), "similarity")
-    ft = rt.fulltext(t(spark, sf_dir, "documents"), QUERY, 4 * k, headline=False).select(F.col("doc_id").alias("id"), "rank")
+    ft = document_index(spark, sf_dir).fulltext(QUERY, 4 * k).select(F.col("doc_id").alias("id"), "rank")
     return rt.rank_fusion(rt.numbered(sem, F.desc("similarity"), F.asc("id")), rt.numbered(ft, F.desc("rank"), F.asc("id")), "id", k)
 
 
 @query("bm25_search", f"""
 WITH tok AS (SELECT doc_id, {TOKENS} AS tok FROM documents), st AS (SELECT count(*) AS n, avg(len(tok)) AS m FROM tok),
-h AS (SELECT doc_id, len(tok) AS l, w AS term, len(list_filter(tok, lambda x: x = w)) AS tf FROM tok, (VALUES ('license'), ('public')) v(w) WHERE list_contains(tok, w)), d AS (SELECT term, count(*) AS df FROM h GROUP BY term)
+h AS (SELECT doc_id, len(tok) AS l, term, len(list_filter(tok, lambda x: regexp_matches(x, form))) AS tf FROM tok, (VALUES ('license', {FORMS[0]}), ('public', {FORMS[1]})) v(term, form) WHERE len(list_filter(tok, lambda x: regexp_matches(x, form))) > 0), d AS (SELECT term, count(*) AS df FROM h GROUP BY term)
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m))), 6) AS score FROM h JOIN d USING (term), st GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10""")
-def bm25_search(spark, sf_dir, words=("license", "public")):
-    d = t(spark, sf_dir, "documents")
-    stats = d.select(F.size(tx.terms(F.col("text"))).alias("l")).agg(F.count(F.lit(1)).alias("n"), F.avg("l").alias("m")).first()
-    return rt.bm25(rt.postings(d.where(F.lower("text").rlike("|".join(words)))), list(words), stats["n"], stats["m"] or 1.0)
+def bm25_search(spark, sf_dir, q=QUERY):
+    return document_index(spark, sf_dir).bm25(q, 10).select("doc_id", "score")
 
 
 @query("best_chunk_per_document", "SELECT conv_id, turn, score FROM (SELECT conv_id, turn, length(text) % 97 AS score, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) % 97 DESC, turn) AS rn FROM conversations) WHERE rn = 1 ORDER BY score DESC, conv_id LIMIT 20")
@@ -128,16 +151,32 @@ def context_windows(spark, sf_dir):
     return rt.context_windows(c, c.where("role = 'user' AND turn % 4 = 0"), "conv_id", "turn", "text", 1)
 
 
-_indexes: dict[tuple[str, str, int], RetrievalIndex] = {}
+_indexes: dict[tuple, tuple[tuple, RetrievalIndex]] = {}
+
+
+def _index(spark, sf_dir: str, kind: str, **how) -> RetrievalIndex:
+    """The index of a folder's documents, written on first use; once the table's files have changed it is brought up to date."""
+    d = t(spark, sf_dir, "documents").select("doc_id", "text")
+    key, now = (spark.sparkContext.applicationId, sf_dir, kind), fingerprint(d)
+    if key not in _indexes or _indexes[key][0] != now:
+        index = _indexes[key][1] if key in _indexes else RetrievalIndex(spark, **how)
+        index.refresh(d)
+        _indexes[key] = (now, index)
+    return _indexes[key][1]
+
+
+def document_index(spark, sf_dir: str) -> RetrievalIndex:
+    """Postings of whole documents."""
+    return _index(spark, sf_dir, "documents", cut=whole, embedder=False, keep_text=False)
+
+
+def _windows(docs):
+    return windows_sql(docs, "text", 1000, 200).select("doc_id", "chunk_index", "content")
 
 
 def chunk_index(spark, sf_dir: str) -> RetrievalIndex:
-    """The index of a folder's documents, written on first use; a changed table is indexed anew."""
-    d = t(spark, sf_dir, "documents")
-    key = (spark.sparkContext.applicationId, sf_dir, d.count())
-    if key not in _indexes:
-        _indexes[key] = RetrievalIndex.build(windows_sql(d, "text", 1000, 200).select("doc_id", "chunk_index", "content"))
-    return _indexes[key]
+    """Overlapping windows with their vectors and postings."""
+    return _index(spark, sf_dir, "windows", cut=_windows)
 
 
 @query("rag_query")
@@ -180,11 +219,11 @@ def space_search_min_score(spark, sf_dir):
     return rt.semantic(t(spark, sf_dir, "embeddings"), vector(spark, sf_dir), 20, F.col("label").isin(1, 3, 5, 7), 0.2).select("vec_id", "similarity")
 
 
-@query("drive_search_merge", f"WITH m AS (SELECT id, similarity AS score, 0 AS p FROM ({SEM}) UNION ALL SELECT id, rank, 1 FROM ({FTS})) SELECT id, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p, score DESC) AS rn FROM m) WHERE rn = 1 ORDER BY score DESC, id LIMIT 20")
+@query("drive_search_merge", f"WITH m AS (SELECT id, similarity AS score, 0 AS p FROM ({SEM}) UNION ALL SELECT id, rank, 1 FROM {FTS}) SELECT id, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p, score DESC) AS rn FROM m) WHERE rn = 1 ORDER BY score DESC, id LIMIT 20")
 def drive_search_merge(spark, sf_dir):
     """Two scales on one list, the first list winning: kept beside the rank fusion, as clients know it."""
     sem = rt.semantic(t(spark, sf_dir, "embeddings"), vector(spark, sf_dir), 40).select(F.col("vec_id").alias("id"), F.col("similarity").alias("score"))
-    ft = rt.fulltext(t(spark, sf_dir, "documents"), QUERY, 40, headline=False).select(F.col("doc_id").alias("id"), F.col("rank").alias("score"))
+    ft = document_index(spark, sf_dir).fulltext(QUERY, 40).select(F.col("doc_id").alias("id"), F.col("rank").alias("score"))
     return op.first_seen_merge([sem, ft], "id", "score", 20)
 
 
