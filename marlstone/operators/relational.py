@@ -124,15 +124,37 @@ def any_of_join(left: DataFrame, right: DataFrame, ways: list[tuple[list[str], l
     return reduce(DataFrame.union, parts).distinct()
 
 
-def rule_join(df: DataFrame, rules: DataFrame, text: str, pattern: str, most: int = 1000) -> DataFrame:
+def sliding_counts(df: DataFrame, keys: list[str], at: str, seconds: int, block: int | None = None, name: str = "n") -> DataFrame:
+    """``df`` with the number of its key's rows from ``seconds`` before each row up to it, rows of the same time included.
+
+    A key's time is cut into blocks, and each block gets the rows of the
+    ``seconds`` before it as context, so a busy key is counted in many tasks.
+    Rows without a time are counted as 0.
+    """
+    block = block or 6 * seconds
+    micros = F.unix_micros(F.col(at).cast("timestamp")) if dict(df.dtypes)[at] != "bigint" else F.col(at)
+    length, reach = F.lit(block * 1_000_000), seconds * 1_000_000
+    own = F.floor(F.col("__at") / length).cast("long")
+    timed = df.withColumn("__at", micros)
+    placed = timed.where("__at IS NOT NULL").withColumn("__own", own)
+    # A row is in its own block and in those that its reach touches.
+    placed = placed.withColumn("__block", F.explode(F.sequence("__own", F.floor((F.col("__at") + F.lit(reach)) / length).cast("long"))))
+    near = Window.partitionBy(*keys, "__block").orderBy("__at").rangeBetween(-reach, Window.currentRow)
+    counted = placed.withColumn(name, F.count(F.lit(1)).over(near)).where("__block = __own").drop("__at", "__own", "__block")
+    return counted.unionByName(timed.where("__at IS NULL").drop("__at").withColumn(name, F.lit(0).cast("long")))
+
+
+def rule_join(df: DataFrame, rules: DataFrame, text: str, pattern: str, few: int = 64) -> DataFrame:
     """Rows with every rule whose pattern they match.
 
-    There is no equi-key, so the rules travel as literals of one array; their
-    number is checked.
+    There is no equi-key: a ``few`` rules travel as literals of one array, more
+    of them by an automaton (:mod:`patterns`).
     """
-    rows = rules.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rules; split them")
+    rows = rules.limit(few + 1).collect()
+    if len(rows) > few:
+        from marlstone.operators.patterns import pattern_join
+
+        return pattern_join(df, rules, text, pattern)
     if not rows:
         return df.limit(0).crossJoin(rules.limit(0))
     names = rules.columns

@@ -73,53 +73,6 @@ def semantic_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
     return op.top_per_key(found, [query_id], k, F.desc("similarity"), F.asc(id_col))
 
 
-#: Vectors that the centres of inverted lists are made from, at most.
-LIST_SAMPLE = 20_000
-
-
-def _nearest(v: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` centres nearest by cosine to each unit vector."""
-    return np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :n]
-
-
-def inverted_lists(vectors: DataFrame, lists: int, id_col: str = "vec_id", vector: str = "embedding", rounds: int = 10) -> tuple[DataFrame, np.ndarray]:
-    """Every vector with its ``list``, and the lists' centres: spherical k-means over a bounded sample drawn by hash."""
-    n = max(vectors.count(), 1)
-    drawn = vectors.where(F.col(vector).isNotNull() & (F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(1_000_000)) < min(1.0, LIST_SAMPLE / n) * 1_000_000)).select(id_col, vector).collect()
-    v = np.array([r[1] for r in sorted(drawn)], np.float64)
-    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    centres = v[np.linspace(0, len(v) - 1, min(lists, len(v))).astype(int)]
-    for _ in range(rounds):
-        own = _nearest(v, centres, 1)[:, 0]
-        sums = np.array([v[own == k].sum(0) if (own == k).any() else centres[k] for k in range(len(centres))])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-
-    def place(batches):
-        for b in batches:
-            rows = [np.array(x, np.float64) if x is not None else None for x in b.column(1).to_pylist()]
-            at = [int(_nearest(x[None] / max(np.linalg.norm(x), 1e-12), centres, 1)[0, 0]) if x is not None else None for x in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.int32())], [id_col, vector, "list"])
-
-    plain = vectors.select(id_col, vector)
-    return plain.mapInArrow(place, plain.withColumn("list", F.lit(0)).schema), centres
-
-
-def probe(index: tuple[DataFrame, np.ndarray], queries: DataFrame, k: int, probes: int, id_col: str = "vec_id", query_id: str = "query_id", vector: str = "embedding", query_vector: str = "query_vector") -> DataFrame:
-    """Top k of each query among the vectors of its ``probes`` nearest lists, by an equi-join on the list."""
-    vectors, centres = index
-
-    def lists_of(batches):
-        for b in batches:
-            q = np.array(b.column(1).to_pylist(), np.float64).reshape(len(b), -1) if len(b) else np.zeros((0, centres.shape[1]))
-            near = _nearest(q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12), centres, probes)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.tolist(), pa.list_(pa.int32()))], [query_id, query_vector, "lists"])
-
-    plain = queries.where(F.col(query_vector).isNotNull()).select(query_id, query_vector)
-    wanted = plain.mapInArrow(lists_of, plain.withColumn("lists", F.array(F.lit(0))).schema).select(query_id, query_vector, F.explode("lists").alias("list"))
-    scored = vectors.join(wanted, "list").select(query_id, id_col, F.round(vx.cosine(F.col(vector), F.col(query_vector)), 6).alias("similarity")).where("similarity IS NOT NULL")
-    return op.top_per_key(scored, [query_id], k, F.desc("similarity"), F.asc(id_col))
-
-
 def fulltext(docs: DataFrame, query: str, k: int = 10, where: Column | None = None, id_col: str = "doc_id", text: str = "text", headline: bool = True) -> DataFrame:
     """Top k documents that match a web-style query, ranked by term counts over log length."""
     words = tx.query_words(query)

@@ -72,11 +72,11 @@ def client_comparison(spark, sf_dir):
 
 
 @query("request_rate_sliding", """
-SELECT user_id, time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1""")
+SELECT event_id, user_id, ts, n FROM (SELECT event_id, user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 10 MINUTE PRECEDING AND CURRENT ROW) AS n FROM events) WHERE n > 1""")
 def request_rate_sliding(spark, sf_dir, least=2):
-    """Calls of each client in ten-minute windows over a limit."""
-    e = t(spark, sf_dir, "events").groupBy("user_id", F.window("ts", "10 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return e.select("user_id", F.col("w.start").alias("start"), "n")
+    """Calls after which a client has made too many in the ten minutes before."""
+    e = t(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return op.sliding_counts(e, ["user_id"], "ts", 600).where(F.col("n") >= least)
 
 
 @query("unknown_clients", "SELECT user_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY user_id")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as tx
 from marlstone.operators import relational as op
 from marlstone.operators import retrieval as rt
+from marlstone.operators.index import fingerprint
+from marlstone.operators.vectorindex import VectorIndex
 from marlstone.plans.ops import NOW, as_of
 from marlstone.plans.registry import query
 from marlstone.plans.retrieval import SEM, TOKENS, VECTOR_ID, document_index, fts, vector
@@ -231,13 +233,25 @@ def space_hybrid(spark, sf_dir, k=10):
     return rt.rank_fusion(rt.numbered(sem, F.desc("similarity"), F.asc("id")), rt.numbered(ft, F.desc("rank"), F.asc("id")), "id", k).select("id", "score")
 
 
-@query("semantic_search_approximate")
-def semantic_search_approximate(spark, sf_dir, k=5, lists=16, probes=12):
-    """The best of each query among the vectors of its nearest lists: lists are made from a bounded sample, every vector is in one."""
+_vectors: dict[tuple, tuple[tuple, VectorIndex]] = {}
+
+
+def vector_index(spark, sf_dir: str) -> VectorIndex:
+    """The index of a folder's vectors, written on first use and anew once the table's files have changed."""
     e = t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    index = rt.inverted_lists(e, lists)
-    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return rt.probe(index, queries, k, probes)
+    key, now = (spark.sparkContext.applicationId, sf_dir), fingerprint(e)
+    if key not in _vectors or _vectors[key][0] != now:
+        _vectors[key] = (now, VectorIndex.build(e))
+    return _vectors[key][1]
+
+
+@query("semantic_search_approximate")
+def semantic_search_approximate(spark, sf_dir, k=5, share=1.0):
+    """The best of each query by quantised codes, the survivors ranked exactly.  These vectors have no clusters, so the codes of all lists are read, a sixteenth of the bytes."""
+    index = vector_index(spark, sf_dir)
+    queries = t(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select("vec_id", "embedding")
+    found = index.search(queries, k, max(1, round(share * index.lists)))
+    return found.select("query_id", F.col("id").alias("vec_id"), "similarity", "rn")
 
 
 # ---- reports

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES: tuple[str, ...] = ("relational", "retrieval", "text", "ops", "ingest", "listings", "records")
+_MODULES: tuple[str, ...] = ("relational", "retrieval", "text", "ops", "ingest", "listings", "records", "scale")
 _loaded = False
 
 
