@@ -141,11 +141,12 @@ def tag_counts(spark, sf_dir, slugs=("en", "de", "xx")):
     return t(spark, sf_dir, "documents").join(F.broadcast(known), "lang").groupBy("lang").agg(F.count(F.lit(1)).alias("hits"))
 
 
-@query("version_supersede", "SELECT l_partkey, l_orderkey AS document, l_linenumber AS version, lead(l_orderkey) OVER w IS NULL AS current, lead(l_orderkey) OVER w AS superseded_by, CASE WHEN lead(l_orderkey) OVER w IS NULL THEN l_quantity END AS children FROM lineitem WINDOW w AS (PARTITION BY l_partkey ORDER BY l_linenumber, l_orderkey)")
+@query("version_supersede", """SELECT l_partkey, l_orderkey AS document, l_linenumber AS version, lead(l_orderkey) OVER w IS NULL AS current, lead(l_orderkey) OVER w AS superseded_by, CASE WHEN lead(l_orderkey) OVER w IS NULL THEN l_quantity END AS children
+FROM lineitem WINDOW w AS (PARTITION BY l_partkey ORDER BY l_linenumber, l_orderkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice)""")
 def version_supersede(spark, sf_dir):
     """Each version names the one that took its place, and only the newest keeps its children."""
     l = t(spark, sf_dir, "lineitem")  # noqa: E741
-    after = F.lead("l_orderkey").over(Window.partitionBy("l_partkey").orderBy("l_linenumber", "l_orderkey"))
+    after = F.lead("l_orderkey").over(Window.partitionBy("l_partkey").orderBy("l_linenumber", "l_orderkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"))
     v = l.withColumn("superseded_by", after).withColumn("current", F.col("superseded_by").isNull())
     return v.select("l_partkey", F.col("l_orderkey").alias("document"), F.col("l_linenumber").alias("version"), "current", "superseded_by", F.when(F.col("current"), F.col("l_quantity")).alias("children"))
 
@@ -184,11 +185,11 @@ def dedup_across_runs(spark, sf_dir):
     return op.distinct_on(t(spark, sf_dir, "events"), ["user_id", "event_type"], F.asc("event_id")).select("event_id", "user_id", "event_type")
 
 
-@query("failure_gate", "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) >= 3)")
+@query("failure_gate", "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) >= 14)")
 def failure_gate(spark, sf_dir):
     e = t(spark, sf_dir, "events")
     bad = e.where("event_type = 'error'").select("user_id", F.lit(1).alias("attempts"), F.lit(False).alias("permanent"))
-    return cd.retryable(e.select("user_id").distinct(), bad, "user_id", 3)
+    return cd.retryable(e.select("user_id").distinct(), bad, "user_id", 14)
 
 
 def _log(spark, sf_dir):

@@ -90,8 +90,8 @@ def pii_documents(spark, sf_dir):
     return t(spark, sf_dir, "documents").where(F.col("text").rlike(tx.PII["card"]) | F.col("text").rlike(tx.PII["email"])).select("doc_id", "source")
 
 
-@query("fleet_error_rate", "SELECT user_id, count(*) AS runs, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY user_id HAVING count(*) >= 8 AND count(*) FILTER (WHERE event_type = 'error') > 0.4 * count(*)")
-def fleet_error_rate(spark, sf_dir, runs=8, share=0.4):
+@query("fleet_error_rate", "SELECT user_id, count(*) AS runs, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY user_id HAVING count(*) >= 8 AND count(*) FILTER (WHERE event_type = 'error') > 0.22 * count(*)")
+def fleet_error_rate(spark, sf_dir, runs=8, share=0.22):
     e = t(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("event_type") == "error").alias("errors"))
     return e.where((F.col("runs") >= runs) & (F.col("errors") > share * F.col("runs")))
 

@@ -156,7 +156,7 @@ def join_exists_flag(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey").join(closed, "c_custkey", "left").select("c_custkey", F.coalesce("hit", F.lit(False)).alias("has_closed"))
 
 
-_sql("join_anti_left_null", "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey WHERE o.o_orderkey IS NULL", None, "customer", "orders")
+_sql("join_anti_left_null", "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 300000 WHERE o.o_orderkey IS NULL", None, "customer", "orders")
 _sql("join_anti_not_exists", "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)", None, "documents", "labels")
 _sql("join_anti_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45 AND l_partkey IS NOT NULL)", None, "part", "lineitem")
 
@@ -292,10 +292,10 @@ def window_rank_topk(spark, sf_dir):
 
 @query("window_failure_streak", """
 WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
-SELECT user_id FROM r WHERE rn <= 3 GROUP BY user_id HAVING count(*) = 3 AND bool_and(event_type = 'error')""")
+SELECT user_id FROM r WHERE rn <= 2 GROUP BY user_id HAVING count(*) = 2 AND bool_and(event_type = 'error')""")
 def window_failure_streak(spark, sf_dir):
-    r = op.top_per_key(t(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id"], 3, F.desc("ts"), F.desc("event_id"))
-    return r.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("event_type") == "error").alias("bad")).where("n = 3 AND bad").select("user_id")
+    r = op.top_per_key(t(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id"], 2, F.desc("ts"), F.desc("event_id"))
+    return r.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("event_type") == "error").alias("bad")).where("n = 2 AND bad").select("user_id")
 
 
 @query("window_lag_chains", """
@@ -373,7 +373,7 @@ def merge_first_seen(spark, sf_dir):
     return op.first_seen_merge([one, two], "doc_id", "score", 25)
 
 
-_sql("set_difference", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0", None, "customer", "supplier")
+_sql("set_difference", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000", None, "customer", "supplier")
 _sql("set_intersection", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", None, "customer", "supplier")
 
 TREE = """
