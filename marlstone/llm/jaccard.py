@@ -37,7 +37,9 @@ FREQUENT_KEPT = 1 << 18
 FREQUENT_FROM = 64
 LOCAL_FROM = 3
 #: Shingles counted together in a task.
-COUNTED = 2_000_000
+COUNTED = 1_000_000
+#: Classes that a task remembers, so that it need not send the prefix of one twice.
+REMEMBERED = 100_000
 #: Rows whose prefixes are spread out together.
 SLICE = 2000
 #: A pair accepted by no more shared shingles above the bound than this is compared once more by whole hashes.
@@ -116,6 +118,8 @@ def _incidence(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                     end.append(None)
                     prefix.append(None)
                     continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
                 seen.add(key[-1])
                 take = len(s) - (percent * len(s) + 99) // 100 + 1
                 rare = len(s)
@@ -177,9 +181,17 @@ def _shared_columns(classes: DataFrame, percent: int, bits: int = bitmap.BITS) -
             value = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
             key = b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - _KEY_BITS)
             column = (value << np.uint64(bucket_bits) >> np.uint64(32)) | _size_code(b.column(1).to_numpy())[row] << np.uint64(32)
-            order = np.argsort(value >> upper, kind="stable")
-            bucket = (value >> upper)[order].astype(np.int64)
-            raw = np.concatenate([column[order].view(np.uint8).reshape(-1, 8)[:, :5], key[row[order]].view(np.uint8).reshape(-1, 8)[:, : _ENTRY - 5]], axis=1).tobytes()
+            # Of a column and a size code two classes say as much as all do: that there are two.
+            order = np.lexsort((key[row], column, value >> upper))
+            bucket, column, mine = (value >> upper)[order].astype(np.int64), column[order], key[row[order]]
+            again = np.zeros(len(order), bool)
+            again[1:] = (column[1:] == column[:-1]) & (bucket[1:] == bucket[:-1])
+            other = ~again
+            other[1:] |= mine[1:] != mine[:-1]
+            number = np.cumsum(other)
+            two = other & (number - np.maximum.accumulate(np.where(again, 0, number)) < 2)
+            bucket, column, mine = bucket[two], column[two], mine[two]
+            raw = np.concatenate([column.view(np.uint8).reshape(-1, 8)[:, :5], mine.view(np.uint8).reshape(-1, 8)[:, : _ENTRY - 5]], axis=1).tobytes()
             first = np.flatnonzero(np.diff(bucket, prepend=-1))
             ends = [*(_ENTRY * first).tolist(), len(raw)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array([raw[x:y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary())], ["bucket", "held"])
@@ -223,17 +235,16 @@ def _shared_columns(classes: DataFrame, percent: int, bits: int = bitmap.BITS) -
     return out
 
 
-def _compared(docs: DataFrame, incidence: DataFrame, pairs: DataFrame, k: int, percent: int, whole: bool) -> DataFrame:
+def _compared(docs: DataFrame, incidence: DataFrame, pairs: DataFrame, k: int, percent: int, whole: bool, scratch: Scratch) -> DataFrame:
     """Of pairs (a, b) of classes, those similar enough, as edges (u, v), and whether that is sure.
 
     Sets travel with 40 bits of each hash unless ``whole``.  Two such sets share
     as many as the true ones or more, so none is missed.
     """
-    spark = docs.sparkSession
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     # One document speaks for each class.
     speaks = incidence.where("id IS NOT NULL").select("key", "id").join(ends, "key").groupBy("key").agg(F.xxhash64(F.min("id")).alias("h"))
-    wanted = spark.sparkContext.broadcast(bitmap.build(speaks, "h"))
+    wanted = scratch.send(bitmap.build(speaks, "h"))
 
     def sets(batches):
         for b in batches:
@@ -264,11 +275,11 @@ def _compared(docs: DataFrame, incidence: DataFrame, pairs: DataFrame, k: int, p
 
 def _verified(docs: DataFrame, incidence: DataFrame, pairs: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """Of pairs (a, b) of classes, those similar enough, as edges (u, v)."""
-    first = scratch.keep(_compared(docs, incidence, pairs, k, percent, False), name)
+    first = scratch.keep(_compared(docs, incidence, pairs, k, percent, False, scratch), name)
     close = first.where("NOT sure").select(F.col("u").alias("a"), F.col("v").alias("b"))
     if close.isEmpty():
         return first.select("u", "v")
-    again = scratch.keep(_compared(docs, incidence, close, k, percent, True), f"{name}_again")
+    again = scratch.keep(_compared(docs, incidence, close, k, percent, True, scratch), f"{name}_again")
     return first.where("sure").unionByName(again).select("u", "v")
 
 
@@ -321,11 +332,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     scratch = Scratch(spark)
-    frequent = spark.sparkContext.broadcast(_frequent(docs, k))
+    frequent = scratch.send(_frequent(docs, k))
     incidence = scratch.keep(_incidence(docs, k, percent, frequent), "incidence")
 
     classes = incidence.where("prefix IS NOT NULL").select("key", "n", "e", "prefix")
-    shared = spark.sparkContext.broadcast(_shared_columns(classes, percent))
+    shared = scratch.send(_shared_columns(classes, percent))
     # A class is compared with the central class that it shares most columns with; any choice is right, this one settles most.
     entries = scratch.keep(_columns(classes, shared), "entries")
     central = entries.groupBy("col").agg(F.max(F.struct((-F.col("u") / F.col("n")).alias("rank"), "key", "n", "u", "e")).alias("m"))

@@ -160,7 +160,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     scratch.drop("verdict")
 
     def texts(batches):
-        for b in batches:
+        for b in textkit.slices(batches, 500):
             out, told = [], []
             for html, shared in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 found, gone = htmltext.blocks(html), set(shared or ())

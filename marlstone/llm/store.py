@@ -7,7 +7,6 @@ the folder named by ``spark.checkpoint.dir`` and never by a local checkpoint.
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -15,8 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
-#: Texts may be long, so fewer rows than Spark's default travel together to and from Python.
-_BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+#: While an operator runs: texts may be long, so batches to Python have few bytes, and shuffle files go once a table is written.
+_WHILE = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,24 +32,38 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written by one operator run; ``drop`` deletes all but those named."""
+    """Tables written by one operator run, and what it broadcasts.
+
+    ``drop`` deletes all tables but those named, destroys the broadcasts and
+    gives the session back its settings.
+    """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
-        # A setting of the session: frames that an operator returns are run later.
-        if not 0 < int(spark.conf.get(_BATCH)) <= ROWS:
-            spark.conf.set(_BATCH, str(ROWS))
+        self.before = self._set(_WHILE)
         self.root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.sent: list = []
+
+    def _set(self, values: dict[str, str]) -> dict[str, str]:
+        """Settings of the session, and what they were."""
+        before = {k: self.spark.conf.get(k) for k in values}
+        for k, v in values.items():
+            self.spark.conf.set(k, v)
+        return before
+
+    def send(self, value):
+        """A broadcast that is only read until ``drop``."""
+        self.sent.append(self.spark.sparkContext.broadcast(value))
+        return self.sent[-1]
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return the written table."""
         path = f"{self.root}/{name}"
+        before = self._set(_WHILE)
         df.write.mode("overwrite").parquet(path)
+        self._set(before)
         self.paths[name] = path
-        # Shuffle files go once nothing refers to their plan, which is only noticed when garbage is collected.
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *keep: str) -> None:
@@ -61,4 +74,7 @@ class Scratch:
                 at = jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
                 del self.paths[name]
-
+        for value in self.sent:
+            value.destroy()
+        self.sent.clear()
+        self._set(self.before)

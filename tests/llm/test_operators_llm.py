@@ -580,3 +580,23 @@ def test_media(docs, empty):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert restore(r["media"])[: len(payload)].tobytes() == payload
     assert store_texts(empty).count() == 0
+
+
+def test_operators_leave_the_session_as_it_was(spark, docs):
+    from marlstone.llm.store import _WHILE
+
+    before = {k: spark.conf.get(k) for k in _WHILE}
+    ngram_jaccard_join(docs).count()
+    secrets.scan_secrets(docs).count()
+    repeated_passages(docs).count()
+    assert {k: spark.conf.get(k) for k in _WHILE} == before
+
+
+def test_a_column_that_all_share_is_sent_twice_a_size(spark):
+    """Very many texts with one line in common and little else: each task sends two classes for each column and size."""
+    rng = random.Random(14)
+    line = " ".join(f"w{k}" for k in range(30))
+    texts = [f"{line} {' '.join(f'v{rng.randrange(4000)}' for _ in range(rng.randint(0, 6)))}" for _ in range(400)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r["id"]: r["component_id"] for r in ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: c for i, (_, c) in components(rows, 4, 85).items()}
