@@ -113,37 +113,60 @@ def chunk(df: DataFrame, text: str, method: str = "recursive", size: int = 1000,
     return each.select(*df.columns, "total_chunks", "__x.chunk_index", "__x.content", "__x.start", "__x.stop")
 
 
-#: How quoted text, closings and disclaimers begin, in common forms of mail; this engine's own choice.
-QUOTE = re.compile(
-    r"^On .{5,200}wrote:\s*$|^(?:From|Von|De|Da|Van):.*\n(?:Sent|Gesendet|Envoyé|Inviato|Verzonden|Date):|^-{3,}\s*(?:Original Message|Forwarded message).*$|^_{20,}\s*$|(?:^>.*(?:\n|$)){3,}", re.M
+#: How quoted text begins, each at the start of a line, in any case.
+QUOTE_HEADS = (
+    r"On\s.{1,200}\s+wrote:\s*$",
+    r"(From|De|Von|Desde|Da)\s*:\s*.{1,500}\n\s*(Sent|Envoyé|Gesendet|Enviado|Inviato|Data)\s*:",
+    r"-{5,}\s*Original Message\s*-{5,}\s*$",
+    r"-{5,}\s*Forwarded message\s*-{5,}\s*$",
+    r"_{20,}\s*$",
 )
-CLOSER = re.compile(r"^(?:best regards|kind regards|regards|sincerely|thanks|thank you|cheers|yours truly)[,.!]?\s*$", re.M | re.I)
-DISCLAIMER = re.compile(r"confidentiality notice|this (?:e-?mail|message)(?: and any attachments)? (?:is|are|may be|contains?) (?:confidential|privileged|intended)|if you are not the intended recipient", re.I)
+#: Closings of a letter, each a line of its own.
+CLOSERS = ("Best", "Best regards", "Sincerely", "Regards", "Thanks", "Thank you", "Cheers", "Kind regards", "Warm regards", "Respectfully")
+#: Words that a disclaimer begins with.
+DISCLAIMERS = (
+    "CONFIDENTIALITY NOTICE",
+    "CONFIDENTIAL COMMUNICATION",
+    "PRIVILEGED AND CONFIDENTIAL",
+    "ATTORNEY-CLIENT PRIVILEGED",
+    "ATTORNEY CLIENT PRIVILEGED",
+    "ATTORNEY WORK PRODUCT",
+    "IRS CIRCULAR 230",
+    "This email and any attachments",
+    "This message and any attachments",
+    "The information contained in this",
+    "This e-mail and any files transmitted",
+    "If you are not the intended recipient",
+    "NOTICE OF CONFIDENTIALITY",
+)
+#: Lines with a quoting mark that make a quotation, and the end of a text in which a closing is looked for and must be.
+QUOTED_LINES, TAIL, LAST = 3, 500, 400
+
+_QUOTE = re.compile(rf"^(?:{'|'.join(QUOTE_HEADS)})|(?:^>.*(?:\n|\Z)){{{QUOTED_LINES},}}", re.M | re.I)
+_DASH = re.compile(r"^-- ?\s*$", re.M)
+_CLOSER = re.compile(rf"^(?:{'|'.join(c.replace(' ', chr(92) + 's+') for c in CLOSERS)})[,.]?\s*$", re.M | re.I)
+_DISCLAIMER = re.compile("|".join(map(re.escape, DISCLAIMERS)), re.I)
 
 
 def segments(body: str) -> list[tuple[str, str, int]]:
     """A mail's parts in order as (kind, text, offset): body, signature, disclaimer and quoted."""
-    n = len(body)
-    marks: list[tuple[int, str]] = []
-    if m := QUOTE.search(body):
-        marks.append((m.start(), "quoted"))
-    end = marks[0][0] if marks else n
-    if m := DISCLAIMER.search(body, 0, end):
-        marks.append((body.rfind("\n", 0, m.start()) + 1, "disclaimer"))
-    end = min([end, *[a for a, _ in marks]])
-    if m := re.compile(r"^-- ?$", re.M).search(body, 0, end):
+    end, marks = len(body), []
+    # From the end of the mail: each part is looked for in what stands before the part after it.
+    if m := _QUOTE.search(body):
+        end = m.start()
+        marks.append((end, "quoted"))
+    if m := _DISCLAIMER.search(body, 0, end):
+        end = body.rfind("\n", 0, m.start()) + 1
+        marks.append((end, "disclaimer"))
+    head = body[:end]
+    m = _DASH.search(head)
+    if not m and (m := _CLOSER.search(head, max(0, end - TAIL))) and end - m.start() >= LAST:
+        m = None
+    if m:
         marks.append((m.start(), "signature"))
-    else:
-        for m in CLOSER.finditer(body, max(0, end - 500), end):
-            if end - m.start() < 400:
-                marks.append((m.start(), "signature"))
-                break
-    marks = sorted([(0, "body"), *[x for x in marks if x[0] > 0 or not body]]) if not any(a == 0 for a, _ in marks) else sorted(marks)
-    out = []
-    for (a, kind), (b, _) in zip(marks, [*marks[1:], (n, "")], strict=True):
-        if body[a:b].strip():
-            out.append((kind, body[a:b].strip(), a))
-    return out
+    marks = [(0, "body"), *reversed(marks)]
+    parts = ((kind, body[a:b].strip(), a) for (a, kind), (b, _) in zip(marks, [*marks[1:], (len(body), "")], strict=True))
+    return [p for p in parts if p[1]]
 
 
 def segment(df: DataFrame, body: str) -> DataFrame:

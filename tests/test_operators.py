@@ -43,9 +43,19 @@ def test_paragraph_spans_cover_the_words(text, size):
 
 
 def test_segments_of_a_mail():
-    body = "Hello,\nplease see below.\n\nBest regards,\nSynthetic Sender\nThis email is confidential and may be privileged.\n\nOn Monday, 3 May, someone at court.example wrote:\n> first\n> second\n> third\n"
+    body = "Hello,\nplease see below.\n\nBest regards,\nSynthetic Sender\nThis email and any attachments are confidential.\n\nOn Monday, 3 May, someone at court.example wrote:\n> first\n> second\n> third\n"
     assert [k for k, _, _ in ch.segments(body)] == ["body", "signature", "disclaimer", "quoted"]
     assert ch.segments("> a\n> b\n> c\nanswer")[0][0] == "quoted"
+    assert [k for k, _, _ in ch.segments("Hola\n\nDesde: ana@x.example\nEnviado: lunes\nPara: b\n")] == ["body", "quoted"]
+    assert [k for k, _, _ in ch.segments("Oi\nDA : rui\n data: 1 de maio\ntexto")] == ["body", "quoted"]
+    assert [k for k, _, _ in ch.segments("Hi\n----- original message -----\nx")] == ["body", "quoted"] and len(ch.segments("Hi\n---- Original Message ----\nx")) == 1
+    for words in ch.DISCLAIMERS:
+        assert [k for k, _, _ in ch.segments(f"Text.\nNote: {words.lower()} and so on\nmore")] == ["body", "disclaimer"]
+    for words in ch.CLOSERS:
+        assert [k for k, _, _ in ch.segments(f"Text.\n{words.upper()},\nA. Writer")] == ["body", "signature"]
+        assert len(ch.segments(f"Text.\n{words},\n" + "long tail " * 60)) == 1
+    assert [k for k, _, _ in ch.segments("Text.\n-- \nMe\nThe information contained in this mail\n> a\n> b\n> c")] == ["body", "signature", "disclaimer", "quoted"]
+    assert len(ch.segments("an arrow\n> a\n> b\nno")) == 1
     assert ch.segments("") == [] and ch.segments("plain")[0] == ("body", "plain", 0)
 
 
