@@ -23,8 +23,6 @@ from marlstone.llm.store import Scratch
 
 #: At most about so many labelled documents are learned from, chosen by hash of the id.
 SAMPLE = 20_000
-#: At most so many features are kept, those with the largest weight first: a bound on the model, whatever is scored by it.
-FEATURES = 20_000
 LEAST_TOXIC = 4
 LEAST_WEIGHT = 2.0
 REMEMBERED = 300_000
@@ -213,7 +211,8 @@ def _weights(sample: DataFrame, model) -> dict[str, float]:
         return {}
     counted = sample.select("text", "y").mapInArrow(count, "f string, t long, n long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).where(F.col("t") >= LEAST_TOXIC)
     odds = F.log((F.col("t") + 0.5) / (toxic - F.col("t") + 0.5)) - F.log((F.col("n") + 0.5) / (other - F.col("n") + 0.5))
-    rows = counted.withColumn("w", odds).where(F.col("w") >= LEAST_WEIGHT).orderBy(F.desc("w"), "f").limit(FEATURES).collect()
+    rows = counted.withColumn("w", odds).where(F.col("w") >= LEAST_WEIGHT).select("f", "w").collect()
+    # The bounded sample bounds the features: each is in LEAST_TOXIC of its documents.
     return {r["f"]: r["w"] for r in rows}
 
 
