@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as tx
 from marlstone.operators import chunking as ch
 from marlstone.operators import relational as op
+from marlstone.operators.tables import Written
 from marlstone.plans.registry import query
-from marlstone.sources.tables import crawlable, magic, normalise_url
+from marlstone.sources.tables import MAGIC, crawlable, magic, normalise_url
 from marlstone.sources.tables import table as t
 
 
@@ -35,21 +36,31 @@ def url_crawlable(spark, sf_dir):
 
 @query("crawl_frontier")
 def crawl_frontier(spark, sf_dir, depth=2):
-    """Breadth-first levels over the page table's own links: each level anti-joins what was seen."""
+    """Breadth-first levels over the page table's own links, which are taken from the pages once: each level anti-joins what was seen."""
+    out = Written(spark)
     p = t(spark, sf_dir, "pages").select("page_id", normalise_url(F.col("url")).alias("u"), "html")
     host = F.regexp_extract("u", r"^(https?://[^/]+)", 1)
-    links = p.select("u", F.explode(tx.html_links(F.col("html"))).alias("l")).select("u", F.when(F.col("l").startswith("/"), F.concat(host, "l")).otherwise(F.col("l")).alias("to"))
-    seen = p.where("page_id < 20").select("u").distinct().withColumn("level", F.lit(0))
+    found = p.select("u", F.explode(tx.html_links(F.col("html"))).alias("l")).select("u", F.when(F.col("l").startswith("/"), F.concat(host, "l")).otherwise(F.col("l")).alias("to"))
+    links = out.keep(found.distinct(), "links")
+    seen = out.keep(p.where("page_id < 20").select("u").distinct().withColumn("level", F.lit(0)), "l0")
     edge = seen
     for k in range(1, depth + 1):
-        edge = edge.join(links, "u").select(F.col("to").alias("u")).distinct().join(seen, "u", "left_anti").withColumn("level", F.lit(k))
+        edge = out.keep(edge.join(links, "u").select(F.col("to").alias("u")).distinct().join(seen, "u", "left_anti").withColumn("level", F.lit(k)), f"l{k}")
         seen = seen.unionByName(edge)
     return seen
 
 
-@query("magic_bytes", "SELECT page_id, 'html' AS kind FROM pages")
+@query("magic_bytes", """
+SELECT page_id, CASE WHEN page_id % 9 < 5 THEN ['pdf', 'png', 'jpg', 'gif', 'zip'][(page_id % 9 + 1)::INT] WHEN page_id % 9 = 5 THEN 'eml' WHEN page_id % 9 = 6 OR coalesce(html, '') = '' THEN 'unknown'
+  WHEN regexp_matches(lower(html), '^ *(<!doctype html|<html)') THEN 'html' ELSE 'unknown' END AS kind FROM pages""")
 def magic_bytes(spark, sf_dir):
-    return t(spark, sf_dir, "pages").select("page_id", magic(F.encode("html", "UTF-8")).alias("kind"))
+    """Kinds by first bytes: pages as they are, and behind the first bytes of every other kind."""
+    p = t(spark, sf_dir, "pages").withColumn("k", F.col("page_id") % 9)
+    first = F.when(F.col("k") == 5, F.encode(F.lit("Received: "), "UTF-8")).when(F.col("k") == 6, F.encode(F.lit("plain text "), "UTF-8"))
+    for i, (_, start) in enumerate(MAGIC):
+        first = first.when(F.col("k") == i, F.unhex(F.lit(start)))
+    content = F.concat(F.coalesce(first, F.lit(b"")), F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
+    return p.select("page_id", magic(content).alias("kind"))
 
 
 @query("content_hash", "SELECT doc_id, substring(sha256(text), 1, 16) AS h, md5(source || ':' || 0) AS chunk_id FROM documents")
