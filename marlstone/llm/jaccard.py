@@ -37,7 +37,7 @@ FREQUENT_KEPT = 1 << 18
 FREQUENT_FROM = 64
 LOCAL_FROM = 3
 #: Shingles counted together in a task.
-COUNTED = 1_000_000
+COUNTED = 500_000
 #: Classes that a task remembers, so that it need not send the prefix of one twice.
 REMEMBERED = 100_000
 #: Rows whose prefixes are spread out together.

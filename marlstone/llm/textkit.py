@@ -2,8 +2,8 @@
 
 Words are maximal runs of bytes other than space and 0x09-0x0D, which equals
 ``[^\\x20\\x09-\\x0D]+`` over code points because those bytes never occur inside
-a UTF-8 sequence.  All hashes are 64 bits wide.  Work goes in chunks of about a
-megabyte of whole documents; one document is never split.
+a UTF-8 sequence.  All hashes are 64 bits wide.  Work goes in chunks of CHUNK_BYTES
+of whole documents; one document is never split.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1_000_000
+#: So many bytes of whole documents are worked on together; numpy holds some fifty bytes for each meanwhile.
+CHUNK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
