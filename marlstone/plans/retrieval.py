@@ -119,7 +119,7 @@ def hybrid_rrf(spark, sf_dir, k=10):
 
 @query("bm25_search", f"""
 WITH tok AS (SELECT doc_id, {TOKENS} AS tok FROM documents), st AS (SELECT count(*) AS n, avg(len(tok)) AS m FROM tok),
-h AS (SELECT doc_id, len(tok) AS l, term, len(list_filter(tok, lambda x: regexp_matches(x, form))) AS tf FROM tok, (VALUES ('license', {FORMS[0]}), ('public', {FORMS[1]})) v(term, form) WHERE len(list_filter(tok, lambda x: regexp_matches(x, form))) > 0), d AS (SELECT term, count(*) AS df FROM h GROUP BY term)
+h AS (SELECT * FROM (SELECT doc_id, len(tok) AS l, 'license' AS term, len(list_filter(tok, lambda x: regexp_matches(x, {FORMS[0]}))) AS tf FROM tok UNION ALL SELECT doc_id, len(tok), 'public', len(list_filter(tok, lambda x: regexp_matches(x, {FORMS[1]}))) FROM tok) WHERE tf > 0), d AS (SELECT term, count(*) AS df FROM h GROUP BY term)
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m))), 6) AS score FROM h JOIN d USING (term), st GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10""")
 def bm25_search(spark, sf_dir, q=QUERY):
     return document_index(spark, sf_dir).bm25(q, 10).select("doc_id", "score")
