@@ -18,9 +18,17 @@ from marlstone.llm.packing import pack_documents
 from marlstone.llm.passages import cut_passages, repeated_passages
 from marlstone.llm.store import Scratch
 
+#: Of the pipeline's session: texts may be long, so batches to Python have few bytes; shuffle files go once a table is written.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _set(spark: SparkSession) -> None:
+    """The stages return frames that run later, so their settings stay for the pipeline's session."""
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
+
+
 def _documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of documents, with ``n_chars`` counted anew; a null text stays null, with its own count."""
     return docs.select("doc_id", F.col(text).alias("text"), "lang", "source", F.coalesce(F.length(text).cast("long"), F.col("n_chars")).alias("n_chars"))
@@ -32,6 +40,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Repeated rows stay as often as they come; extra columns go; an empty table
     gives an empty result.
     """
+    _set(spark)
     model = language.train(docs)
     return language.identify(docs.select(*COLUMNS), model).where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
@@ -42,6 +51,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id are in no group and stay.  Rows with the same id stay or
     go together.
     """
+    _set(spark)
     groups = ngram_jaccard_join(docs, k=5, percent=80)
     gone = groups.where("id <> component_id").select(F.col("id").alias("__id")).distinct()
     # Only documents that may go are shuffled.
@@ -56,6 +66,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     is empty.  Rows with the same id lose the same words and do not count as
     each other's copies; an empty table gives an empty result.
     """
+    _set(spark)
     return _documents(cut_passages(docs, repeated_passages(docs)))
 
 
@@ -65,6 +76,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts stay, equal rows are redacted alike, and an empty table
     gives an empty result.
     """
+    _set(spark)
     return _documents(secrets.redact(docs))
 
 
@@ -77,6 +89,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
+    _set(spark)
     pieces = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
     return pieces.withColumnRenamed("id", "doc_id")
 
