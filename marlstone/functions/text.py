@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from html import unescape
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that no query or document is indexed by.
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "were", "with")
@@ -154,12 +157,17 @@ def safe_name(name: Column, most: int = 120) -> Column:
     return F.substring(F.when(clean == "", "unnamed").otherwise(clean), 1, most)
 
 
+@F.pandas_udf(T.StringType())
+def decoded(texts: pd.Series) -> pd.Series:
+    """Character references as characters, by the standard's whole list of names; texts without any are passed on."""
+    return texts.map(lambda s: unescape(s) if s is not None and "&" in s else s)
+
+
 def html_text(html: Column) -> Column:
     """Text of a page: scripts, styles and metadata dropped, tags made newlines, blank runs collapsed."""
     bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<(meta|link)\b[^>]*>", "")
     bare = F.regexp_replace(bare, r"(?s)<[^>]*>", "\n")
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(plain))
+    bare = decoded(bare)
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"[ \t]+", " "), r" ?\n ?", "\n"), r"\n{3,}", "\n\n"))
 
 
