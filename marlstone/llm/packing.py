@@ -55,6 +55,9 @@ class WordEncoder:
         import tokenizers
 
         self.model = tokenizers.Tokenizer.from_file(path)
+        #: The same model for pieces of letters, which are normalised and cut already: only their bytes are mapped.
+        self.bare = tokenizers.Tokenizer(self.model.model)
+        self.bare.pre_tokenizer = tokenizers.pre_tokenizers.Sequence([tokenizers.pre_tokenizers.WhitespaceSplit(), tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.model.get_vocab()
         #: Tokens that the library looks for in the raw text, before words are cut.
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
@@ -80,14 +83,15 @@ class WordEncoder:
             if len(self.pieces) > REMEMBERED:
                 self.pieces.clear()
                 fresh = list({p for c in cuts for p in c})
-            ids = np.array(self.model.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(fresh):
-                parts = [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(fresh, add_special_tokens=False)]
-            else:
-                raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
-                parts = [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
-            self.pieces.update(zip(fresh, parts, strict=True))
+            for model, some in ((self.bare, [p for p in fresh if p.isalpha()]), (self.model, [p for p in fresh if not p.isalpha()])):
+                ids = np.array(model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+                stops = np.flatnonzero(self.ends[ids]) + 1
+                if len(stops) != len(some):
+                    parts = [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(some, add_special_tokens=False)]
+                else:
+                    raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
+                    parts = [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
+                self.pieces.update(zip(some, parts, strict=True))
         pieces = self.pieces
         self.known.update((w, b"".join([pieces[p] for p in c])) for w, c in zip(words, cuts, strict=True))
 
@@ -191,13 +195,15 @@ def pack(documents, capacity: int = CAPACITY, level: int = LEVEL):
         yield FILLED, window
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True, remember: bool = False) -> DataFrame:
     """One row per piece: ``id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``, ``made`` and, unless turned off, ``ids``.
 
     A null or empty text is the end id alone.  Rows with equal or null ids are
     packed each for itself.  Extra columns are ignored; an empty table gives an
     empty result.  ``sequence_id`` is unique over the result: the partition's
-    number and a count within it.
+    number and a count within it.  With ``remember`` a worker keeps the ids of
+    words, up to twice REMEMBERED of them, for its later tasks; without, another
+    stage gets the room.
     """
     fields = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, made string" + (", ids array<int>" if with_ids else "")
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "made", "ids"][: 9 if with_ids else 8]
@@ -235,7 +241,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 held.clear()
         if held:
             yield batch()
-        # A worker keeps no words between tasks: most are new in any text, and another stage may need the room.
-        words.known, words.old, words.pieces = {}, {}, {}
+        if not remember:
+            words.known, words.old, words.pieces = {}, {}, {}
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(textkit.tidy(rows), fields)
