@@ -288,33 +288,27 @@ def _size_bound(na: str, nb: str, percent: int) -> str:
     return f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb})"
 
 
-def _own_bound(a: str, b: str, percent: int) -> str:
-    """Whether the overlap can suffice when so many prefix columns of two classes are their own.
+def _rest(n: str, percent: int) -> str:
+    """How many columns of a set of this size are behind its prefix."""
+    return f"(({percent} * {n} + 99) div 100 - 1)"
 
-    ``a`` and ``b`` are the two classes' columns n, u and e.  What both share of
-    the prefix that ends first is in both prefixes, and no column there is own;
-    after it the class has ``ceil(t * n) - 1`` more.  Where the ends are equal
-    as far as they are known, either may be first.
-    """
-    (na, ua, ea), (nb, ub, eb) = a.split(), b.split()
-    rest = lambda n: f"(({percent} * {n} + 99) div 100 - 1)"
-    first = f"CASE WHEN {ea} < {eb} THEN {rest(na)} WHEN {ea} > {eb} THEN {rest(nb)} ELSE greatest({rest(na)}, {rest(nb)}) END"
-    shared = f"least({na} - {rest(na)} - {ua}, {nb} - {rest(nb)} - {ub})"
-    return f"{100 + percent} * ({shared} + {first}) >= {percent} * ({na} + {nb})"
 
+def _first_rest(a: str, b: str) -> str:
+    """The rest of the class whose prefix ends first in column order, by the two classes' rests and ends; where these are equal as far as they are known, either may be first."""
+    (ra, ea), (rb, eb) = a.split(), b.split()
+    return f"CASE WHEN {ea} < {eb} THEN {ra} WHEN {ea} > {eb} THEN {rb} ELSE greatest({ra}, {rb}) END"
 
-def _overlap_bound(count: str, a: str, b: str, percent: int) -> str:
-    """Whether the overlap can reach what the similarity needs.
 
-    ``count`` columns of both prefixes are shared; ``a`` and ``b`` are the two
-    classes' columns n and e.  Of the set whose prefix ends first in column
-    order, all other shared columns are after its prefix, so at most
-    ``ceil(t * n) - 1`` more are shared; where the ends are equal as far as they
-    are known, n is the larger size.
+def _own_bound(a: str, b: str, percent: int) -> str:
+    """Whether the overlap can suffice when so many prefix columns of two classes are their own.
+
+    ``a`` and ``b`` are the two classes' columns n (size), s (prefix columns
+    that are not its own), r (rest) and e (end).  What both share of the prefix
+    that ends first is in both prefixes, and no column there is own; after it
+    the class has its rest more.
     """
-    (na, ea), (nb, eb) = a.split(), b.split()
-    first = f"CASE WHEN {ea} < {eb} THEN {na} WHEN {eb} < {ea} THEN {nb} ELSE greatest({na}, {nb}) END"
-    return f"{100 + percent} * ({count} + (({percent} * {first} + 99) div 100) - 1) >= {percent} * ({na} + {nb})"
+    (na, sa, ra, ea), (nb, sb, rb, eb) = a.split(), b.split()
+    return f"{100 + percent} * (least({sa}, {sb}) + {_first_rest(f'{ra} {ea}', f'{rb} {eb}')}) >= {percent} * ({na} + {nb})"
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -341,7 +335,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = scratch.keep(_columns(classes, shared), "entries")
     central = entries.groupBy("col").agg(F.max(F.struct((-F.col("u") / F.col("n")).alias("rank"), "key", "n", "u", "e")).alias("m"))
     central = central.select("col", F.col("m.key").alias("hub"), F.col("m.n").alias("hub_n"), F.col("m.u").alias("hub_u"), F.col("m.e").alias("hub_e"))
-    ends = entries.join(central, "col").where(f"key <> hub AND {_size_bound('n', 'hub_n', percent)} AND {_own_bound('n u e', 'hub_n hub_u hub_e', percent)}")
+    ends = entries.join(central, "col").where("key <> hub")
+    for of in ("", "hub_"):
+        ends = ends.withColumn(f"{of}r", F.expr(_rest(f"{of}n", percent))).withColumn(f"{of}s", F.expr(f"{of}n - {of}r - {of}u"))
+    ends = ends.where(f"{_size_bound('n', 'hub_n', percent)} AND {_own_bound('n s r e', 'hub_n hub_s hub_r hub_e', percent)}")
     best = ends.groupBy("key", "hub").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
     stars = scratch.keep(best.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct(), "stars")
     links = _verified(docs, incidence, stars, k, percent, scratch, "links")
@@ -349,15 +346,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     label = scratch.keep(entries.join(joined, "key", "left").select("col", "key", "n", "u", "e", F.coalesce("component", "key").alias("comp")).distinct(), "label")
     mixed = label.groupBy("col").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("col", "least")
-    open_ = scratch.keep(label.join(mixed, "col"), "open")
-    one = open_.where("comp <> least").select("col", F.col("key").alias("p"), F.col("n").alias("np"), F.col("u").alias("up"), F.col("e").alias("ep"), F.col("comp").alias("cp"))
-    other = open_.select("col", F.col("key").alias("q"), F.col("n").alias("nq"), F.col("u").alias("uq"), F.col("e").alias("eq"), F.col("comp").alias("cq"), F.expr("comp = least").alias("main"))
+    open_ = scratch.keep(label.join(mixed, "col").withColumn("r", F.expr(_rest("n", percent))).withColumn("s", F.expr("n - r - u")), "open")
+    one = open_.where("comp <> least").select("col", *[F.col(c).alias(f"{c}p") for c in ("n", "s", "r", "e")], F.col("key").alias("p"), F.col("comp").alias("cp"))
+    other = open_.select("col", *[F.col(c).alias(f"{c}q") for c in ("n", "s", "r", "e")], F.col("key").alias("q"), F.col("comp").alias("cq"), F.expr("comp = least").alias("main"))
     # The product: one row for each column that two classes of different components share, then their counts.
-    apart = F.expr(f"cp <> cq AND (main OR p < q) AND {_size_bound('np', 'nq', percent)} AND {_own_bound('np up ep', 'nq uq eq', percent)}")
+    apart = F.expr(f"cp <> cq AND (main OR p < q) AND {_size_bound('np', 'nq', percent)} AND {_own_bound('np sp rp ep', 'nq sq rq eq', percent)}")
     cross = one.withColumnRenamed("col", "__c").join(other, (F.col("__c") == F.col("col")) & apart)
-    of = lambda x: F.expr(f"named_struct('k', {x}, 'n', n{x}, 'e', e{x})")
-    counted = cross.select(F.least(of("p"), of("q")).alias("x"), F.greatest(of("p"), of("q")).alias("y")).select("x.*", F.col("y.k").alias("l"), F.col("y.n").alias("m"), F.col("y.e").alias("f"))
-    counted = counted.groupBy("k", "n", "e", "l", "m", "f").agg(F.count(F.lit(1)).alias("c")).where(_overlap_bound("c", "n e", "m f", percent)).select(F.col("k").alias("a"), F.col("l").alias("b"))
+    # Both sizes' sum and the first's rest come with the pair: few plain columns keep the join and its counts in code that compiles in little memory.
+    counted = cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.expr("np + nq").alias("both"), F.expr(_first_rest("rp ep", "rq eq")).alias("rest"))
+    # So many columns of both prefixes are shared; all others are behind the prefix that ends first.
+    counted = counted.groupBy("a", "b", "both", "rest").agg(F.count(F.lit(1)).alias("c")).where(f"{100 + percent} * (c + rest) >= {percent} * both").select("a", "b")
     rest = scratch.keep(counted.join(stars, ["a", "b"], "left_anti"), "rest")
     links = links.unionByName(_verified(docs, incidence, rest, k, percent, scratch, "rest_links"))
 

@@ -5,7 +5,8 @@ import re
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from marlstone.llm import packing, passages, secrets
+from marlstone.llm import jaccard, packing, passages, secrets
+from marlstone.llm.store import Scratch
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -43,3 +44,26 @@ def test_few_words_are_kept_where_room_is_needed():
     for t in texts * 2:
         assert list(memoryview(encoder.encode(t)).cast("I")) == encoder.model.encode(t, add_special_tokens=False).ids
         assert len(encoder.known) + len(encoder.old) <= 2 * (20 + 9)
+
+
+def test_the_product_compiles_to_small_methods(spark, monkeypatch):
+    """The JVM's compiler took some 300 MB of an executor for one method of 3732 bytes, and the process kept them."""
+    sizes, keep = {}, Scratch.keep
+
+    def kept(self, df, name):
+        if name == "rest":
+            found = df._jdf.queryExecution().debug().codegenToSeq()
+            sizes.update((k, found.apply(k)._3().maxMethodCodeSize()) for k in range(found.size()))
+        return keep(self, df, name)
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    rows = [(i, " ".join(f"w{k + 3 * i}" for k in range(60))) for i in range(30)]
+    got = jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    assert {r["component_id"] for r in got} == {0}
+    assert sizes and max(sizes.values()) < 2500, sizes
