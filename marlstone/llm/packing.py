@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ LEVEL = 16
 WHOLE, CLOSED, FILLED = "whole", "closed", "filled"
 
 #: Ids of so many words are remembered in a worker, twice: when a table is full it becomes the old one, and what is used again moves over.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: So many where another stage needs the room.
 FEW = 25_000
 #: So many texts are encoded together.
@@ -80,12 +81,16 @@ class WordEncoder:
         return _PIECES.findall(low)
 
     def learn(self, words: list[str]) -> None:
+        # Most words are one piece already, letters in lower case of ASCII, and need no list of theirs.
+        one = [w for w in words if w.isascii() and w.isalpha()]
+        low = " ".join(one).lower().split(" ") if one else []
+        words = [w for w in words if not (w.isascii() and w.isalpha())]
         cuts = [self.cut(w) for w in words]
-        fresh = list({p for c in cuts for p in c}.difference(self.pieces))
+        fresh = list(set(chain(low, *cuts)).difference(self.pieces))
         if fresh:
             if len(self.pieces) > self.limit:
                 self.pieces.clear()
-                fresh = list({p for c in cuts for p in c})
+                fresh = list(set(chain(low, *cuts)))
             for model, some in ((self.bare, [p for p in fresh if p.isalpha()]), (self.model, [p for p in fresh if not p.isalpha()])):
                 ids = np.array(model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
                 stops = np.flatnonzero(self.ends[ids]) + 1
@@ -96,7 +101,9 @@ class WordEncoder:
                     parts = [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
                 self.pieces.update(zip(some, parts, strict=True))
         pieces = self.pieces
-        self.known.update((w, b"".join([pieces[p] for p in c])) for w, c in zip(words, cuts, strict=True))
+        self.known.update(zip(one, map(pieces.__getitem__, low), strict=True))
+        for w, c in zip(words, cuts, strict=True):
+            self.known[w] = pieces[c[0]] if len(c) == 1 else pieces[c[0]] + pieces[c[1]] if len(c) == 2 else b"".join([pieces[p] for p in c])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of some texts, whose new words are learned together."""

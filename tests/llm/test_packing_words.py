@@ -35,3 +35,12 @@ def test_pieces_of_letters_get_the_librarys_ids():
     texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(40)) for _ in range(60)]
     assert encoder.bare.pre_tokenizer is not None
     assert encoder.encode_all(texts) == [np.array(encoder.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_plain_words_are_not_cut(monkeypatch):
+    cut, seen = packing.WordEncoder.cut, []
+    monkeypatch.setattr(packing.WordEncoder, "cut", lambda self, word: seen.append(word) or cut(self, word))
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for t in ["Plain words IN Letters", "ǅ ß plain, x1 a.b.c 'tis", "", "plain words", "A  b"]:
+        assert list(memoryview(encoder.encode(t)).cast("I")) == encoder.model.encode(t, add_special_tokens=False).ids
+    assert {"ß", "plain,", "x1"} <= set(seen) and not {"Plain", "IN", "b"} & set(seen)
