@@ -39,12 +39,12 @@ def components(edges: DataFrame, scratch: Scratch, tag: str, rounds: int = 50) -
     number of rounds grows with the logarithm of the longest path; a graph that
     has not settled after ``rounds`` is an error, never a partial answer.
     """
-    now = scratch.keep(edges.where("u <> v").select("u", "v").distinct(), f"{tag}_0")
+    now = scratch.keep_few(edges.where("u <> v").select("u", "v").distinct(), f"{tag}_0")
     mark = _mark(now)
     for k in range(1, rounds + 1):
         if not mark[0]:
             break
-        now = scratch.keep(_small_star(_large_star(now)), f"{tag}_{k}")
+        now = scratch.keep_few(_small_star(_large_star(now)), f"{tag}_{k}")
         was, mark = mark, _mark(now)
         if was == mark:
             break

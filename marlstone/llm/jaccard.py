@@ -275,11 +275,12 @@ def _compared(docs: DataFrame, incidence: DataFrame, pairs: DataFrame, k: int, p
 
 def _verified(docs: DataFrame, incidence: DataFrame, pairs: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """Of pairs (a, b) of classes, those similar enough, as edges (u, v)."""
-    first = scratch.keep(_compared(docs, incidence, pairs, k, percent, False, scratch), name)
+    # Every task compares many sets and keeps few pairs, which are gathered before they are written.
+    first = scratch.keep_few(_compared(docs, incidence, pairs, k, percent, False, scratch).hint("rebalance"), name)
     close = first.where("NOT sure").select(F.col("u").alias("a"), F.col("v").alias("b"))
     if close.isEmpty():
         return first.select("u", "v")
-    again = scratch.keep(_compared(docs, incidence, close, k, percent, True, scratch), f"{name}_again")
+    again = scratch.keep_few(_compared(docs, incidence, close, k, percent, True, scratch).hint("rebalance"), f"{name}_again")
     return first.where("sure").unionByName(again).select("u", "v")
 
 
@@ -340,13 +341,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ends = ends.withColumn(f"{of}r", F.expr(_rest(f"{of}n", percent))).withColumn(f"{of}s", F.expr(f"{of}n - {of}r - {of}u"))
     ends = ends.where(f"{_size_bound('n', 'hub_n', percent)} AND {_own_bound('n s r e', 'hub_n hub_s hub_r hub_e', percent)}")
     best = ends.groupBy("key", "hub").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
-    stars = scratch.keep(best.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct(), "stars")
+    stars = scratch.keep_few(best.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct(), "stars")
     links = _verified(docs, incidence, stars, k, percent, scratch, "links")
     joined = components(links, scratch, "star").withColumnRenamed("id", "key")
 
-    label = scratch.keep(entries.join(joined, "key", "left").select("col", "key", "n", "u", "e", F.coalesce("component", "key").alias("comp")).distinct(), "label")
+    label = scratch.keep_few(entries.join(joined, "key", "left").select("col", "key", "n", "u", "e", F.coalesce("component", "key").alias("comp")).distinct(), "label")
     mixed = label.groupBy("col").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("col", "least")
-    open_ = scratch.keep(label.join(mixed, "col").withColumn("r", F.expr(_rest("n", percent))).withColumn("s", F.expr("n - r - u")), "open")
+    open_ = scratch.keep_few(label.join(mixed, "col").withColumn("r", F.expr(_rest("n", percent))).withColumn("s", F.expr("n - r - u")), "open")
     one = open_.where("comp <> least").select("col", *[F.col(c).alias(f"{c}p") for c in ("n", "s", "r", "e")], F.col("key").alias("p"), F.col("comp").alias("cp"))
     other = open_.select("col", *[F.col(c).alias(f"{c}q") for c in ("n", "s", "r", "e")], F.col("key").alias("q"), F.col("comp").alias("cq"), F.expr("comp = least").alias("main"))
     # The product: one row for each column that two classes of different components share, then their counts.
@@ -356,16 +357,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counted = cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.expr("np + nq").alias("both"), F.expr(_first_rest("rp ep", "rq eq")).alias("rest"))
     # So many columns of both prefixes are shared; all others are behind the prefix that ends first.
     counted = counted.groupBy("a", "b", "both", "rest").agg(F.count(F.lit(1)).alias("c")).where(f"{100 + percent} * (c + rest) >= {percent} * both").select("a", "b")
-    rest = scratch.keep(counted.join(stars, ["a", "b"], "left_anti"), "rest")
+    rest = scratch.keep_few(counted.join(stars, ["a", "b"], "left_anti"), "rest")
     links = links.unionByName(_verified(docs, incidence, rest, k, percent, scratch, "rest_links"))
 
     root = components(links, scratch, "all")
     owned = incidence.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"))
     grown = owned.join(root.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = grown.groupBy("component").agg(F.min("id").alias("component_id"))
-    owner = scratch.keep(grown.join(least, "component").select("key", "component_id"), "owner")
+    owner = scratch.keep_few(grown.join(least, "component").select("key", "component_id"), "owner")
     rows = incidence.select("id", F.col("n").alias("n_shingles"), "key").join(owner, "key", "left")
     component = F.expr("if(id IS NULL, NULL, if(n_shingles = 0, id, component_id))")
-    out = scratch.keep(rows.select("id", "n_shingles", component.alias("component_id")), "result")
+    out = scratch.keep_few(rows.select("id", "n_shingles", component.alias("component_id")), "result")
     scratch.drop("result")
     return out
