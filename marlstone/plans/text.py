@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
+from marlstone.functions.vectors import printed
 from marlstone.operators import chunking as ch
 from marlstone.operators import relational as op
 from marlstone.operators.tables import Written
@@ -261,7 +262,7 @@ def header_lines_dates(spark, sf_dir):
 
 @query("vector_literal", "SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.6f', CAST(x AS DOUBLE))), ',') || ']' AS v FROM embeddings")
 def vector_literal(spark, sf_dir):
-    return t(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("["), F.array_join(F.transform("embedding", lambda x: F.format_string("%.6f", x.cast("double"))), ","), F.lit("]")).alias("v"))
+    return t(spark, sf_dir, "embeddings").select("vec_id", printed(F.col("embedding")).alias("v"))
 
 
 @query("csv_rows", "SELECT n_nationkey, n_nationkey || ' | ' || n_name || ' | ' || n_regionkey AS line FROM nation")
