@@ -8,11 +8,13 @@ same order of events.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Fold = Callable[[tuple, float, dict], tuple[tuple, dict]]
 
@@ -85,6 +87,8 @@ def batch(df: DataFrame, name: str, key: str | list[str], at: str, order: list[s
     Events are sorted by key and time, and one pass folds them, starting anew
     where the key changes: a task holds a batch of rows and one key's state,
     however many keys or events there are.  A null key is a key of its own.
+    Missing times and missing values of ``order`` come last, as in pandas, and a
+    fold sees a missing time as no number.
     """
     fold, start, _ = FOLDS[name]
     keys = [key] if isinstance(key, str) else key
@@ -95,6 +99,7 @@ def batch(df: DataFrame, name: str, key: str | list[str], at: str, order: list[s
         now, state = None, start
         for b in batches:
             of = {c: b.column(names.index(c)).to_pylist() for c in {*keys, at, *needs}}
+            of[at] = [math.nan if x is None else x for x in of[at]]
             actions, counts = [], []
             for i, k in enumerate(zip(*[of[c] for c in keys], strict=True)):
                 if k != now:
@@ -105,7 +110,7 @@ def batch(df: DataFrame, name: str, key: str | list[str], at: str, order: list[s
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(actions, pa.string()), pa.array(counts, pa.int64())], [*names, "action", "count"])
 
     schema = df.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
-    return df.repartition(*keys).sortWithinPartitions(*keys, at, *order).mapInArrow(run, f"{schema}, action string, count long")
+    return df.repartition(*keys).sortWithinPartitions(*keys, *map(F.asc_nulls_last, (at, *order))).mapInArrow(run, f"{schema}, action string, count long")
 
 
 def stream(df: DataFrame, name: str, key: str, at: str, order: list[str], timeout_ms: int | None = None, **params) -> DataFrame:

@@ -1,5 +1,7 @@
 """Queries with an oracle on tables made for them, with values that the fixtures lack."""
 
+import datetime
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -27,3 +29,18 @@ def test_vector_literal_rounds_exact_values(spark, tmp_path):
     table = pa.table({"vec_id": pa.array(range(len(vectors)), pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array([0] * len(vectors), pa.int32())})
     got = {vec_id: v for v, vec_id in same(spark, tmp_path, "vector_literal", embeddings=table)}
     assert got[0] == "[-0.070312,0.007812,0.023438]" and got[4] == "[1.500000,2.000000]" and got[5] is None and got[6] == "[]"
+
+
+def test_alert_suppression_rounds_times_and_keeps_odd_rows(spark, tmp_path):
+    """Seconds are rounded, halves to even; missing times and ids come last; without a kind or an origin the first alert has a row."""
+    start, second, hour = datetime.datetime(2024, 1, 1), datetime.timedelta(seconds=1), datetime.timedelta(hours=1)
+    log = [(0, "x", 0.5 * second), (0, "x", 6 * hour + 0.499 * second), (1, "x", 0.4 * second), (1, "x", 6 * hour - 0.4 * second), (2, "x", 0.6 * second), (2, "x", 6 * hour)]
+    log += [(None, "x", k * 5 * hour) for k in range(4)] + [(3, None, k * 5 * hour) for k in range(4)] + [(None, None, k * 5 * hour) for k in range(4)]
+    log += [(4, "x", None if k == 2 else k * 5 * hour) for k in range(5)] + [(5, "x", None)] * 3 + [(6, "x", hour)] * 3
+    ids = [None if k == len(log) - 3 else k for k in range(len(log))]
+    table = pa.table({
+        "event_id": pa.array(ids, pa.int64()), "ts": pa.array([None if x is None else start + x for _, _, x in log], pa.timestamp("us")), "user_id": pa.array([u for u, _, _ in log], pa.int64()),
+        "event_type": pa.array([k for _, k, _ in log], pa.string()), "value": pa.nulls(len(log), pa.float64()), "props": pa.nulls(len(log), pa.string()),
+    })
+    got = {event_id: action for action, event_id in same(spark, tmp_path, "alert_suppression", events=table)}
+    assert [got[k] for k in range(6)] == ["send", "send", "send", "send", "send", "suppress"] and len(got) == len(log) - 9 and got[None] == "suppress"
