@@ -4,6 +4,8 @@ Of each pattern those literals are taken of which every match holds one.  An
 automaton over all of them runs once over each text, in Arrow batches, and
 names the patterns that may match; only these are tried, by the JVM, so the
 answer is that of ``rlike``.  Patterns without such a literal are tried always.
+White space of any kind and length is one space to the automaton, so words
+that a pattern parts by ``+`` or ``\\s+`` make one literal.
 """
 
 from __future__ import annotations
@@ -26,6 +28,20 @@ def _best(found: list[frozenset[str]]) -> frozenset[str] | None:
     return max(some, key=lambda f: (min(map(len, f)), -len(f)), default=None)
 
 
+def _is_space(name: str, value) -> bool:
+    """Whether every match of a parsed item is white space, one character or more."""
+    if name == "LITERAL":
+        return chr(value).isspace()
+    if name == "IN":
+        return all(str(x) == "CATEGORY_SPACE" or _is_space(str(op), x) for op, x in value)
+    return name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] >= 1 and len(value[2]) == 1 and _is_space(str(value[2][0][0]), value[2][0][1])
+
+
+def spaced(text: str) -> str:
+    """A lower-case text with one space for white space of any length, and one at each end."""
+    return f" {' '.join(text.lower().split())} "
+
+
 def _required(items) -> frozenset[str] | None:
     """Literals of which every match of a parsed sequence holds one, or None where none is certain."""
     found: list[frozenset[str]] = []
@@ -33,13 +49,15 @@ def _required(items) -> frozenset[str] | None:
 
     def end() -> None:
         if run:
-            found.append(frozenset(["".join(run)]))
+            found.append(frozenset([re.sub(r"\s+", " ", "".join(run))]))
             run.clear()
 
     for op, value in items:
         name = str(op)
         if name == "LITERAL":
             run.append(chr(value))
+        elif _is_space(name, value):
+            run.append(" ")
         elif name == "AT":
             continue
         elif name == "SUBPATTERN" and not value[1] and not value[2]:
@@ -63,7 +81,7 @@ def _required(items) -> frozenset[str] | None:
 
 
 def required(pattern: str) -> frozenset[str] | None:
-    """Lower-case literals of which every match holds one; None where that is not certain, as for syntax that only the JVM knows."""
+    """Lower-case literals of which every match's :func:`spaced` text holds one; None where that is not certain, as for syntax that only the JVM knows."""
     from re import _parser  # the library's own reader of patterns
 
     # Quoting, octal digits, and flags for other alphabets and comments are not read alike.
@@ -97,6 +115,8 @@ def pattern_join(df: DataFrame, rules: DataFrame, text: str, pattern: str) -> Da
             always.append(i)
     sent = df.sparkSession.sparkContext.broadcast((of, always))
     names = df.columns
+    # Texts go to Python once, or as a string beside a column of another type.
+    some, at = (df, names.index(text)) if dict(df.dtypes)[text] == "string" else (df.withColumn("__text", F.col(text).cast("string")), len(names))
 
     def candidates(batches):
         of, always = sent.value
@@ -107,19 +127,18 @@ def pattern_join(df: DataFrame, rules: DataFrame, text: str, pattern: str) -> Da
             machine.make_automaton()
         for b in batches:
             out = []
-            for t in b.column(len(names)).to_pylist():
+            for t in b.column(at).to_pylist():
                 if t is None:
                     out.append([])
                     continue
                 hit = set(always)
                 if of:
-                    for _, own in machine.iter(t.lower()):
+                    for _, own in machine.iter(spaced(t)):
                         hit.update(own)
                 out.append(sorted(hit))
             keep = [k for k, x in enumerate(out) if x]
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(keep, pa.int32())) for c in b.columns[: len(names)]), pa.array([out[k] for k in keep], pa.list_(pa.int32()))], [*names, "__rules"])
 
-    some = df.select("*", F.col(text).cast("string").alias("__text"))
     found = some.mapInArrow(candidates, df.withColumn("__rules", F.array(F.lit(0))).schema)
     tried = found.withColumn("__rule", F.explode("__rules")).drop("__rules").join(F.broadcast(numbered.withColumnsRenamed({c: f"__r_{c}" for c in rules.columns})), "__rule")
     return tried.where(F.expr(f"`{text}` RLIKE `__r_{pattern}`")).select(*names, *[F.col(f"__r_{c}").alias(c) for c in rules.columns])

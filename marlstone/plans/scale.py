@@ -43,12 +43,17 @@ _RULES = r"regexp_extract(text, '^\s*\S+\s+([A-Za-z]{3,})\s+([A-Za-z]{2,})\s', 1
 WITH rules AS (SELECT doc_id AS rule, '(?i) ' || {_RULES} || ' +' || {_RULES.replace(", 1)", ", 2)")} || ' ' AS pattern FROM documents WHERE doc_id % 5 = 0 AND {_RULES} <> '')
 SELECT rule, count(*) AS n, min(doc_id) AS first_doc FROM documents, rules WHERE regexp_matches(text, pattern) GROUP BY rule""")
 def many_rules(spark, sf_dir):
-    """A rule for each of a fifth of the documents, its second and third word in any case, over all texts by one automaton."""
+    """A rule for each of a fifth of the documents, its second and third word in any case, over all texts by one automaton.
+
+    Rules of the same pattern are tried and counted together.
+    """
     d = t(spark, sf_dir, "documents").select("doc_id", "text")
     word = lambda k: F.regexp_extract("text", r"^\s*\S+\s+([A-Za-z]{3,})\s+([A-Za-z]{2,})\s", k)
     rules = d.where(F.col("doc_id") % 5 == 0).select(F.col("doc_id").alias("rule"), word(1).alias("a"), word(2).alias("b")).where("a <> ''")
     rules = rules.select("rule", F.concat(F.lit("(?i) "), "a", F.lit(" +"), "b", F.lit(" ")).alias("pattern"))
-    return patterns.pattern_join(d, rules, "text", "pattern").groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    found = patterns.pattern_join(d, rules.select("pattern").distinct(), "text", "pattern")
+    counts = found.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    return rules.join(counts, "pattern").groupBy("rule").agg(F.sum("n").alias("n"), F.min("first_doc").alias("first_doc"))
 
 
 @query("deep_chains", "SELECT event_id AS node, min(event_id) OVER w AS root, row_number() OVER w - 1 AS depth, FALSE AS cycle FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)")
